@@ -2,7 +2,8 @@
 
 From a bounded sample of labelled text, a suffix automaton is built for every
 language. A text is cut greedily into the longest phrases that occur in a
-language's sample; with ``c`` phrases over ``n`` symbols and a sample of ``m``
+language's sample (a symbol that doesn't occur there begins the phrase after
+it); with ``c`` phrases over ``n`` symbols and a sample of ``m``
 symbols its cost is ``c log2(m) / n`` bits a symbol. The language of the least
 cost wins (ties: the first by name).
 
@@ -64,7 +65,7 @@ class Automata:
         self.bits = np.log2(sizes)
         start = self.next.reshape(-1, self.n_symbols)[self.roots] if parts else np.empty((0, self.n_symbols), np.int32)
         self.restart = np.where(start < 0, self.roots[:, None], start).astype(np.int32)
-        self.cost = np.where(start < 0, 2, 1).astype(np.int32)  # an unknown symbol is a phrase of its own
+        self.known = start >= 0
 
     def symbols(self, text: str) -> np.ndarray:
         """Runs of what isn't a letter count once."""
@@ -104,7 +105,9 @@ class Automata:
         lens = np.array([len(texts[i]) for i in order])
         flat = np.concatenate([texts[i] for i in order]) if order else np.empty(0, np.int32)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if order else lens
-        count = np.ones((len(self.langs), len(order)), np.int32)
+        # every miss begins a phrase, and so does a first symbol that isn't one
+        first = np.array([texts[i][0] if len(texts[i]) else 0 for i in order], np.int32)
+        count = self.known[:, first].astype(np.int32)
         state = np.repeat(self.roots[:, None], len(order), axis=1)
         live, step, a = int((lens > 0).sum()), 0, self.n_symbols
         while live > ALONE:
@@ -112,7 +115,7 @@ class Automata:
             here = state[:, :live]
             to = self.next[here * a + c]
             miss = to < 0
-            count[:, :live] += miss * self.cost[:, c]
+            count[:, :live] += miss
             np.copyto(here, np.where(miss, self.restart[:, c], to))
             step += 1
             while live and lens[live - 1] <= step:
@@ -122,11 +125,11 @@ class Automata:
             for k in range(live):
                 rest = flat[starts[k] + step : starts[k] + lens[k]].tolist()
                 for j in range(len(self.langs)):
-                    s, n, restart, cost = int(state[j, k]), 0, self.restart[j].tolist(), self.cost[j].tolist()
+                    s, n, restart = int(state[j, k]), 0, self.restart[j].tolist()
                     for c in rest:
                         s = table[s * a + c]
                         if s < 0:
-                            n += cost[c]
+                            n += 1
                             s = restart[c]
                     count[j, k] += n
         out = np.empty_like(count)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.tables import fresh
+
 # Element identifiers of the public Matroska specification (fixed values)
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES, CUE, CUE_PLACE = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
 TIME_SCALE, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, DURATION, REFERENCE = 0x2AD7B1, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
@@ -256,7 +258,7 @@ def packet_tables(files: DataFrame, content_col: str, name: str = "media") -> Da
             out.append(x)
         return pa.array(out, ARROW_TABLE)
 
-    return files.withColumn(name, read(F.col(content_col)))
+    return files.withColumn(fresh(files, name), read(F.col(content_col)))
 
 
 ARROW_TABLE = pa.struct(
@@ -284,7 +286,7 @@ def feature(read: dict, payload: bytes) -> str:
 
 
 def stored_payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``stored``: each text's payload stored as Matroska and read back by its packets.
+    """``docs`` plus ``stored`` (underscores added while the name is taken): each text's payload stored as Matroska and read back by its packets.
 
     The payload is the UTF-8 text (null: empty) and zero bytes up to a positive
     multiple of 64. The struct holds ``n_bytes, payload_bytes, payload_sha256,
@@ -313,7 +315,7 @@ def stored_payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
             )
         return pa.array(out, ARROW_STORED)
 
-    return docs.withColumn("stored", roundtrip(F.col(text_col)))
+    return docs.withColumn(fresh(docs, "stored"), roundtrip(F.col(text_col)))
 
 
 ARROW_STORED = pa.struct(
@@ -328,4 +330,4 @@ def media_files(docs: DataFrame, text_col: str = "text", name: str = "content")
     def write(texts: pa.Array) -> pa.Array:
         return pa.array([store(padded(t.as_py())) for t in texts], pa.binary())
 
-    return docs.withColumn(name, write(F.col(text_col)))
+    return docs.withColumn(fresh(docs, name), write(F.col(text_col)))

@@ -149,7 +149,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     targets = materialise(source_targets(sizes, weights, max_repeat))
     mix = slots(targets, block, seed).withColumnRenamed("source", "_src").withColumnRenamed("block", "_block")
     cut = pieces(stream(units, sizes), block)
-    # blocks by index; no source and block holds more than block pieces, nor more than max_repeat slots
+    # blocks by index; no source and block holds more than block pieces, nor more than max_repeat slots.
     met = cut.join(mix, F.col("source").eqNullSafe(F.col("_src")) & (F.col("block") == F.col("_block"))).where(F.col("begin") < F.col("words"))
     met = met.withColumn("taken", F.least("end", "words") - F.col("begin"))
     return units, targets, met
@@ -184,17 +184,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units, _, met = _mixed(docs, id_col, text_col, source_col, weights, max_repeat, block, seed)
     part = F.struct("from_word", "taken")
     turns = met.groupBy("id", "h", "source", "occ", "pass").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("taken").alias("_taken"))
-    turns = materialise(turns.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "parts", "_taken"))
-    h = fresh(docs, "_hash")
-    keyed = docs.withColumn(h, F.xxhash64(text_or_empty(text_col)))
+    i, h, src, parts, taken_col, own_h = (fresh(docs, x) for x in ("_id", "_h", "_source", "_parts", "_taken", "_hash"))
+    turns = materialise(turns.select(F.col("id").alias(i), F.col("h").alias(h), F.col("source").alias(src), F.col("parts").alias(parts), F.col("_taken").alias(taken_col)))
+    keyed = docs.withColumn(own_h, F.xxhash64(text_or_empty(text_col)))
     repeats = not units.where("occ > 1").isEmpty()
-    distinct = keyed.dropDuplicates([id_col, source_col, h]) if repeats else keyed
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    joined = distinct.join(turns, same)
+    distinct = keyed.dropDuplicates([id_col, source_col, own_h]) if repeats else keyed
+    joined = distinct.join(turns, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own_h) == F.col(h)) & F.col(source_col).eqNullSafe(F.col(src)))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    taken = F.filter(words, lambda w, i: F.exists("parts", lambda p: (i >= p["from_word"]) & (i < p["from_word"] + p["taken"])))
+    taken = F.filter(words, lambda w, i: F.exists(parts, lambda p: (i >= p["from_word"]) & (i < p["from_word"] + p["taken"])))
     some = F.array_join(taken, " ")
-    text = F.when(F.col("_taken") == n_words(F.col(text_col)), F.col(text_col)).otherwise(some)
+    text = F.when(F.col(taken_col) == n_words(F.col(text_col)), F.col(text_col)).otherwise(some)
     out = joined.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.tables import fresh
+
 # Fixed values of the base patterns, and the order of kinds at equal starts
 KINDS = ("email", "ip", "card", "phone", "iban")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -148,7 +150,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", name: str = "pii") -> Da
     def spans(texts: pa.Array) -> pa.Array:
         return pa.array([[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find(t.as_py())] for t in texts], ARROW_SPANS)
 
-    return docs.withColumn(name, spans(F.col(text_col)))
+    return docs.withColumn(fresh(docs, name), spans(F.col(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.0) -> DataFrame:

@@ -170,5 +170,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # some ids repeat: tell their rows apart by fingerprint, and keep one of each
     hex_col = fresh(docs, "_fp_hex")
     printed = fingerprint(docs, text_col, hex_col).withColumn(hex_col, _hex(hex_col))
-    again = printed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(hex_col) == F.col("_hex")), "left_semi")
+    again = printed.join(kept, printed[id_col].eqNullSafe(kept["_id"]) & (printed[hex_col] == kept["_hex"]), "left_semi")
     return again.dropDuplicates([id_col, hex_col]).select(*docs.columns)

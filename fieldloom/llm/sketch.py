@@ -39,14 +39,14 @@ def sketch(text: str | None, shingle: int = SHINGLE, scale: int = SCALE) -> np.n
         hashes = np.array([xxh(b" ".join(words))], np.uint64)
     else:
         hashes = np.fromiter(map(xxh, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))), np.uint64, len(words) - shingle + 1)
-    low = hashes[hashes < np.uint64((1 << 64) // scale)]
+    low = hashes[hashes <= np.uint64((1 << 64) // scale - 1)]
     return (np.unique(low) if len(low) else hashes.min()[None]).astype(">u8")
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two texts' shingles together."""
     both = np.union1d(a, b)
-    low = both[both < (1 << 64) // scale]
+    low = both[both <= (1 << 64) // scale - 1]
     return (low if len(low) else both[:1]).astype(">u8")
 
 

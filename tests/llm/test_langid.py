@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from fieldloom.llm import langid as L
+
+SYLLABLES = {"aa": ("ba", "do", "ki", "lu", "mer"), "bb": ("sch", "en", "tz", "ung", "or"), "cc": ("ção", "ñe", "üi", "ar", "os")}
+
+
+def text(lang, n, rng):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n)).capitalize() + "."
+
+
+def plain_phrases(sample, symbols):
+    """Greedy longest matches in ``sample``, by searching substrings; an unknown symbol begins the phrase after it."""
+    hay = "".join(map(chr, sample))
+    n, at = 0, 0
+    while at < len(symbols):
+        n += 1
+        if chr(symbols[at]) not in hay:
+            at += 1
+        k = 0
+        while at + k < len(symbols) and "".join(map(chr, symbols[at : at + k + 1])) in hay:
+            k += 1
+        at += k
+    return n
+
+
+def test_phrases_against_search(monkeypatch):
+    rng = random.Random(1)
+    samples = {k: [text(k, 60, rng) for _ in range(3)] for k in SYLLABLES}
+    model = L.Automata(samples)
+    texts = [text(rng.choice(list(SYLLABLES)), rng.randrange(1, 60), rng) for _ in range(40)]
+    cut = [model.symbols(t) for t in texts]
+    joined = [[x for t in samples[k] for x in [*model.symbols(t).tolist(), model.n_symbols - 1]] for k in model.langs]
+    want = np.array([[plain_phrases(j, c.tolist()) for c in cut] for j in joined])
+    for alone in (0, 7, 1000):
+        monkeypatch.setattr(L, "ALONE", alone)
+        assert (model.phrases(cut) == want).all()
+
+
+def test_unknown_symbols_and_texts_without_letters():
+    model = L.Automata({"aa": ["badoki"], "bb": ["schtz"]})
+    langs, scores = model.predict(["badoki", None, "", "123 !?", "日本", "BADO ki"])
+    assert langs[0] == langs[5] == "aa" and langs[1:4] == ["und"] * 3 and langs[4] in ("aa", "bb")
+    assert all(0 <= s <= 1 for s in scores) and scores[1] == 0
+
+
+def corpus(spark, n=300):
+    rng = random.Random(2)
+    rows = [(i, text(k := rng.choice(list(SYLLABLES)), rng.randrange(3, 200), rng), k if i % 11 else None) for i in range(n)]
+    rows += [(n, None, "aa"), (n + 1, "", None), (n + 2, "99 --", "bb"), (None, "bado kilu", None), (5, rows[5][1], rows[5][2])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_held_out_accuracy(spark, tmp_path):
+    from fieldloom.llm.queries import op6_language
+
+    rows, df = corpus(spark)
+    df.withColumn("lang_id", F.lit(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_language(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    want = {i: k for i, _, k in rows if k and i not in (300, 302)}
+    held = [r for r in got if r.held_out and r.doc_id in want]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert len(held) > 30 and sum(r.lang_pred == want[r.doc_id] for r in held) / len(held) > 0.97
+    assert {r.lang_pred for r in got if r.doc_id in (300, 301, 302)} == {"und"}
+
+
+def test_samples_leave_held_out_rows_aside_and_stay_bounded(spark):
+    rows, df = corpus(spark)
+    samples = L.draw_samples(df, "doc_id", "text", "lang", sample_chars=2000)
+    own = {t for i, t, k in rows if k and i is not None and zlib.crc32(str(i).encode()) % 5}
+    assert set(samples) == set(SYLLABLES)
+    for texts in samples.values():
+        assert set(texts) <= own and sum(map(len, texts)) < 2000 + L.DOC_CHARS and len(set(texts)) == len(texts)
+
+
+def test_empty_tables(spark, empty):
+    samples = L.draw_samples(empty, "doc_id", "text", "lang")
+    assert samples == {} and L.identify(empty, samples).collect() == []
+    one = spark.createDataFrame([(1, "abc", 2)], "doc_id long, text string, lang_id int")
+    assert L.identify(one, {}).collect()[0]["lang_id_"]["lang_pred"] == "und"
