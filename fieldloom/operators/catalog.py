@@ -28,7 +28,7 @@ def parse_scene_name(files: DataFrame, column: str = "path", fallback: str = "nu
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.tif") -> DataFrame:
-    """``path, length`` of all files below ``path``; contents aren't read."""
+    """``path, length`` of all files below ``path``; contents aren't read. Files without bytes are passed over, as Spark's readers do."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
 
 
