@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.channels import band_of, date_of, day_of_year, mmdd_of
+
 MIN_PIXELS = 10
 
 
@@ -70,8 +72,8 @@ def gsi_legacy(samples: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 
 def _key(by: str) -> Column:
-    parts = F.split("channel", "_")
-    return {"band": parts[0], "date": parts[1], "mmdd": F.substring(parts[1], 5, 4), "band_mmdd": F.concat_ws("_", parts[0], F.substring(parts[1], 5, 4))}[by]
+    c = F.col("channel")
+    return {"band": band_of(c), "date": date_of(c), "mmdd": mmdd_of(c), "band_mmdd": F.concat_ws("_", band_of(c), mmdd_of(c))}[by]
 
 
 def collapse_scores(scores: DataFrame, by: str = "band") -> DataFrame:
@@ -95,10 +97,6 @@ def colour_ceiling(scores: DataFrame) -> DataFrame:
     return scores.agg(F.greatest(F.percentile("score", 0.95), F.lit(1e-3)).alias("ceiling"))
 
 
-def _doy(mmdd: Column) -> Column:
-    return F.dayofyear(F.to_date(F.concat(F.lit("2000"), mmdd), "yyyyMMdd"))
-
-
 def adjust_multi_year(primary: DataFrame, extras: DataFrame) -> DataFrame:
     """Each primary score averaged with the nearest date's score of the same band in every extra year.
 
@@ -111,7 +109,7 @@ def adjust_multi_year(primary: DataFrame, extras: DataFrame) -> DataFrame:
     other = extras.withColumns({"_band": _key("band"), "_mmdd": _key("mmdd")}).groupBy("year", "crop_id", "_band", "_mmdd").agg(F.avg("score").alias("_s"), F.min("channel_idx").alias("_ord"))
     o = other.select("year", F.col("crop_id").alias("_c"), F.col("_band").alias("_b"), F.col("_mmdd").alias("_m"), "_s", "_ord")
     pairs = level.join(o, (F.col("crop_id") == F.col("_c")) & (F.col("_band") == F.col("_b")))
-    near = pairs.groupBy("crop_id", "_band", "_mmdd", "year").agg(F.min_by("_s", F.struct(F.abs(_doy(F.col("_m")) - _doy(F.col("_mmdd"))), F.col("_ord"))).alias("_s"))
+    near = pairs.groupBy("crop_id", "_band", "_mmdd", "year").agg(F.min_by("_s", F.struct(F.abs(day_of_year(F.col("_m")) - day_of_year(F.col("_mmdd"))), F.col("_ord"))).alias("_s"))
     added = near.groupBy("crop_id", "_band", "_mmdd").agg(F.sum("_s").alias("_sum"), F.count("*").alias("_n"))
     joined = own.join(level, ["crop_id", "_band", "_mmdd"]).join(added, ["crop_id", "_band", "_mmdd"], "left")
     mean = (F.col("_own") + F.coalesce("_sum", F.lit(0.0))) / (1 + F.coalesce("_n", F.lit(0)))

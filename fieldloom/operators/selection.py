@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.channels import band_of, date_of, day_of_year
 from fieldloom.operators.cleaning import CLASS_NAMES, KEEP_CLASSES
 
 
@@ -80,11 +81,10 @@ def project_selection(union: DataFrame, channels: DataFrame) -> DataFrame:
     name = F.regexp_extract("channel", r"^(.+)_([^_]*)$", 1)
     date = F.regexp_extract("channel", r"^(.+)_([^_]*)$", 2)
     u = union.select("channel", "ordinal", name.alias("_band"), F.substring(date, 5, 4).alias("_mmdd"))
-    doy = lambda c: F.dayofyear(F.try_to_date(F.concat(F.lit("2000"), c), "yyyyMMdd"))
     local = channels.groupBy("mmdd").agg(F.max("date8").alias("_local"))
     wanted = u.select("_mmdd").distinct()
-    pairs = wanted.join(F.broadcast(local), doy(F.col("mmdd")).isNotNull())  # a few hundred dates by the dates of one year
-    near = pairs.groupBy("_mmdd").agg(F.min_by("_local", F.struct(F.when(F.col("_mmdd") == F.col("mmdd"), -1).otherwise(F.abs(doy(F.col("mmdd")) - doy(F.col("_mmdd")))), F.col("mmdd"))).alias("_local"))
+    pairs = wanted.join(F.broadcast(local), day_of_year(F.col("mmdd")).isNotNull())  # a few hundred dates by the dates of one year
+    near = pairs.groupBy("_mmdd").agg(F.min_by("_local", F.struct(F.when(F.col("_mmdd") == F.col("mmdd"), -1).otherwise(F.abs(day_of_year(F.col("mmdd")) - day_of_year(F.col("_mmdd")))), F.col("mmdd"))).alias("_local"))
     bands = channels.select(F.col("band").alias("_known")).distinct()
     j = u.join(near, "_mmdd", "left").join(F.broadcast(bands), F.col("_band") == F.col("_known"), "left")
     j = j.withColumn("_name", F.concat_ws("_", "_band", "_local"))
@@ -136,9 +136,9 @@ def prune_scenes(channels: DataFrame, selected: DataFrame) -> DataFrame:
 def detail_table(selection: DataFrame) -> DataFrame:
     """``crop, rank, band, date, channel, score``: names, MM/DD, and scores to six places."""
     names = F.create_map(*(F.lit(x) for k, v in CLASS_NAMES.items() for x in (k, v)))
-    parts = F.split("channel", "_")
-    day = F.concat(F.substring(parts[1], 5, 2), F.lit("/"), F.substring(parts[1], 7, 2))
-    return selection.select(names[F.col("crop_id").cast("int")].alias("crop"), "rank", parts[0].alias("band"), day.alias("date"), "channel", F.round("score", 6).alias("score"))
+    date = date_of(F.col("channel"))
+    day = F.concat(F.substring(date, 5, 2), F.lit("/"), F.substring(date, 7, 2))
+    return selection.select(names[F.col("crop_id").cast("int")].alias("crop"), "rank", band_of(F.col("channel")).alias("band"), day.alias("date"), "channel", F.round("score", 6).alias("score"))
 
 
 def _pivot(selection: DataFrame, part: int, values: list[str]) -> DataFrame:
