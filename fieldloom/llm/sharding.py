@@ -109,7 +109,7 @@ def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float],
                 high[i] = (probes[at], int(bytes_[at]), int(rows[at]))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, piece_bytes: int = 16 << 20) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, piece_bytes: int = 16 << 20, max_pieces: int = 20_000) -> DataFrame:
     """``docs`` plus ``size, shard, slot``: ``n_shards`` shards of nearly equal bytes.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 8. A shard's
@@ -118,6 +118,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     Null ids come first among copies of a text. Rows with equal id and text
     have one key and go to one shard, in any order; an empty table gives an
     empty result. Columns of ``docs`` named like the new ones are replaced.
+
+    Pieces hold ``piece_bytes`` or, beyond ``max_pieces`` of them, grow; their
+    boundaries are all that the driver holds.
     """
     fixed = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot", "_high", "_low", "_piece")]
     text = text_or_empty(text_col)
@@ -129,7 +132,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     )
     keys = materialise(keyed.select("size", "_high", "_low"))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    pieces = max(1, round(total / n_shards / piece_bytes))  # of each shard
+    pieces = max(1, min(round(total / n_shards / piece_bytes), max_pieces // n_shards))  # of each shard
     n = n_shards * pieces
     targets = [total * i // n for i in range(1, n)]
     shard_bytes = total / n_shards

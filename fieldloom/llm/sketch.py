@@ -93,7 +93,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = B
     n = max(1, min(round((total[0] + 64 * total[1]) / bucket_bytes), 50_000))
     bounds = []
     if n > 1:
-        bounds = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+        bounds = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], min(20 * n, 200_000))).first()[0] or []
     cuts = np.array(sorted(set(bounds)), np.int64)
 
     @F.pandas_udf("int")
