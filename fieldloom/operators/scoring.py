@@ -22,17 +22,34 @@ def moments(samples: DataFrame) -> DataFrame:
     return samples.groupBy("crop_id", "channel", "channel_idx").agg(F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"), F.stddev_samp(v).alias("sd1"), F.count(v).alias("n"), F.count("*").alias("n_rows"))
 
 
-def _grid(m: DataFrame, crops: Iterable[int]) -> DataFrame:
-    channels = m.select("channel", "channel_idx").distinct()
-    return channels.withColumn("crop_id", F.explode(F.array(*(F.lit(c) for c in crops))))
+def _by_channel(samples: DataFrame) -> DataFrame:
+    """One row per channel with its crops' moments (``a``), so that crops are compared within the row.
+
+    The pixels are read once; joins of the moments with themselves would read
+    them again wherever Spark prunes the sides differently.
+    """
+    one = F.struct("crop_id", "mu", "sd", "sd1", "n", "n_rows")
+    return moments(samples).groupBy("channel", "channel_idx").agg(F.sort_array(F.collect_list(one)).alias("a"))
+
+
+def _each_crop(rows: DataFrame, crops: Iterable[int] | None, score) -> DataFrame:
+    """``score(own, others)`` for each crop of ``crops``, or for each crop that occurs; ``own`` is null for one without rows."""
+    listed = F.array(*(F.lit(c) for c in crops)) if crops is not None else F.transform("a", lambda x: x["crop_id"])
+    out = rows.withColumn("crop_id", F.explode(listed))
+    own = F.filter("a", lambda x: x["crop_id"] == F.col("crop_id"))
+    others = F.filter("a", lambda x: x["crop_id"] != F.col("crop_id"))
+    out = out.withColumns({"_own": F.get(own, F.lit(0)), "_others": others})
+    return out.select("crop_id", "channel", "channel_idx", score(F.col("_own"), F.col("_others")).alias("score"))
 
 
-def _pairwise(m: DataFrame, sd: str, eps: float) -> DataFrame:
-    """Mean over the other crops; null if any pair lacks a value. Crops x channels rows joined on the channel."""
-    o = m.select("channel", F.col("crop_id").alias("_o"), F.col("mu").alias("_mu"), F.col(sd).alias("_sd"))
-    si = F.abs(F.col("mu") - F.col("_mu")) / (1.96 * (F.col(sd) + F.col("_sd")) + eps)
-    pairs = m.join(o, "channel").where(F.col("crop_id") != F.col("_o")).withColumn("si", si)
-    return pairs.groupBy("crop_id", "channel").agg(F.when(F.count("si") == F.count("*"), F.avg("si")).alias("score"))
+def _mean(values: Column) -> Column:
+    """Mean of an array, null for an empty one or one with a null."""
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def _separations(own: Column, others: Column, sd: str, eps: float) -> Column:
+    return F.transform(others, lambda o: F.abs(own["mu"] - o["mu"]) / (1.96 * (own[sd] + o[sd]) + eps))
 
 
 def gsi_pairwise(samples: DataFrame, crops: Iterable[int], eps: float = 1e-6, min_pixels: int = MIN_PIXELS) -> DataFrame:
@@ -41,34 +58,33 @@ def gsi_pairwise(samples: DataFrame, crops: Iterable[int], eps: float = 1e-6, mi
     A crop of fewer than ``min_pixels`` rows scores 0 and is no partner; a
     channel missing for one crop is missing for all its pairs, and scores 0.
     """
-    crops = list(crops)
-    m = moments(samples).where(F.col("n_rows") >= min_pixels)
-    return _grid(moments(samples), crops).join(_pairwise(m, "sd", eps), ["crop_id", "channel"], "left").select("crop_id", "channel", "channel_idx", F.coalesce("score", F.lit(0.0)).alias("score"))
+    enough = _by_channel(samples).withColumn("a", F.filter("a", lambda x: x["n_rows"] >= min_pixels))
+    return _each_crop(enough, list(crops), lambda own, others: F.coalesce(_mean(_separations(own, others, "sd", eps)), F.lit(0.0)))
 
 
 def gsi_one_vs_rest(samples: DataFrame, crops: Iterable[int], eps: float = 1e-6, min_pixels: int = MIN_PIXELS) -> DataFrame:
     """Each crop against all other crops' pixels together.
 
-    The rest's moments come from the crops' own by merging central moments, so
-    the pixels are read once for all crops. A missing value scores null, a crop
-    of few rows 0.
+    The rest's moments come from the crops' own by merging central moments. A
+    missing value scores null, a crop of few rows 0.
     """
-    m = moments(samples).withColumn("m2", F.col("sd") * F.col("sd") * F.col("n"))
-    o = m.select("channel", F.col("crop_id").alias("_o"), F.col("mu").alias("_mu"), F.col("n").alias("_n"), F.col("m2").alias("_m2"))
-    rest = m.select("crop_id", "channel").join(o, "channel").where(F.col("crop_id") != F.col("_o")).groupBy("crop_id", "channel")
-    rest = rest.agg(F.sum("_n").alias("rn"), (F.sum(F.col("_mu") * F.col("_n")) / F.sum("_n")).alias("rmu"), F.sum("_m2").alias("rm2"), F.sum(F.col("_mu") * F.col("_mu") * F.col("_n")).alias("rmm"))
-    rsd = F.sqrt(F.greatest((F.col("rm2") + F.col("rmm") - F.col("rn") * F.col("rmu") * F.col("rmu")) / F.col("rn"), F.lit(0.0)))
-    si = F.abs(F.col("mu") - F.col("rmu")) / (1.96 * (F.col("sd") + rsd) + eps)
-    scored = m.join(rest, ["crop_id", "channel"]).select("crop_id", "channel", F.when(F.col("n_rows") < min_pixels, 0.0).otherwise(si).alias("score"), F.lit(True).alias("_has"))
-    return _grid(m, list(crops)).join(scored, ["crop_id", "channel"], "left").select("crop_id", "channel", "channel_idx", F.when(F.col("_has"), F.col("score")).otherwise(0.0).alias("score"))
+
+    def score(own: Column, others: Column) -> Column:
+        full = F.filter(others, lambda o: o["n"] > 0)
+        total = lambda f: F.aggregate(full, F.lit(0.0), lambda acc, o: acc + f(o))
+        n = F.nullif(total(lambda o: o["n"]), F.lit(0.0))
+        mean = total(lambda o: o["mu"] * o["n"]) / n
+        spread = total(lambda o: o["n"] * (o["sd"] * o["sd"] + o["mu"] * o["mu"])) / n - mean * mean
+        si = F.abs(own["mu"] - mean) / (1.96 * (own["sd"] + F.sqrt(F.greatest(spread, F.lit(0.0)))) + eps)
+        return F.when(own.isNull() | (own["n_rows"] < min_pixels), 0.0).otherwise(si)
+
+    return _each_crop(_by_channel(samples), list(crops), score)
 
 
 def gsi_legacy(samples: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Pairwise with sample deviations, class 0 left out, no least number of pixels; missing pairs are skipped."""
-    m = moments(samples.where(F.col("crop_id") != 0))
-    o = m.select("channel", F.col("crop_id").alias("_o"), F.col("mu").alias("_mu"), F.col("sd1").alias("_sd"))
-    si = F.abs(F.col("mu") - F.col("_mu")) / (1.96 * (F.col("sd1") + F.col("_sd")) + eps)
-    return m.join(o, "channel").where(F.col("crop_id") != F.col("_o")).groupBy("crop_id", "channel", "channel_idx").agg(F.avg(si).alias("score"))
+    rows = _by_channel(samples.where(F.col("crop_id") != 0))
+    return _each_crop(rows, None, lambda own, others: _mean(F.filter(_separations(own, others, "sd1", eps), lambda x: x.isNotNull())))
 
 
 def _key(by: str) -> Column:
