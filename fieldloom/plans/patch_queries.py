@@ -145,7 +145,7 @@ def g13_dynamic_weights(fx: Fixtures) -> DataFrame:
 
 
 @query(
-    f"""SELECT coalesce(role, 'all') AS role, CAST(coalesce(cls, -1) AS INT) AS class_id, count(*) AS n_px, round(count(*) * 0.01, 6) AS hectares, round(CASE WHEN grouping(role) = 1 THEN 100 ELSE 100 * count(*) / max(any_value(t)) OVER (PARTITION BY role) END, 6) AS pct
+    f"""SELECT coalesce(role, 'all') AS role, CAST(coalesce(cls, -1) AS INT) AS class_id, count(*) AS n_px, round(count(*) * CAST(0.01 AS DOUBLE), 6) AS hectares, round(CASE WHEN grouping(role) = 1 THEN 100 ELSE 100 * count(*) / max(any_value(t)) OVER (PARTITION BY role) END, 6) AS pct
     FROM (SELECT role, CASE WHEN cdl_id IN {KEEP} THEN cdl_id ELSE 0 END AS cls, count(*) OVER (PARTITION BY role) AS t FROM (SELECT CASE WHEN r % 5 = 0 THEN 'test' ELSE 'train' END AS role, cdl_id FROM px_labels)) GROUP BY ROLLUP (role, cls)"""
 )
 def g14_class_distribution(fx: Fixtures) -> DataFrame:
@@ -242,7 +242,7 @@ def g24_year_split(fx: Fixtures) -> DataFrame:
     return P.year_split(p, (2022, 2023), 2024)
 
 
-@query("SELECT count(*) AS n_valid, (SELECT count(DISTINCT patch_id) FROM px) AS n_total, least(count(*), 100) AS n_chips, round(least(count(*), 100) * ((40 * 25 * 4 + 25 * 8) * 0.45), 6) AS bytes FROM patches", PX)
+@query("SELECT count(*) AS n_valid, (SELECT count(DISTINCT patch_id) FROM px) AS n_total, least(count(*), 100) AS n_chips, round(least(count(*), 100) * ((40 * 25 * 4 + 25 * 8) * CAST(0.45 AS DOUBLE)), 6) AS bytes FROM patches", PX)
 def a13_estimate_chips(fx: Fixtures) -> DataFrame:
     total = pixels(fx).select("patch_id").distinct().count()
     return P.estimate_chips(patches(fx), 40, 5, total, 100)
