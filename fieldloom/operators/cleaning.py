@@ -20,25 +20,27 @@ UNKNOWN = 255
 MIN_CONFIDENCE = 55
 
 
-def _finite(value: Column) -> Column:
-    return ~F.isnan(value) & (F.abs(value) != float("inf"))
+LARGEST = 1.7976931348623157e308  # NaN and infinity order above it
+
+
+def _valid(value: Column) -> Column:
+    return value.between(0.0, LARGEST)
 
 
 def assign_nodata(obs: DataFrame, nodata: float = NODATA) -> DataFrame:
     """Negative, NaN, infinite and null values become ``nodata``."""
     v = F.col("value")
-    return obs.withColumn("value", F.when(_finite(v) & (v >= 0), v).otherwise(F.lit(nodata)))
+    return obs.withColumn("value", F.when(_valid(v), v).otherwise(F.lit(nodata)))
 
 
 def invalid_counts(obs: DataFrame, keys: Iterable[str] = ("date8",)) -> DataFrame:
-    v = F.col("value")
-    bad = ~F.coalesce(_finite(v) & (v >= 0), F.lit(False))
+    bad = ~F.coalesce(_valid(F.col("value")), F.lit(False))
     return obs.groupBy(*keys).agg(F.sum(bad.cast("long")).alias("n_invalid"), F.count("*").alias("n_total"))
 
 
 def to_null(obs: DataFrame) -> DataFrame:
     v = F.col("value")
-    return obs.withColumn("value", F.when(_finite(v) & (v >= 0), v))
+    return obs.withColumn("value", F.when(_valid(v), v))
 
 
 def has_valid_data(obs: DataFrame, height: int, width: int, size: int = 1024, min_frac: float = 0.01) -> DataFrame:

@@ -70,10 +70,13 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def labels(self) -> DataFrame:
-        return self.spark.sql(PX_LABELS, orders=self.table("orders"))
+        made = self.spark.sql(PX_LABELS, orders=self.table("orders"))
+        # the generator keeps the optimizer from copying the long formula into every use of the label
+        return made.withColumn("cdl_id", F.explode(F.array("cdl_id")))
 
     def raw_obs(self) -> DataFrame:
-        return self.spark.sql(PX_OBS, px_labels=self.labels())
+        made = self.spark.sql(PX_OBS, px_labels=self.labels())
+        return made.withColumn("value", F.explode(F.array("value")))
 
     def obs(self) -> DataFrame:
         from fieldloom.operators.cleaning import to_null
