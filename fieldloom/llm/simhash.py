@@ -166,7 +166,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = materialise(heads.groupBy("class_fingerprint").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_hex"))).alias("k"), F.count("*").alias("_rows")).select("k._id", "k._hex", "_rows"))
     plain = kept.where((F.col("_rows") > 1) | F.col("_id").isNull()).isEmpty() and kept.groupBy("_id").count().where("count > 1").isEmpty()
     if plain:
-        return docs.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+        # kept ids grow with the input; without the hint small inputs would broadcast them and large ones not
+        return docs.join(kept.select(F.col("_id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
     # some ids repeat: tell their rows apart by fingerprint, and keep one of each
     hex_col = fresh(docs, "_fp_hex")
     printed = fingerprint(docs, text_col, hex_col).withColumn(hex_col, _hex(hex_col))
