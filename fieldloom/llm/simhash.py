@@ -163,8 +163,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = near_duplicates(docs, id_col, text_col)
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = materialise(heads.groupBy("class_fingerprint").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_hex"))).alias("k"), F.count("*").alias("_rows")).select("k._id", "k._hex", "_rows"))
-    plain = kept.where((F.col("_rows") > 1) | F.col("_id").isNull()).isEmpty() and kept.groupBy("_id").count().where("count > 1").isEmpty()
+    kept = materialise(heads.groupBy("class_fingerprint").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_hex"))).alias("k")).select("k._id", "k._hex"))
+    plain = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
     if plain:
         # kept ids grow with the input; without the hint small inputs would broadcast them and large ones not
         return docs.join(kept.select(F.col("_id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)

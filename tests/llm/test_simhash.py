@@ -105,6 +105,12 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs, rows):
     assert again.isEmpty()
 
 
+def test_an_id_of_two_texts_keeps_only_heads(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "other words here")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate(df).collect())) == [(3, a), (5, b), (9, "other words here")]
+
+
 def test_empty_and_clashing_columns(spark, empty, docs):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.deduplicate(empty).collect() == []
     odd = docs.withColumn("_id", F.lit(1)).withColumn("_fp_hex", F.lit("x")).withColumn("fingerprint", F.lit(2))
