@@ -150,7 +150,8 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     mix = slots(targets, block, seed).withColumnRenamed("source", "_src").withColumnRenamed("block", "_block")
     cut = pieces(stream(units, sizes), block)
     # blocks by index; no source and block holds more than block pieces, nor more than max_repeat slots.
-    met = cut.join(mix, F.col("source").eqNullSafe(F.col("_src")) & (F.col("block") == F.col("_block"))).where(F.col("begin") < F.col("words"))
+    # The slots are listed from a small table and would be taken for small themselves, hence the hint.
+    met = cut.join(mix.hint("merge"), F.col("source").eqNullSafe(F.col("_src")) & (F.col("block") == F.col("_block"))).where(F.col("begin") < F.col("words"))
     met = met.withColumn("taken", F.least("end", "words") - F.col("begin"))
     return units, targets, met
 
