@@ -27,6 +27,7 @@ SAMPLE_CHARS = 32_000  # of each language
 MAX_LANGUAGES = 200
 DOC_CHARS = 8_000  # a longer text isn't drawn into the sample
 ALONE = 64  # texts left when the rest is parsed one by one
+TOGETHER = 12_000_000  # characters parsed side by side
 
 
 class Automata:
@@ -39,7 +40,7 @@ class Automata:
         self.n_symbols = len(letters) + 3
         own = {c: i + 1 for i, c in enumerate(letters)}
         other = len(letters) + 1
-        table = np.zeros(0x110000, np.int32)
+        table = np.zeros(0x110000, np.uint16)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
@@ -103,7 +104,7 @@ class Automata:
         """Phrases of each text in each language (languages x texts)."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lens = np.array([len(texts[i]) for i in order])
-        flat = np.concatenate([texts[i] for i in order]) if order else np.empty(0, np.int32)
+        flat = np.concatenate([texts[i] for i in order]) if order else np.empty(0, np.uint16)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if order else lens
         # every miss begins a phrase, and so does a first symbol that isn't one
         first = np.array([texts[i][0] if len(texts[i]) else 0 for i in order], np.int32)
@@ -143,8 +144,15 @@ class Automata:
                 known[t] = len(known)
         if not known or not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        cut = [self.symbols(t) for t in known]
-        bits = self.phrases(cut) * self.bits[:, None] / np.array([max(1, len(c)) for c in cut])
+        parts, group, held = [], [], 0
+        for t in [*known, None]:
+            if t is not None:
+                group.append(self.symbols(t))
+                held += len(t)
+            if group and (t is None or held >= TOGETHER):
+                parts.append(self.phrases(group) * self.bits[:, None] / np.array([max(1, len(c)) for c in group]))
+                group, held = [], 0
+        bits = np.concatenate(parts, axis=1)
         best = bits.argmin(axis=0)
         ranked = np.sort(bits, axis=0)
         margin = 1 - ranked[0] / ranked[1] if len(ranked) > 1 else np.ones(bits.shape[1])
