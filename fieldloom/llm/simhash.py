@@ -98,7 +98,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     crowded = materialise(table.groupBy("key").count().where(F.col("count") > dense).select("key"))
     sparse = table.join(crowded, "key", "left_anti")
     pairs = (
-        lookups.join(sparse, "key")
+        lookups.hint("merge").join(sparse, "key")  # a few dozen rows for each fingerprint, which Spark does not foresee
         .where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= BITS) & (F.col("fp") != F.col("other")))
         .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     )
