@@ -140,7 +140,7 @@ def sketch_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             return (now[1], len(now[2]), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), encode(now[3]), encode(e), jaccard(now[3], e), jaccard(now[3], other), containment(e, now[3]))
 
         out: list[tuple] = []
-        for b in batches:
+        for b in (c.slice(i, 200) for c in batches for i in range(0, c.num_rows, 200)):  # few texts as Python strings at once
             for bucket, lent, id_, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if held is not None and held[0] != bucket:
                     held = None
