@@ -31,7 +31,7 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 1 << 21
 END = 1
-CACHE = 400_000
+CACHE = 200_000
 
 # White space as the vocabulary's pattern sees it, and letters and numbers up to U+02C1 (fixed values)
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -179,7 +179,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
             first, group, held = first + used, [], 0
 
-        for b in batches:
+        for b in (c.slice(i, 200) for c in batches for i in range(0, c.num_rows, 200)):  # few texts as Python strings at once
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = bpe.encode(text) + tail
                 group.append((id_, ids))

@@ -31,7 +31,7 @@ from fieldloom.llm.tables import fresh, materialise
 N_FEATURES = 1 << 18
 MAX_FIT_ROWS = 20_000
 FIT_TASKS = 6
-CACHE = 400_000
+CACHE = 200_000
 
 _SYMBOL = re.compile(r"[^\w\s]")
 _SHAPES = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
