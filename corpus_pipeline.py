@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import mixing, packing, pii, quality, simhash
+from fieldloom.llm import mixing, packing, pii, quality, resemblance
 from fieldloom.llm.queries import tokenizer_path
 from fieldloom.llm.tables import materialise, read
 
@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group."""
-    return simhash.deduplicate(docs)
+    """The document of the least id of each group by word shingles of similarity 0.8 or more."""
+    return resemblance.deduplicate(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

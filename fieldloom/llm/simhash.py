@@ -17,6 +17,8 @@ meets at one, so linking each to the least that meets there loses no link.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -144,8 +146,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay and get equal values; an empty table gives no rows.
     """
     printed = materialise(fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle=shingle).select("_id", F.col("_fp").alias("fp")))
+    return grouped(printed, links, id_col)
+
+
+def grouped(printed: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+    """The rows of ``printed (_id, fp long)`` with their groups, by the pairs that ``link`` finds among distinct ``fp``."""
     groups = materialise(printed.groupBy("fp").agg(F.min("_id").alias("least_id")))
-    edges = materialise(links(groups))
+    edges = materialise(link(groups))
     roots = components(edges)
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = groups.join(roots.join(ends, "node"), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -161,7 +168,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row that repeats that id within the group is a copy and goes too; of a
     group without any id one row of the least fingerprint stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return keep_heads(docs, near_duplicates(docs, id_col, text_col), fingerprint, id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, found: DataFrame, prints: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """One row of each group of ``found``; ``prints`` adds the fingerprint to ``docs``."""
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     kept = materialise(heads.groupBy("class_fingerprint").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_hex"))).alias("k")).select("k._id", "k._hex"))
     plain = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
@@ -170,6 +181,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return docs.join(kept.select(F.col("_id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
     # some ids repeat: tell their rows apart by fingerprint, and keep one of each
     hex_col = fresh(docs, "_fp_hex")
-    printed = fingerprint(docs, text_col, hex_col).withColumn(hex_col, _hex(hex_col))
+    printed = prints(docs, text_col, hex_col).withColumn(hex_col, _hex(hex_col))
     again = printed.join(kept, printed[id_col].eqNullSafe(kept["_id"]) & (printed[hex_col] == kept["_hex"]), "left_semi")
     return again.dropDuplicates([id_col, hex_col]).select(*docs.columns)
