@@ -4,8 +4,8 @@ A document's tokens are cut into full sequences and a rest. The rests of about
 ``group_tokens`` tokens are packed together, in descending length: each goes to
 the sequence of the lowest estimated cost (linear in tokens plus quadratic in
 each piece, as attention within a piece is) that has room for it. The number of
-sequences is the least that can hold the group, so a rest that fits nowhere is
-cut over the emptiest ones and a group wastes less than one sequence.
+sequences is the least that can hold the group, so a rest that no sequence can
+hold is cut over the emptiest ones at the end and a group wastes less than one sequence.
 
 Each task packs its own rows as they come, with one group in memory; nothing is
 shuffled. Sequence numbers join the number of the partition and a count.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import math
 import re
 from pathlib import Path
 
@@ -81,30 +82,54 @@ def cost(length: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> f
 def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[int, list[list[tuple[int, int]]]]:
     """Sequences used, and the pieces of each item in order as (sequence, length).
 
-    Items are placed in descending length, ties in the given order. A heap by
-    cost hands out sequences; those without room are set aside until the item
-    is placed.
+    Items are placed in descending length, ties in the given order, each in the
+    sequence of the lowest cost (ties: the first) of all that have room. An item
+    that none can hold is cut when all others are placed. ``best`` is a segment
+    tree over remaining room, whose leaves are heaps by cost.
     """
     n = -(-sum(lengths) // capacity)
     room = [capacity] * n
-    heap = [(0.0, i) for i in range(n)]
+    none = (math.inf, -1)
+    leaves: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    leaves[capacity] = [(0.0, i) for i in range(n)]
+    best = [none] * (2 * capacity + 2)
+
+    def renew(r: int) -> None:
+        at = r + capacity + 1
+        best[at] = leaves[r][0] if leaves[r] else none
+        while at > 1:
+            at >>= 1
+            best[at] = min(best[2 * at], best[2 * at + 1])
+
+    def cheapest(size: int) -> tuple[float, int]:
+        found, low, high = none, size + capacity + 1, 2 * capacity + 2
+        while low < high:
+            if low & 1:
+                found = min(found, best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = min(found, best[high])
+            low >>= 1
+            high >>= 1
+        return found
+
+    renew(capacity)
     out: list[list[tuple[int, int]]] = [[] for _ in lengths]
     spill = []
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        size, aside = lengths[item], []
-        while heap and room[heap[0][1]] < size and len(aside) < 64:
-            aside.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= size:
-            c, i = heapq.heappop(heap)
-            room[i] -= size
-            out[item].append((i, size))
-            if room[i]:
-                heapq.heappush(heap, (c + cost(size, linear, quadratic), i))
-        else:
+        size = lengths[item]
+        c, i = cheapest(size)
+        if i < 0:
             spill.append(item)
-        for x in aside:
-            heapq.heappush(heap, x)
-    # what found no room among the cheapest is placed whole where it fits closest, else cut over the emptiest
+            continue
+        heapq.heappop(leaves[room[i]])
+        renew(room[i])
+        room[i] -= size
+        out[item].append((i, size))
+        heapq.heappush(leaves[room[i]], (c + cost(size, linear, quadratic), i))
+        renew(room[i])
+    # room only shrinks, so what found none finds none now: cut over the emptiest, the end placed where it fits closest
     by_room = sorted((r, i) for i, r in enumerate(room) if r)
     for item in spill:
         left = lengths[item]

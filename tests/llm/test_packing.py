@@ -104,3 +104,21 @@ def test_small_groups_and_empty_table(docs, empty):
     many = P.pack(docs, tokenizer_path(), group_tokens=3000)
     assert many.agg(F.sum("length")).first()[0] == P.pack(docs, tokenizer_path()).agg(F.sum("length")).first()[0]
     assert P.pack(empty, tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize("mean", [4.0, 5.5, 6.5])
+def test_each_item_goes_to_the_cheapest_of_all_with_room(mean):
+    rng = random.Random(3)
+    lengths = [min(2047, max(1, int(rng.lognormvariate(mean, 1)))) for _ in range(1500)]
+    n, places = P.assign(lengths)
+    room, costs = [P.CAPACITY] * n, [0.0] * n
+    for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        size = lengths[item]
+        fits = [(costs[i], i) for i in range(n) if room[i] >= size]
+        if not fits:
+            assert len(places[item]) > 1
+            continue
+        i = min(fits)[1]
+        assert places[item] == [(i, size)]
+        room[i] -= size
+        costs[i] += P.cost(size)
