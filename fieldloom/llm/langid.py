@@ -25,7 +25,8 @@ from fieldloom.llm.tables import fresh, materialise
 
 SAMPLE_CHARS = 32_000  # of each language
 MAX_LANGUAGES = 200
-DOC_CHARS = 8_000  # a longer text isn't drawn into the sample
+DOC_CHARS = 8_000  # of each text at most
+SALTS = 256  # parts of a language that are sorted apart
 ALONE = 64  # texts left when the rest is parsed one by one
 TOGETHER = 12_000_000  # characters parsed side by side
 
@@ -177,22 +178,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def draw_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Whole texts of each language in the order of a hash of text, until ``sample_chars`` are reached.
+    """Texts of each language in the order of a hash of text, until ``sample_chars`` are reached.
 
     Bounded by ``MAX_LANGUAGES`` (the most frequent ones) times ``sample_chars``
-    plus one text; texts over ``DOC_CHARS`` are passed over. Copies count once.
+    plus one text. Of a text over ``DOC_CHARS`` so many symbols from its first
+    letter on are taken. Copies count once: they are gathered first. Then each
+    of ``SALTS`` parts of a language gives its own first texts, and the sample is drawn
+    from those.
     """
-    fit = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    n = F.length(text_col)
-    narrow = fit.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.when(n <= DOC_CHARS, n).alias("n"))
-    # a text of n symbols fills the sample at least by one: sample_chars / 64 texts are enough in practice
-    most = sample_chars // 64
-    first = narrow.where("n is not null").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= 4 * most)
-    first = first.groupBy("lang", "h").agg(F.max("n").alias("n"))
-    running = first.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("h")) - F.col("n")).where(F.col("before") < sample_chars)
-    langs = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    chosen = materialise(running.join(F.broadcast(langs), "lang").select("lang", "h"))
-    texts = fit.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where(F.length("t") <= DOC_CHARS)
+    text = F.col(text_col)
+    fit = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    piece = F.when(F.length(text) <= DOC_CHARS, text).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, DOC_CHARS))
+    texts = fit.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), piece.alias("t"))
+    distinct = materialise(texts.groupBy("lang", "h").agg(F.max(F.length("t")).alias("n"), F.count("*").alias("times")))
+    langs = distinct.groupBy("lang").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "lang").limit(MAX_LANGUAGES).select("lang")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("h")) - F.col("n")).where(F.col("before") < sample_chars)
+
+    salted = first(distinct.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS))), "lang", "salt")
+    chosen = materialise(first(salted, "lang").join(F.broadcast(langs), "lang").select("lang", "h"))
     rows = texts.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("t").alias("t")).collect()  # bounded: see above
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):

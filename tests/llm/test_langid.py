@@ -85,3 +85,20 @@ def test_empty_tables(spark, empty):
     assert samples == {} and L.identify(empty, samples).collect() == []
     one = spark.createDataFrame([(1, "abc", 2)], "doc_id long, text string, lang_id int")
     assert L.identify(one, {}).collect()[0]["lang_id_"]["lang_pred"] == "und"
+
+
+def test_many_copies_do_not_shrink_the_sample(spark):
+    rng = random.Random(4)
+    own = [text("aa", 20, rng) for _ in range(60)]
+    hashes = spark.createDataFrame([(t,) for t in own], "t string").select("t", F.xxhash64("t").alias("h")).orderBy("h").collect()
+    rows = [(i, t, "aa") for i, t in enumerate(own * 2)] + [(1000 + i, hashes[0].t, "aa") for i in range(300)]
+    samples = L.draw_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", sample_chars=2000)
+    assert 2000 <= sum(map(len, samples["aa"])) < 2000 + max(map(len, own)) and len(set(samples["aa"])) == len(samples["aa"])
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, "1 " * 9000 + text(k, 4000, rng), k) for i, k in enumerate(list(SYLLABLES) * 4)]
+    samples = L.draw_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert set(samples) == set(SYLLABLES)
+    assert all(len(t) == L.DOC_CHARS and t[0].isalpha() for texts in samples.values() for t in texts)
