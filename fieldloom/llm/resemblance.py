@@ -1,7 +1,12 @@
 """Near-duplicates by word shingles: all pairs of texts whose sets have a Jaccard similarity of 0.8 or more.
 
 A text stands for the set of the hashes of its five-word shingles; equal sets
-are one node. Sorted by hash, two sets of sizes ``n`` and ``m`` that are alike
+are one node. The SimHash fingerprints of the sets find the closest pairs first,
+by multi-index hashing as in :mod:`simhash`, and their sets are compared. Most
+pairs at 0.8 lie further apart than small Hamming balls reach, so the rest is
+found on the sets themselves.
+
+Sorted by hash, two sets of sizes ``n`` and ``m`` that are alike
 share at least ``n // 10 + 1`` of the first ``n - ceil(0.8 n) + 1 + n // 10``
 hashes of one of them, the prefix. So only prefixes are joined. Pairs that share too few
 of their prefixes are left out, and the others are verified on whole sets.
@@ -9,8 +14,13 @@ of their prefixes are left out, and the others are verified on whole sets.
 A hash in the prefixes of more than ``dense`` sets would give pairs in the
 square of their number. A pair can lie within such hashes alone only if both
 sets have several of them. Those sets are first compared with one set for each
-hash, a few times over; then all pairs are compared that are not connected yet.
-Connectivity is exact: no link between two groups is lost.
+hash, a few times over. Then their hashes are put in another order, the rarest
+first, and the prefixes of that order are joined: a passage that many sets share
+comes last there, so it brings two sets together only if they hold little else.
+Of those, a pair goes on only if the parities of its sets' hashes in ``PARITIES``
+classes differ in no more places than alike sets may have hashes apart; so near
+copies that are just not alike leave no rows. Connectivity is exact: no link
+between two groups is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +38,8 @@ from fieldloom.llm.tables import materialise
 SHINGLE = 5
 SIMILARITY = 80  # hundredths
 DENSE = 32
-ROUNDS = 3
+PARITIES = 512
+FIRST = 32
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -60,15 +71,33 @@ def with_set_id(docs: DataFrame, text_col: str = "text", name: str = "_fp") -> D
     return docs.withColumn(name, of(F.col(text_col)))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITIES`` classes of hashes, by their first bits, holds an odd number, as 64-bit integers."""
+    odd = np.bincount((hashes // np.uint64((1 << 64) // PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _with_sets(docs: DataFrame) -> DataFrame:
-    """``_id, fp, hashes`` from ``_id, _text``."""
+    """``_id, fp, print, odd, hashes`` from ``_id, _text``; ``print`` is the set's SimHash, ``odd`` its parities."""
 
-    @F.pandas_udf("struct<fp long, hashes array<long>>")
+    @F.pandas_udf("struct<fp long, print long, odd array<long>, hashes array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "hashes": [s.view(np.int64) for s in sets]})
+        ids, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (set_id, simhash.majority))
+        return pd.DataFrame({"fp": ids, "print": prints, "odd": [parities(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+
+    return docs.select("_id", of(F.col("_text")).alias("s")).select("_id", "s.fp", "s.print", "s.odd", "s.hashes")
 
-    return docs.select("_id", of(F.col("_text")).alias("s")).select("_id", "s.fp", "s.hashes")
+
+def _fingerprint_links(sets: DataFrame) -> DataFrame:
+    """``a, b``: of the sets whose SimHash fingerprints are linked, those that are alike."""
+    prints = materialise(sets.where(F.size("hashes") > 0).groupBy("fp").agg(F.first("print").alias("print")))
+    heads = materialise(prints.groupBy("print").agg(F.min("fp").alias("head")))
+    within = prints.join(heads, "print").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(heads.select(F.col("print").alias("fp")))
+    for end in ("a", "b"):
+        near = near.join(heads.toDF(end, f"_{end}"), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return _verified(materialise(within.union(near.select("a", "b"))), sets)
 
 
 def _alike_in_size(n, m):
@@ -85,10 +114,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(both.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * SIMILARITY).select("a", "b"))
 
 
-def _pairs(rows: DataFrame, condition) -> DataFrame:
-    """``a, b`` of the pairs that meet at some key, with ``c``, the number of keys; ``rows``: key, fp, n, d, root."""
+def _pairs(rows: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs that meet at enough keys; ``rows``: key, fp, n, and d, the keys of the set that are left out."""
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _alike_in_size(F.col("x.n"), F.col("y.n")) & condition)
+    met = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _alike_in_size(F.col("x.n"), F.col("y.n")))
     least = F.least(F.expr("x.n div 10"), F.expr("y.n div 10")) + 1 - F.least("x.d", "y.d")
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), least.alias("least")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("least").alias("least")).where("c >= least").select("a", "b")
 
@@ -107,25 +136,57 @@ def links(sets: DataFrame, dense: int = DENSE) -> DataFrame:
     many = materialise(crowded.groupBy("fp").agg(F.count("*").alias("d"))) if some else None
     rest = shared.where(F.col("times") <= dense).select("key", "fp", "n")
     rest = rest.join(many, "fp", "left").select("key", "fp", "n", d.alias("d")) if some else rest.withColumn("d", F.lit(0))
-    edges = _verified(materialise(_pairs(rest, F.lit(True))), sets)
+    edges = materialise(_fingerprint_links(sets).union(_verified(materialise(_pairs(rest)), sets)).distinct())
     if not some:
         return edges
     full = materialise(crowded.select("key", "fp", "n").join(many, "fp").where("d > n * 8 div 100"))
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
         roots = components(edges)
-        return materialise(full.join(roots, full["fp"] == roots["node"], "left").select("key", "fp", "n", F.lit(0).alias("d"), F.coalesce("root", "fp").alias("root")))
-
-    for salt in range(ROUNDS):
-        rows = labelled()
-        heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(salt)).alias("h"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("k")).select("key", "k.*")
-        stars = rows.join(heads, "key").where((F.col("root") != F.col("to")) & _alike_in_size(F.col("n"), F.col("m")))
-        found = _verified(materialise(stars.select(F.col("fp").alias("a"), "b").distinct()), sets)
-        if found.isEmpty():
-            break
-        edges = materialise(edges.union(found))
-    apart = _verified(materialise(_pairs(labelled(), F.col("x.root") != F.col("y.root"))), sets)
-    return edges.union(apart).distinct()
+        return materialise(rows.join(roots, rows["fp"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "fp").alias("root")))
+
+    rare = _rare_first(sets, full.select("fp").distinct())
+    for salt, rows in enumerate((full, rare, rare)):
+        edges = materialise(edges.union(_verified(materialise(_stars(labelled(rows), salt)), sets)))
+    return edges.union(_verified(materialise(_apart(labelled(rare), sets)), sets)).distinct()
+
+
+def _stars(rows: DataFrame, salt: int) -> DataFrame:
+    """``a, b``: each set with the hashed-first one of each of its keys, where their groups differ."""
+    heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(salt)).alias("h"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("k")).select("key", "k.*")
+    met = rows.join(heads, "key").where((F.col("root") != F.col("to")) & _alike_in_size(F.col("n"), F.col("m")))
+    return met.select(F.col("fp").alias("a"), "b").distinct()
+
+
+def _rare_first(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``key, fp, n, first``: the first ``n - ceil(0.8 n) + 1`` hashes of the chosen sets, by rarity among them and then by hash.
+
+    A hash that no other chosen set has takes a place but meets nothing, so it isn't listed.
+    ``first`` holds the first ``FIRST`` of a set that are.
+    """
+    n = F.size("hashes")
+    own = materialise(sets.join(chosen, "fp", "left_semi").dropDuplicates(["fp"]))
+    rows = own.select(F.explode("hashes").alias("key"), "fp", n.alias("n"))
+    often = materialise(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
+    met = rows.hint("merge").join(often, "key").groupBy("fp").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("k"))
+    left = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("k"))
+    prefix = met.where(left > 0).select("fp", "n", F.slice("k.key", 1, left.cast("int")).alias("k"))
+    return prefix.select(F.explode("k").alias("key"), "fp", "n", F.slice("k", 1, FIRST).alias("first"))
+
+
+def _apart(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: sets of different groups that share a hash of ``rows (key, fp, n, root)`` and may be alike by their parities."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rows = rows.hint("merge").join(mixed, "key", "left_semi")
+    rows = materialise(rows.join(sets.groupBy("fp").agg(F.first("odd").alias("odd")), "fp"))
+    x, y = rows.alias("x"), rows.alias("y")
+    differ = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(1, PARITIES // 64)), F.bit_count(F.col("x.odd")[0].bitwiseXOR(F.col("y.odd")[0])))
+    # alike sets differ in at most a ninth of their hashes
+    may = _alike_in_size(F.col("x.n"), F.col("y.n")) & (differ * 9 <= F.col("x.n") + F.col("y.n"))
+    # of the keys that a pair shares, the first is enough
+    may = may & (F.coalesce(F.get(F.array_intersect("x.first", "y.first"), F.lit(0)), F.col("x.key")) == F.col("x.key"))
+    met = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & may)
+    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:

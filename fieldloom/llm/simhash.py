@@ -44,6 +44,11 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
         hashes = [xxh(b" ".join(words), 42)]
     else:
         hashes = [xxh(b" ".join(g), 42) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return majority(hashes)
+
+
+def majority(hashes) -> int:
+    """The bits that more than half the hashes have; 0 for none."""
     totals = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         part = np.array(hashes[i : i + 8192], "<u8").view(np.uint8).reshape(-1, 8)

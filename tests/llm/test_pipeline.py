@@ -37,12 +37,11 @@ def test_quality_rejects_bad_and_keeps_good_documents(spark, steps):
 
 
 def test_near_duplicates_leave_one_of_each_class(steps):
-    from fieldloom.llm.simhash import simhash
-    from tests.llm.test_simhash import classes
+    from tests.llm.test_resemblance import classes
 
     _, before, after = steps[1]
     rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
-    heads = {rows[i][0] for i in classes([simhash(t) for _, t in rows])}
+    heads = {rows[i][0] for i in classes([t for _, t in rows])}
     assert {r[0] for r in after.select("doc_id").collect()} == heads
 
 
