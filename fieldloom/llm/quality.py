@@ -161,7 +161,7 @@ def fit(features: DataFrame, n_grades: int, n_features: int = N_FEATURES, l2: fl
     Without rows, the weights are zero and the grades equally likely.
     """
     k = n_grades - 1
-    features = materialise(features.coalesce(FIT_TASKS)).coalesce(FIT_TASKS)
+    features = materialise(materialise(features).coalesce(FIT_TASKS)).coalesce(FIT_TASKS)  # the corpus is read at full width
     count = features.count()
     raw = np.concatenate([[-np.log(max(k, 1))], np.zeros(k - 1)])
     theta = np.concatenate([np.zeros(n_features), raw])
@@ -252,11 +252,14 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", tail_gra
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
-    """``doc_id, grade``: 0 toxic, 1 of low quality, 2 good. A row with neither label has no grade."""
-    return labels.select(
-        "doc_id",
-        F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") >= 1, 2).alias("grade"),
-    )
+    """``doc_id, grade``: how many of the two ratings are good, 0 to 2.
+
+    Low quality and toxicity count alike, so the grades are ordered: two faults,
+    one, none. A missing rating counts as good, and a row with neither has no grade.
+    """
+    low, toxic = F.col("quality") < 1, F.col("toxic") >= 1
+    faults = F.coalesce(low, F.lit(False)).cast("int") + F.coalesce(toxic, F.lit(False)).cast("int")
+    return labels.select("doc_id", F.when(low.isNotNull() | toxic.isNotNull(), 2 - faults).alias("grade"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, min_tail: float = 0.5, max_fit_rows: int = MAX_FIT_ROWS, n_features: int = N_FEATURES) -> DataFrame:
