@@ -1,55 +1,49 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a 128-bit key: a 64-bit hash of the text, then the id, so
-copies of a text lie next to each other and a large group of copies can still
-be cut between two ids. The splitters are found by counting: every round sends
+Rows are ordered by a 192-bit key: 64-bit hashes of the text, of the id, and of
+the row's place in the input. So copies of a text lie next to each other, a
+large group of copies is cut between its ids, and rows that are equal in both
+are cut as well. The splitters are found by counting: every round sends
 a few candidate boundaries for each unsettled splitter to all partitions, adds
 up the exact bytes (and rows) below each, and narrows the interval that holds
 the splitter, until the nearest boundary misses its target by no more than the
 tolerance or the interval holds one key. Then the rows are exchanged once.
 
-A shard is cut further into pieces of about ``piece_bytes``, each of which is
-ordered in one task, so no task grows with the input. The exact row counts
-below the piece boundaries turn places within a piece into slots of the shard.
+A shard is cut further into pieces of about ``piece_bytes``. The exchange has as
+many partitions as there are pieces, dealt by the piece's number, and a task
+orders its pieces. The exact row counts below the piece boundaries turn places
+within a piece into slots of the shard.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.tables import materialise, text_or_empty
+from fieldloom.llm.tables import fresh, materialise, text_or_empty
 
-OFFSET = 1 << 63
-TOP = 1 << 128
+BITS = 192
+TOP = 1 << BITS
+PARTS = ("_high", "_low", "_tie")
 
 
 class Boundaries:
-    """Sorted 128-bit keys, searched by arrays of their two halves."""
+    """Sorted keys, searched by arrays of their three parts."""
 
     def __init__(self, keys: list[int]):
-        self.keys = keys
-        self.high = np.array([k >> 64 for k in keys], np.uint64)
-        self.low = np.array([k & (2**64 - 1) for k in keys], np.uint64)
+        self.keys = np.array([k.to_bytes(BITS // 8, "big") for k in keys], f"S{BITS // 8}")
 
-    def place(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    def place(self, *parts: np.ndarray) -> np.ndarray:
         """How many boundaries are at or below each key."""
-        first, last = np.searchsorted(self.high, high, "left"), np.searchsorted(self.high, high, "right")
-        out = first.copy()
-        for i in np.unique(first[first < last]):
-            at = np.flatnonzero((first == i) & (first < last))
-            out[at] = i + np.searchsorted(self.low[i : last[at[0]]], low[at], "right")
-        return out
+        whole = np.stack(parts, axis=1).astype(">u8")
+        return np.searchsorted(self.keys, whole.view(self.keys.dtype)[:, 0], "right")
 
 
-def _halves(high: pd.Series, low: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Signed 64-bit halves in unsigned order."""
-    flip = np.uint64(OFFSET)
-    return high.to_numpy(np.int64).view(np.uint64) ^ flip, low.to_numpy(np.int64).view(np.uint64) ^ flip
+def _unsigned(*parts: pd.Series) -> list[np.ndarray]:
+    """Signed 64-bit parts in unsigned order."""
+    return [p.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for p in parts]
 
 
 def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +53,7 @@ def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndar
     def histogram(batches):
         bytes_, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
         for b in batches:
-            at = found.place(*_halves(b["_high"], b["_low"]))
+            at = found.place(*_unsigned(*(b[p] for p in PARTS)))
             np.add.at(bytes_, at, b["size"].to_numpy(np.int64))
             rows += np.bincount(at, minlength=len(rows))
         some = np.flatnonzero(rows)
@@ -75,7 +69,7 @@ def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndar
 def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float], fan_out: int = 16) -> list[tuple[int, int]]:
     """For each target number of bytes, a boundary key and the exact rows below it.
 
-    At most about 128 / log2(fan_out) rounds; some five in practice, as hashes
+    At most about 192 / log2(fan_out) rounds; some five in practice, as hashes
     are spread evenly.
     """
     low, high = [(0, 0, 0)] * len(targets), [(TOP, None, None)] * len(targets)
@@ -102,54 +96,58 @@ def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float],
         probes = sorted(p for p in probes if 0 < p < TOP)
         bytes_, rows = count_below(keys, probes)
         for i in open_:
-            at = bisect.bisect_right(list(bytes_), targets[i])
+            at = int(np.searchsorted(bytes_, targets[i], "right"))
             if at > 0 and probes[at - 1] > low[i][0]:
                 low[i] = (probes[at - 1], int(bytes_[at - 1]), int(rows[at - 1]))
             if at < len(probes) and probes[at] < high[i][0]:
                 high[i] = (probes[at], int(bytes_[at]), int(rows[at]))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, piece_bytes: int = 16 << 20, max_pieces: int = 20_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, piece_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` plus ``size, shard, slot``: ``n_shards`` shards of nearly equal bytes.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 8. A shard's
     boundary misses the ideal place by ``tolerance`` of a shard's bytes, or by
     less than the one row that lies across it. Slots run from 0 in key order.
-    Null ids come first among copies of a text. Rows with equal id and text
-    have one key and go to one shard, in any order; an empty table gives an
-    empty result. Columns of ``docs`` named like the new ones are replaced.
+    Ids may be of any type, null or repeated; rows with equal id and text are
+    told apart by their place in the input, for which the table is written once more. An empty table gives an empty
+    result. A new column whose name ``docs`` has gets an underscore.
 
-    Pieces hold ``piece_bytes`` or, beyond ``max_pieces`` of them, grow; their
-    boundaries are all that the driver holds.
+    The driver holds the pieces' boundaries and no rows.
     """
-    fixed = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot", "_high", "_low", "_piece")]
+    size, shard, slot = (fresh(docs, x) for x in ("size", "shard", "slot"))
+    hidden = ["_size", "_piece", "_at", *PARTS]
+    if taken := {c.lower() for c in docs.columns} & set(hidden):
+        raise ValueError(f"rename the columns {sorted(taken)}")
     text = text_or_empty(text_col)
     keyed = docs.select(
-        *(F.col(f"`{c}`") for c in fixed),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
+        "*",
+        (F.octet_length(text) + 8).cast("long").alias("_size"),
         F.xxhash64(text).alias("_high"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-OFFSET)).alias("_low"),
+        F.xxhash64(F.lit(1), F.col(id_col)).alias("_low"),
     )
-    keys = materialise(keyed.select("size", "_high", "_low"))
+    repeated = not keyed.groupBy("_high", "_low").count().where("count > 1").isEmpty()
+    # equal rows are told apart by a number that is written with them, so that it is the same in every pass
+    keyed = materialise(keyed.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))) if repeated else keyed.withColumn("_tie", F.lit(0).cast("long"))
+    keys = materialise(keyed.select(F.col("_size").alias("size"), *PARTS))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    pieces = max(1, min(round(total / n_shards / piece_bytes), max_pieces // n_shards))  # of each shard
+    pieces = max(1, round(total / n_shards / piece_bytes))  # of each shard
     n = n_shards * pieces
     targets = [total * i // n for i in range(1, n)]
     shard_bytes = total / n_shards
     tolerances = [shard_bytes * tolerance if i % pieces == 0 else shard_bytes / pieces * 0.2 for i in range(1, n)]
     splitters = find_splitters(keys, targets, tolerances)
     found = Boundaries([k for k, _ in splitters])
-    rows_below = [0, *(r for _, r in splitters)]
+    rows_below = np.array([0, *(r for _, r in splitters)])
 
     @F.pandas_udf("struct<piece int, shard int, before long>")
-    def place(high: pd.Series, low: pd.Series) -> pd.DataFrame:
+    def place(high: pd.Series, low: pd.Series, tie: pd.Series) -> pd.DataFrame:
         # equal splitters leave empty pieces between them, which place() skips
-        piece = found.place(*_halves(high, low))
-        shard = piece // pieces
-        below = np.array(rows_below)
-        return pd.DataFrame({"piece": piece.astype(np.int32), "shard": shard.astype(np.int32), "before": below[piece] - below[shard * pieces]})
-
-    placed = keyed.withColumn("_piece", place("_high", "_low"))
-    here = Window.partitionBy("_piece.piece").orderBy("_high", "_low")
-    slot = F.col("_piece.before") + F.row_number().over(here) - 1
-    return placed.select(*(F.col(f"`{c}`") for c in fixed), "size", F.col("_piece.shard").alias("shard"), slot.alias("slot"))
+        piece = found.place(*_unsigned(high, low, tie))
+        of = piece // pieces
+        return pd.DataFrame({"piece": piece.astype(np.int32), "shard": of.astype(np.int32), "before": rows_below[piece] - rows_below[of * pieces]})
+
+    placed = keyed.withColumn("_piece", place(*PARTS)).withColumn("_at", F.col("_piece.piece"))
+    here = Window.partitionBy("_at").orderBy(*PARTS)
+    out = placed.repartition(n, "_at").withColumns({size: F.col("_size"), shard: F.col("_piece.shard"), slot: F.col("_piece.before") + F.row_number().over(here) - 1})
+    return out.select(*docs.columns, size, shard, slot)

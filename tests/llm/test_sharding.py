@@ -37,15 +37,23 @@ def test_equal_texts_are_neighbours(spark):
 def test_boundaries_compare_both_halves():
     import numpy as np
 
-    b = sharding.Boundaries([(5 << 64) + 3, (5 << 64) + 9, (7 << 64) + 1])
-    high, low = np.array([4, 5, 5, 5, 6, 7, 7, 9], np.uint64), np.array([9, 2, 3, 10, 0, 0, 1, 0], np.uint64)
-    assert b.place(high, low).tolist() == [0, 0, 1, 2, 2, 2, 3, 3]
+    b = sharding.Boundaries([((5 << 64) + 3) << 64, (((5 << 64) + 9) << 64) + 256, ((7 << 64) + 1) << 64])
+    high, low = np.array([4, 5, 5, 5, 6, 7, 7, 9, 5, 5], np.uint64), np.array([9, 2, 3, 10, 0, 0, 1, 0, 9, 9], np.uint64)
+    assert b.place(high, low, np.array([0] * 8 + [255, 256], np.uint64)).tolist() == [0, 0, 1, 2, 2, 2, 3, 3, 1, 2]
 
 
 def test_empty_and_clashing_columns(spark, empty):
     assert sharding.shard_by_bytes(empty, 24).collect() == []
     df = spark.createDataFrame([(1, None, 7, "a"), (2, "é", 8, "b")], "doc_id long, text string, size int, shard string")
-    assert {(r.doc_id, r["size"]) for r in sharding.shard_by_bytes(df, 2).collect()} == {(1, 8), (2, 10)}
+    assert {(r.doc_id, r["size"], r["size_"], r["shard"]) for r in sharding.shard_by_bytes(df, 2).collect()} == {(1, 7, 8, "a"), (2, 8, 10, "b")}
+
+
+@pytest.mark.parametrize("id_", [1, None, "a"])
+def test_equal_rows_are_cut_too(spark, id_):
+    df = spark.createDataFrame([(id_, "x" * 100)] * 5000, f"doc_id {'string' if id_ == 'a' else 'long'}, text string").repartition(4)
+    by = sharding.shard_by_bytes(df, 8).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    assert len(by) == 8 and max(r.s for r in by) - min(r.s for r in by) <= 3 * 108
+    assert all(r.lo == 0 and r.hi == r.n - 1 for r in by) and sum(r.n for r in by) == 5000
 
 
 def test_query(spark, tmp_path, docs, rows):
