@@ -9,7 +9,9 @@ from fieldloom.llm.tables import materialise
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges (a long, b long)``; one root per component.
+    """``node, root`` for every node of ``edges (a long, b long, no nulls)``; one root per component.
+
+    Loops and repeated edges don't matter; without edges there are no rows.
 
     Every round each node points to the least of its neighbours and itself, by
     a hashed order so that no chain of ids is long; the pointers are followed

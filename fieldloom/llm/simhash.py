@@ -57,7 +57,7 @@ def majority(hashes) -> int:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "_fp", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` plus the fingerprint as a signed long."""
+    """``docs`` plus the fingerprint as a signed long; 0 for a null text or one without words."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -141,14 +141,13 @@ def _hex(column: str):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_col, fingerprint, component_id, n_links``, one row per row of ``docs``.
+    """``id_col, fingerprint, component_id, class_fingerprint``, one row per row of ``docs``.
 
     Lower-cased (A-Z) words between ASCII blanks, ``shingle``-word shingles with
     repeats; fewer words make one shingle of all; no words, or null, give the
     fingerprint 0, linked like any other. Fingerprints within two bits are
     linked; ``component_id`` is the least id reachable (null only where all ids
-    are null). ``n_links`` counts the links of the fingerprint that were kept.
-    Repeated rows stay and get equal values; an empty table gives no rows.
+    are null). Repeated rows stay and get equal values; an empty table gives no rows.
     """
     printed = materialise(fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle=shingle).select("_id", F.col("_fp").alias("fp")))
     return grouped(printed, links, id_col)
@@ -159,12 +158,10 @@ def grouped(printed: DataFrame, link: Callable[[DataFrame], DataFrame], id_col:
     groups = materialise(printed.groupBy("fp").agg(F.min("_id").alias("least_id")))
     edges = materialise(link(groups))
     roots = components(edges)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = groups.join(roots.join(ends, "node"), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linked = materialise(linked)
+    linked = materialise(groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
     least = materialise(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    classes = materialise(linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "n_links", _hex("root").alias("class_fingerprint")))
-    return printed.join(classes, F.col("fp") == F.col("_fp")).select(F.col("_id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id", "n_links", "class_fingerprint")
+    classes = materialise(linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", _hex("root").alias("class_fingerprint")))
+    return printed.join(classes, F.col("fp") == F.col("_fp")).select(F.col("_id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id", "class_fingerprint")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
