@@ -3,12 +3,15 @@
 A sketch keeps every distinct shingle hash below ``2**64 / SCALE``, a fixed
 share of all hashes, so its size follows the document's. Sketches of parts
 merge by union, and the containment of a small text in a large one is the share
-of the small sketch found in the large. A text none of whose hashes is below
-the threshold keeps its least hash alone, so no two short texts look alike for
-want of hashes; :func:`merge` drops such a stand-in once real entries are there.
+of the small sketch's entries found in the large.
 
-As a string, a sketch is its ascending hashes as 16 hexadecimal digits each; a
-text without words has the empty string.
+Before the entries stands the text's least hash, below the threshold or not. It
+is no entry: it only tells short texts apart. Two texts without entries have the
+likeness 1 or 0 as their least hashes agree or not (which is right on average),
+and the containment of a text without entries is unknown (null).
+
+As a string, a sketch is its hashes as 16 hexadecimal digits each, the least one
+first and then the ascending entries; a text without words has the empty string.
 """
 
 from __future__ import annotations
@@ -19,18 +22,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.tables import text_or_empty
+from fieldloom.llm.tables import fresh, long_id, text_or_empty
 
 SHINGLE = 5
-SCALE = 8
-BUCKET_BYTES = 16 << 20
+SCALE = 4
+BUCKET_BYTES = 32 << 20
 
 
 def sketch(text: str | None, shingle: int = SHINGLE, scale: int = SCALE) -> np.ndarray:
-    """Ascending big-endian hashes of a text; words are lower-cased and split at white space."""
+    """The least hash and the ascending entries of a text, big-endian; words are lower-cased and split at white space."""
     words = (text or "").lower().encode("utf-8", "replace").split()
     if not words:
         return np.empty(0, ">u8")
@@ -40,27 +43,31 @@ def sketch(text: str | None, shingle: int = SHINGLE, scale: int = SCALE) -> np.n
     else:
         hashes = np.fromiter(map(xxh, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))), np.uint64, len(words) - shingle + 1)
     low = hashes[hashes <= np.uint64((1 << 64) // scale - 1)]
-    return (np.unique(low) if len(low) else hashes.min()[None]).astype(">u8")
+    return np.concatenate([hashes.min()[None], np.unique(low)]).astype(">u8")
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    both = np.union1d(a, b)
-    low = both[both <= (1 << 64) // scale - 1]
-    return (low if len(low) else both[:1]).astype(">u8")
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    return np.concatenate([np.minimum(a[:1], b[:1]), np.union1d(a[1:], b[1:])]).astype(">u8")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """1 for two empty sketches, 0 if one is empty."""
+    """1 for two texts without words, 0 if one has none; by least hashes if neither has an entry."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+    if len(a) == len(b) == 1:
+        return float(a[0] == b[0])
+    common = len(np.intersect1d(a[1:], b[1:], assume_unique=True))
+    return common / (len(a) + len(b) - 2 - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of ``a`` that ``b`` holds: 1 for an empty ``a``."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Share of the entries of ``a`` that ``b`` holds: 1 for a text without words, None for one without entries."""
+    if not len(a):
+        return 1.0
+    return len(np.intersect1d(a[1:], b[1:], assume_unique=True)) / (len(a) - 1) if len(a) > 1 else None
 
 
 def encode(hashes: np.ndarray) -> str:
@@ -72,13 +79,13 @@ def decode(text: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """``docs`` plus each text's sketch as a string. Equal texts have equal sketches; null counts as empty."""
+    """``docs`` plus each text's sketch as a string (an underscore is appended while the name is taken). Equal texts have equal sketches; null counts as empty."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(sketch(t, shingle, scale)))
 
-    return docs.withColumn(name, of(F.col(text_col)))
+    return docs.withColumn(fresh(docs, name), of(F.col(text_col)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -88,7 +95,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = B
     the ids; the copies are of the least row of every bucket, sent also to the
     bucket before it (the last gets the first of all).
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("_n"))
+    ids = docs.select(long_id(docs, id_col).alias("_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("_n"))
     total = ids.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
     n = max(1, min(round((total[0] + 64 * total[1]) / bucket_bytes), 50_000))
     bounds = []
@@ -97,21 +104,25 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = B
     cuts = np.array(sorted(set(bounds)), np.int64)
 
     @F.pandas_udf("int")
-    def bucket(i: pd.Series) -> pd.Series:  # null ids come first
-        known = i.notna()
-        at = np.zeros(len(i), np.int32)
-        at[known] = np.searchsorted(cuts, i[known].astype(np.int64), "right")
-        return pd.Series(at)
+    def at(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, i.to_numpy(np.int64), "right").astype(np.int32))
+
+    def bucket(i: str) -> Column:
+        return at(F.coalesce(i, F.lit(-(1 << 63))))  # null ids come first
 
-    kept = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_bucket", bucket("_id"))
+    kept = docs.select(long_id(docs, id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_bucket", bucket("_id"))
     firsts = {r[0]: r[1] for r in ids.withColumn("_bucket", bucket("_id")).groupBy("_bucket").agg(F.min(F.struct("_id")).alias("f")).select("_bucket", "f._id").collect()}  # one row for each bucket
     order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first bucket's row goes to the last
-    small = docs.sparkSession.createDataFrame([(b, firsts[b], before[b]) for b in order], "_b int, _first long, _before int")
-    lent = kept.join(F.broadcast(small), (F.col("_bucket") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_first")), "left")
-    dealt = lent.select("_id", "_text", F.explode(F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("lent")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("lent")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("lent"))))).alias("_to"))
-    dealt = dealt.select("_to.b", "_to.lent", "_id", "_text").toDF("_bucket", "_lent", "_id", "_text")
-    return dealt.repartition(max(1, len(order)), "_bucket").sortWithinPartitions("_bucket", "_lent", F.col("_id").asc_nulls_first(), "_text")
+    # the first row of the first bucket is lent to the last
+    small = docs.sparkSession.createDataFrame([(b, firsts[b], i, (i - 1) % len(order)) for i, b in enumerate(order)], "_b int, _first long, _own int, _other int")
+    bounded = F.broadcast(small)  # one row for each bucket
+    here = kept.join(bounded.select(F.col("_b").alias("_bucket"), "_first", "_own", "_other"), "_bucket")
+    first = F.col("_id").eqNullSafe(F.col("_first"))
+    own, lent = F.struct(F.col("_own").alias("r"), F.lit(False).alias("lent")), F.struct(F.col("_other").alias("r"), F.lit(True).alias("lent"))
+    dealt = here.select("_id", "_text", F.explode(F.when(first, F.array(own, lent)).otherwise(F.array(own))).alias("_to"))
+    dealt = dealt.select(F.col("_to.r").alias("_rank"), F.col("_to.lent").alias("_lent"), "_id", "_text")
+    # one bucket a task: its number among the buckets is the partition's
+    return dealt.repartitionById(max(1, len(order)), "_rank").sortWithinPartitions("_rank", "_lent", F.col("_id").asc_nulls_first(), "_text")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -127,7 +138,9 @@ def sketch_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     last comes the first, which for a single row is the row itself. Null texts
     count as empty; an empty table gives no rows. Returns ``id_col, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``
-    and ``edited_in_text``, the containment of the edited text's sketch.
+    and ``edited_in_text``, the containment of the edited text's sketch (null
+    where it has no entry). Likeness is an estimate: over the texts of sf0.01 it
+    is off by 0.05 on average. Ids must be integers.
     """
     rows = with_next(docs, id_col, text_col)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,8 +17,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; Spark's own default where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share. Where none is set, a local session has one of its own and a cluster is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/fieldloom-{spark.sparkContext.applicationId}"
+
+
+def long_id(df: DataFrame, id_col: str) -> Column:
+    """``id_col`` as a long; ids of another than an integer type are an error."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"column {id_col} must hold integers, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("long")
 
 
 def materialise(df: DataFrame) -> DataFrame:
