@@ -26,50 +26,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.tables import text_or_empty
+from fieldloom.llm.tables import long_id, text_or_empty
 
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 1 << 21
 END = 1
 CACHE = 200_000
+LONG = 50_000
 
 # White space as the vocabulary's pattern sees it, and letters and numbers up to U+02C1 (fixed values)
-_WS = r"\t-\r \x85\xa0  -     　"
-_LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN = re.compile(rf"'(?:[sdmt]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WS}{_LETTER}{_NUMBER}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_BEYOND = re.compile("[^\\x00-ˁ]")
+_BEYOND = re.compile("[^\\x00-\u02c1]")
 
 
 class ByteBpe:
     """Token ids of texts as little-endian 32-bit integers.
 
     The ids are those of the byte-level BPE vocabulary at ``path`` (a
-    ``tokenizers`` file whose ranks stand beside it as ``.tiktoken``), without
-    special tokens. Texts in Latin script are cut into pretokens here, and
-    pretokens seen before are looked up.
+    ``tokenizers`` file whose ranks stand beside it as ``.tiktoken``), as
+    ``tokenizers`` gives them with ``add_special_tokens=False``: strings of added
+    tokens become their ids. Texts in Latin script are cut into pretokens here,
+    and pretokens seen before are looked up.
     """
 
     def __init__(self, path: str, pattern: str | None = None):
         import public_tokenizers
         import tiktoken
 
+        from tokenizers import Tokenizer
+
         with Path(path).with_suffix(".tiktoken").open("rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        whole = Tokenizer.from_file(path)
+        self.added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = self.encoding.encode_ordinary
+
+        def encode(text: str) -> bytes:
+            # tiktoken's pattern gives up on a long run of blanks
+            ids = self.encoding.encode_ordinary(text) if len(text) < LONG else whole.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
 
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = self[piece] = np.array(encode(piece), "<u4").tobytes()
+                ids = encode(piece)
+                if len(piece) < LONG:
+                    self[piece] = ids
                 return ids
 
-        self.known = Known()
+        self.known, self.encode_any = Known(), encode
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not any(t in text for t in self.added):
+            return self.encode_plain(text)
+        parts = [p for p in self.cut.split(text) if p]
+        return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else self.encode_plain(p) for p in parts)
+
+    def encode_plain(self, text: str) -> bytes:
+        """``text`` without the strings of added tokens."""
         if _BEYOND.search(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+            return self.encode_any(text)
         if len(self.known) > CACHE:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, _LATIN.findall(text)))
@@ -214,6 +234,6 @@ def pack(
         if group:
             yield from flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(long_id(docs, id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     kind = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(run, kind).withColumnRenamed("_id", id_col)

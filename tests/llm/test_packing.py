@@ -29,7 +29,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -122,3 +121,19 @@ def test_each_item_goes_to_the_cheapest_of_all_with_room(mean):
         assert places[item] == [(i, size)]
         room[i] -= size
         costs[i] += P.cost(size)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "\n" * 1_000_000 + "x", "日" + " " * 1_000_000 + "y"])
+def test_long_runs_have_the_tokenizers_ids(reference, text):
+    assert np.frombuffer(P.ByteBpe(tokenizer_path()).encode(text), "<u4").tolist() == reference(text)
+
+
+def test_ids_of_every_document_are_the_tokenizers(spark, reference):
+    bpe = P.ByteBpe(tokenizer_path())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert np.frombuffer(bpe.encode(r.text or ""), "<u4").tolist() == reference(r.text or "")
+
+
+def test_string_ids_are_an_error(spark):
+    with pytest.raises(TypeError):
+        P.pack(spark.createDataFrame([("a", "b")], "doc_id string, text string"), tokenizer_path())
