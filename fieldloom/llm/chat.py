@@ -4,8 +4,8 @@ A template names, for each role, the text before and after a turn, whether its
 text is trained on, and which roles may follow. A finite-state machine over the
 roles (a lookup of state and role in a map, folded over the turns) checks their
 order. The output is the formatted text in segments with a loss flag each.
-Control strings inside texts are escaped, and :func:`parse_formatted` reads
-everything back.
+Control strings of the template inside texts are escaped, and :func:`parse_formatted`
+reads everything back.
 """
 
 from __future__ import annotations
@@ -37,24 +37,50 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
 
 
-def escape(text: Column) -> Column:
-    """No ``<|`` is left: it becomes ``&lt;|``, and every ``&`` of the text ``&amp;``."""
-    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<|"), F.lit("&lt;|"))
+def _escapes(template: Template) -> tuple[str, list[tuple[str, str]]]:
+    """The escape character, and what stands for each string that a text may not hold.
 
-
-def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
-
-
-def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("&#10;"))
+    A text without the first two characters of the start and end strings can't
+    hold them; one character is used where the second could come from what
+    follows the text. A role may not hold the first character of what follows
+    it. The escape character and its codes occur in none of these.
+    """
+    start, after, end = template.start, template.after_role, template.end
+    if not start or not after or not end:
+        raise ValueError("a template needs strings before a turn, after the role and after the turn")
+    if (end + start).find(start) != len(end) or after[0] in start or start[0] in after:
+        raise ValueError("the strings of the template can't be told apart")
+    banned = []
+    for mark in (start, end):
+        short = len(mark) == 1 or mark[1] == end[0] or mark[0] == mark[1]
+        banned.append(mark[:1] if short else mark[:2])
+    banned = [*dict.fromkeys(p for p in banned if len(p) == 1 or p[0] not in banned), after[0]]
+    used = {c for p in (*banned, start, after, end) for c in p}
+    free = [c for c in "&\\^~%$0123456789abcdefghijk" if c not in used]
+    sign, codes = free[0], [c for c in free[1:] if c.isalnum()]
+    return sign, [(sign, sign + codes[0]), *((p, sign + c) for p, c in zip(banned, codes[1:], strict=False))]
+
+
+def escape(text: Column, template: Template = Template(), role: bool = False) -> Column:
+    """``text`` without control strings of the template; reversible by :func:`unescape`."""
+    pairs = _escapes(template)[1]
+    for plain, coded in pairs if role else pairs[:-1]:
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
+
+
+def unescape(text: Column, template: Template = Template()) -> Column:
+    for plain, coded in reversed(_escapes(template)[1]):
+        text = F.replace(text, F.lit(coded), F.lit(plain))
+    return text
 
 
 def format_conversations(turns: DataFrame, template: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_col, segments, formatted, n_turns, valid, first_error``, one row per conversation.
 
     Turns go by number (nulls first), then role, then text; repeated rows are
-    turns of their own, and null conversation ids make one conversation. A null
+    turns of their own, and null conversation ids make one conversation. Other
+    columns are left out. A null
     text counts as empty, a null role as the role of no name. ``segments`` is
     an array of (text, loss) whose texts make up ``formatted``; ``first_error``
     is the place of the first turn that may not follow (from 0), the number of
@@ -80,8 +106,8 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     def segments(turn: Column) -> Column:
         loss = turn["role"].isin(*template.trained) if template.trained else F.lit(False)
         return F.array(
-            F.struct(F.concat(F.lit(template.start), escape_role(turn["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(turn["text"]).alias("text"), loss.alias("loss")),
+            F.struct(F.concat(F.lit(template.start), escape(turn["role"], template, role=True), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
+            F.struct(escape(turn["text"], template).alias("text"), loss.alias("loss")),
             F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
         )
 
@@ -97,12 +123,16 @@ def parse_formatted(formatted: Column, template: Template = Template()) -> Colum
         cut = F.locate(template.after_role, block)
         role = F.substring(block, F.lit(1), cut - 1)
         text = F.substring(block, cut + len(template.after_role), F.char_length(block) - cut - (len(template.after_role) - 1) - len(template.end))
-        role = F.replace(role, F.lit("&#10;"), F.lit("\n"))
-        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape(role, template).alias("role"), unescape(text, template).alias("text"))
 
     return F.transform(blocks, turn)
 
 
-def loss_texts(segments: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"]))
+def loss_mask(segments: Column) -> Column:
+    """For each turn whether its text is trained on."""
+    return F.transform(F.filter(segments, lambda s, i: i % 3 == 1), lambda s: s["loss"])
+
+
+def loss_texts(turns: Column, mask: Column) -> Column:
+    """The texts under the loss mask, in order, of the turns that :func:`parse_formatted` reads back."""
+    return F.transform(F.filter(F.arrays_zip(turns.alias("turn"), mask.alias("loss")), lambda x: x["loss"]), lambda x: x["turn"]["text"])
