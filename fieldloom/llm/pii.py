@@ -1,14 +1,20 @@
 """Personal data in texts: proposed by pattern, confirmed by checksum, scored by context.
 
 Kinds: email, ip (four parts up to 255), card (14 to 19 digits, Luhn), phone
-(+, 10 to 15 digits), and beyond those iban (mod 97). Matches of a kind are the
-leftmost ones that don't overlap; one that fails its check is dropped. All
+(+, 10 to 15 digits), and beyond those iban (mod 97) and secret (a word of 16 or
+more letters and digits that looks like a key). Matches of a kind are the
+leftmost ones that don't overlap; one that fails its check is dropped. Every
+span has a score: a base for its kind, raised or lowered by whole words that
+stand near it, the nearer the more. Spans of the first four kinds are kept
+whatever their score; the added kinds need ``MIN_ADDED``, so context decides. All
 scans take time linear in the text, however long its runs of digits or letters.
 Offsets count code points.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -19,23 +25,29 @@ from pyspark.sql import functions as F
 from fieldloom.llm.tables import fresh
 
 # Fixed values of the base patterns, and the order of kinds at equal starts
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"(?>[0-9]+(?:\.[0-9]+)*)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-# Words that speak for a kind nearby, in the languages of the corpus
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# A word that looks like a key; its context decides
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+# Whole words that speak for or against a kind nearby, in the languages of the corpus
 CONTEXT = {
-    "email": ("mail", "contact", "kontakt", "correo", "courriel", "write", "reach"),
-    "ip": ("ip", "host", "server", "address", "serveur", "servidor", "adresse"),
-    "card": ("card", "visa", "karte", "carte", "tarjeta", "credit", "pay"),
-    "phone": ("phone", "call", "tel", "fax", "mobile", "telefon", "teléfono", "téléphone"),
-    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
+    "email": (frozenset("mail email e-mail contact kontakt correo courriel write reach".split()), frozenset("example sample".split())),
+    "ip": (frozenset("ip host server address serveur servidor adresse dirección".split()), frozenset("version release section chapter kapitel capítulo chapitre".split())),
+    "card": (frozenset("card visa mastercard karte carte tarjeta credit pay paid kreditkarte".split()), frozenset("order invoice isbn serial bestellung commande pedido".split())),
+    "phone": (frozenset("phone call tel fax mobile telefon teléfono téléphone handy".split()), frozenset("order invoice isbn serial bestellung commande pedido".split())),
+    "iban": (frozenset("iban bank account konto compte cuenta bic".split()), frozenset("order invoice isbn serial bestellung commande pedido".split())),
+    "secret": (frozenset("token key secret password passwort apikey api_key access_key secret_key auth credential bearer clave contraseña clé".split()), frozenset("commit hash checksum sha1 sha256 md5 revision digest".split())),
 }
+WORDS = re.compile(r"[^\W\d](?:[\w-]*\w)?")
 WINDOW = 40
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+WEIGHT = 0.4
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "secret": 0.3}
+MIN_ADDED = 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -96,20 +108,49 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
+    free = 0
     for m in IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
+        start = m.start()
+        if start < free:
+            continue
+        at = [i for i in range(start, m.end()) if text[i] != " "]
+        for n in range(len(at), 14, -1):  # words in capitals may follow; the longest that passes is the number
+            end = at[n - 1] + 1
+            if not text[end : end + 1].isalnum() and mod97(text[start:end].replace(" ", "")):
+                yield start, end
+                free = end
+                break
+
+
+def _secrets(text: str):
+    for m in SECRET.finditer(text):
+        word = m.group()
+        if sum(map(str.isdigit, word)) * 8 >= len(word) and any(map(str.isalpha, word)):
             yield m.span()
 
 
-_FINDERS = {"email": ("@", _emails), "ip": (".", _ips), "card": ("", _cards), "phone": ("+", _phones), "iban": ("", _ibans)}
+def context(text: str, kind: str, start: int, end: int) -> float:
+    """From -1 to 1: the nearest word that speaks for the kind less the nearest that speaks against it."""
+    found = [0.0, 0.0]
+    before, after = text[max(0, start - WINDOW) : start].lower(), text[end : end + WINDOW].lower()
+    for side, near in ((before, True), (after, False)):
+        for m in WORDS.finditer(side):
+            for i in (0, 1):
+                if m.group() in CONTEXT[kind][i]:
+                    gap = len(side) - m.end() if near else m.start()
+                    found[i] = max(found[i], 1 - gap / (2 * WINDOW))
+    return found[0] - found[1]
+
+
+_FINDERS = {"email": ("@", _emails), "ip": (".", _ips), "card": ("", _cards), "phone": ("+", _phones), "iban": ("", _ibans), "secret": ("", _secrets)}
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind in the order of ``KINDS``.
 
-    The score is a base for the kind, raised by 0.3 up to 1 if a context word
-    stands within ``WINDOW`` characters before or after the span.
+    The score is the kind's base plus ``WEIGHT`` times :func:`context`, within 0
+    and 1. Spans of the added kinds below ``MIN_ADDED`` are left out, and so are
+    secrets that overlap another span.
     """
     if not text:
         return []
@@ -119,9 +160,13 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         if needs and needs not in text:
             continue
         for start, end in finder(text):
-            near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
-            score = BASE_SCORE[kind] + 0.3 * any(w in near for w in CONTEXT[kind])
-            out.append((start, order, end, min(1.0, score)))
+            score = min(1.0, max(0.0, BASE_SCORE[kind] + WEIGHT * context(text, kind, start, end)))
+            if order < 4 or score >= MIN_ADDED:
+                out.append((start, order, end, round(score, 6)))
+    if any(o == 5 for _, o, *_ in out):
+        taken = sorted((s, e) for s, o, e, _ in out if o < 5)
+        ends = list(itertools.accumulate((e for _, e in taken), max))
+        out = [x for x in out if x[1] < 5 or (i := bisect.bisect_left(taken, (x[2],))) == 0 or ends[i - 1] <= x[0]]
     return [(KINDS[o], s, e, x) for s, o, e, x in sorted(out)]
 
 
