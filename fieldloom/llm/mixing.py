@@ -4,13 +4,14 @@ Each source's documents form one stream of words in a pseudorandom order,
 packed into blocks of ``block`` words (the last one may be shorter). A source's
 target says how many words the mix takes from it, and so how many slots: passes
 over its blocks, each block once a pass, and a last pass as far as the target
-reaches. Within a pass, slots meet blocks through a permutation of the indices
-seeded by source (an affine map of the full blocks; the short block comes
-last). The slots of all sources are dealt to output shards by multinomial
-draws: each shard's slots are a draw of sources in the proportion of the
-targets, conditioned on the run taking every source's slots exactly, which
-makes the totals of a run meet the targets and not only their expectation.
-The slots are then joined to the blocks by index.
+reaches. First the output shards draw how many slots of each source they hold:
+a multinomial draw, conditioned on the run taking every source's slots exactly,
+which makes the totals of a run meet the targets and not only their
+expectation. The counts number a source's slots shard by shard. Within a pass,
+slots meet blocks through a permutation of the full blocks' indices seeded by
+source and pass, a Feistel network that walks its cycle until it is back among
+the indices (the short block comes last). The slots are then joined to the
+blocks by index, and every word taken belongs to a shard.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 256
 MAX_REPEAT = 3
 SLOTS_PER_SHARD = 4096
-PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
 ROWS_PER_STEP = 4096
+FEISTEL_ROUNDS = 6
+WALK = 64
 
 
 def n_words(text: Column) -> Column:
@@ -86,40 +88,85 @@ def stream(units: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.select("id", "h", "occ", "source", "size", (F.col("_before") + F.col("_w")).alias("low"))
 
 
-def slots(targets: DataFrame, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """``source, slot, pass, block, words, place, shard``: the mix, one row per block taken.
+def permute(index: Column, size: Column, *key: Column) -> Column:
+    """The place of ``index`` in a permutation of ``0 .. size - 1`` chosen by ``key``; for sizes up to ``2**62``.
 
-    ``words`` is how many of the block's first words are taken: all, but for
-    the last slot of a source, which stops at the target.
+    An unbalanced Feistel network over the bits of ``size - 1``. An index that
+    leaves the range goes through it again; with at least half of the numbers
+    inside, ``WALK`` times are enough but for a chance of ``2**-64``, which is an error.
+    """
+    bits = F.length(F.bin(F.greatest(size - 1, F.lit(1))))
+    low_bits = F.floor(bits / 2).cast("int")
+    one = F.lit(1).cast("long")
+    low, high = (F.call_function("shiftleft", one, n) - 1 for n in (low_bits, bits - low_bits))
+
+    def turn(i: int):
+        def mixed(p: Column) -> Column:
+            l, h = p["l"], p["h"]
+            if i % 2:
+                l = l.bitwiseXOR(F.xxhash64(h, F.lit(i), *key).bitwiseAND(low))
+            else:
+                h = h.bitwiseXOR(F.xxhash64(l, F.lit(i), *key).bitwiseAND(high))
+            return F.struct(l.alias("l"), h.alias("h"))
+
+        return mixed
+
+    def network(x: Column) -> Column:
+        # the low and high part in a struct, each mixed by the other in turn
+        halves = F.struct(x.bitwiseAND(low).alias("l"), F.call_function("shiftrightunsigned", x, low_bits).alias("h"))
+        for i in range(FEISTEL_ROUNDS):
+            halves = F.transform(F.array(halves), turn(i))[0]
+        return F.transform(F.array(halves), lambda p: F.call_function("shiftleft", p["h"], low_bits).bitwiseOR(p["l"]))[0]
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(index), lambda x, _: F.when(x < size, x).otherwise(network(x)))
+    return F.when(size <= 1, F.lit(0).cast("long")).when(walked < size, walked).otherwise(F.raise_error(F.lit("the permutation did not return")).cast("long"))
+
+
+def _listed(rows: DataFrame, count: Column, name: str) -> DataFrame:
+    """A row for each of ``0 .. count - 1``, in steps, so that no array is long."""
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / ROWS_PER_STEP)))
+    steps = rows.where(count > 0).withColumn("_step", step).withColumn("_at", F.col("_step") * ROWS_PER_STEP)
+    steps = steps.repartition(*(c for c in ("rank", "shard") if c in rows.columns), "_step") if "rank" in rows.columns else steps
+    return steps.withColumn(name, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + ROWS_PER_STEP, count) - 1))).drop("_step", "_at")
+
+
+def shard_draws(targets: DataFrame, block: int = BLOCK, seed: str = "mix", slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """``shard, source, n, first`` and the source's ``rank, source_size, wanted, full, rest, per_pass``.
+
+    ``n`` is the number of the source's slots that the shard draws, and
+    ``first`` the number of its first slot. Each of a source's slots falls into
+    a shard by a hash, all shards alike, so the counts are multinomial.
     """
     b = F.lit(block)
     t = targets.where("source_size > 0 and target >= 0.5").select(
         "source", "rank", "source_size", F.floor(F.col("target") + 0.5).alias("wanted"), F.floor(F.col("source_size") / b).alias("full"), (F.col("source_size") % b).alias("rest"),
     )
-    per_pass = F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)
-    t = t.withColumn("per_pass", per_pass).withColumn("passes", F.floor((F.col("wanted") - 1) / F.col("source_size")))
+    t = t.withColumn("per_pass", F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)).withColumn("passes", F.floor((F.col("wanted") - 1) / F.col("source_size")))
     left = F.col("wanted") - F.col("passes") * F.col("source_size")
-    t = t.withColumn("n_slots", F.col("passes") * F.col("per_pass") + F.ceil(left / b))
-    # generate slots in steps, so that a large source is spread before its slots are listed
-    steps = t.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / ROWS_PER_STEP)))).withColumn("_first", F.col("_step") * ROWS_PER_STEP)
-    steps = steps.repartition("rank", "_step")
-    listed = steps.withColumn("slot", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + ROWS_PER_STEP, F.col("n_slots")) - 1)))
-    in_pass, number = F.col("slot") % F.col("per_pass"), F.floor(F.col("slot") / F.col("per_pass"))
-    # affine permutation of the full blocks, another for each source and pass: the factor is a prime above
-    # any number of blocks, so it has no divisor in common with it
-    full, draw = F.greatest(F.col("full"), F.lit(1)), F.xxhash64(F.lit(seed), "rank", number)
-    factor = F.array(*(F.lit(p) for p in PRIMES))[F.pmod(F.shiftright(draw, 40), F.lit(len(PRIMES))).cast("int")] % full
-    permuted = F.when(in_pass < F.col("full"), (in_pass * factor + F.pmod(draw, full)) % full).otherwise(F.col("full"))
-    before = number * F.col("source_size") + in_pass * b
-    size = F.when(in_pass < F.col("full"), b).otherwise(F.col("rest"))
-    listed = listed.select("source", "slot", number.cast("int").alias("pass"), permuted.cast("long").alias("block"), F.least(size, F.col("wanted") - before).cast("long").alias("words"), F.xxhash64(F.lit(seed), F.lit("place"), "rank", "slot").alias("place"))
-    n_slots = t.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
-    return listed.withColumn("shard", F.pmod("place", F.lit(max(1, -(-n_slots // SLOTS_PER_SHARD)))).cast("int"))
-
-
-def shard_draws(mix: DataFrame) -> DataFrame:
-    """``shard, source, n_slots, words``: the multinomial counts drawn for each output shard."""
-    return mix.groupBy("shard", "source").agg(F.count("*").alias("n_slots"), F.sum("words").alias("words"))
+    t = t.withColumn("n_slots", F.col("passes") * F.col("per_pass") + F.ceil(left / b)).drop("passes")
+    shards = max(1, -(-(t.agg(F.sum("n_slots")).first()[0] or 0) // slots_per_shard))
+    drawn = _listed(t.select("rank", "n_slots"), F.col("n_slots"), "_slot").select("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "_slot"), F.lit(shards)).cast("int").alias("shard"))
+    counts = materialise(drawn.groupBy("rank", "shard").agg(F.count("*").alias("n")))
+    first = F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n")
+    return counts.withColumn("first", first).join(t, "rank")
+
+
+def slots(targets: DataFrame, block: int = BLOCK, seed: str = "mix", slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """``source, shard, slot, pass, block, words``: the mix, one row per block taken.
+
+    ``words`` is how many of the block's first words are taken: all, but for
+    the last slot of a source, which stops at the target.
+    """
+    b = F.lit(block)
+    draws = materialise(shard_draws(targets, block, seed, slots_per_shard))
+    listed = _listed(draws, F.col("n"), "_i").withColumn("slot", F.col("first") + F.col("_i"))
+    number, in_pass = F.floor(F.col("slot") / F.col("per_pass")), F.col("slot") % F.col("per_pass")
+    listed = listed.withColumns({"pass": number.cast("long"), "_in": in_pass})
+    is_full = F.col("_in") < F.col("full")
+    before = F.col("pass") * F.col("source_size") + F.col("_in") * b
+    at = F.when(is_full, permute(F.col("_in"), F.col("full"), F.lit(seed), F.col("rank"), F.col("pass"))).otherwise(F.col("full"))
+    taken = F.least(F.when(is_full, b).otherwise(F.col("rest")), F.col("wanted") - before)
+    return listed.select("source", "shard", "slot", F.col("pass").cast("int").alias("pass"), at.cast("long").alias("block"), taken.cast("long").alias("words"))
 
 
 def pieces(streamed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -140,7 +187,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     """One row per row of ``docs``: rows with equal id, source and text are told apart by ``occ``."""
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     counted = narrow.groupBy("id", "h", "source", "size").agg(F.count("*").alias("_n"))
-    return materialise(counted.withColumn("occ", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n"))
+    return materialise(_listed(counted, F.col("_n"), "occ").drop("_n"))
 
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_repeat, block, seed):
@@ -157,22 +204,23 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """``id_col, size, source, source_size, target, taken``: one row per row of ``docs``.
+    """``id_col, size, source, source_size, target, taken, shards``: one row per row of ``docs``.
 
     A null text has the size 0 and is never taken; null sources are a source of
     their own. A source takes its target, rounded to a word, and no document
-    more than ``max_repeat`` times its words. Repeated rows are documents of
+    more than ``max_repeat`` times its words; ``shards`` are the output shards
+    that its words went to. Repeated rows are documents of
     their own. Where all sizes are 0, nothing is taken; an empty table gives no
     rows.
     """
     units, targets, met = _mixed(docs, id_col, text_col, source_col, weights, max_repeat, block, seed)
-    taken = met.groupBy("id", "h", "source", "occ").agg(F.sum("taken").alias("taken"))
-    taken = materialise(taken).toDF("_id", "_h", "_source", "_occ", "taken")
+    taken = met.groupBy("id", "h", "source", "occ").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    taken = materialise(taken).toDF("_id", "_h", "_source", "_occ", "taken", "shards")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("occ") == F.col("_occ"))
     out = units.join(taken, same, "left")
     t = targets.select(F.col("source").alias("_t"), "source_size", "target")
     out = out.join(t, F.col("source").eqNullSafe(F.col("_t")), "left")
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, seed: str = "mix") -> DataFrame:
@@ -192,8 +240,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = keyed.dropDuplicates([id_col, source_col, own_h]) if repeats else keyed
     joined = distinct.join(turns, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own_h) == F.col(h)) & F.col(source_col).eqNullSafe(F.col(src)))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    taken = F.filter(words, lambda w, i: F.exists(parts, lambda p: (i >= p["from_word"]) & (i < p["from_word"] + p["taken"])))
-    some = F.array_join(taken, " ")
+    # in an array of one, so that the words are found once and not for each part
+    some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(w, p["from_word"].cast("int") + 1, p["taken"].cast("int")))), " "))[0]
     text = F.when(F.col(taken_col) == n_words(F.col(text_col)), F.col(text_col)).otherwise(some)
     out = joined.withColumn(text_col, text)
     if "n_chars" in docs.columns:

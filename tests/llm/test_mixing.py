@@ -72,13 +72,49 @@ def test_slots_take_each_block_once_a_pass(spark):
     assert {s: sum(r.words for r in slots if r.source == s) for s in "abc"} == {"a": 2300, "b": 20, "c": 700}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 1000])
+def test_permutations(spark, size):
+    df = spark.range(size).select(*(M.permute(F.col("id"), F.lit(size).cast("long"), F.lit(k)).alias(f"k{k}") for k in range(3)))
+    cols = list(zip(*df.collect(), strict=True))
+    assert all(sorted(c) == list(range(size)) for c in cols)
+    if size == 1000:
+        assert len(set(cols)) == 3 and all(sum(abs(a - b) == 1 for a, b in zip(c, c[1:], strict=False)) < 10 for c in cols)
+
+
+@pytest.mark.parametrize("size", [2**31, 10**12, 2**62])
+def test_permutations_of_many(spark, size):
+    got = [r[0] for r in spark.range(2000).select(M.permute(F.lit(size) - 1 - F.col("id"), F.lit(size), F.lit("x"))).collect()]
+    assert len(set(got)) == 2000 and 0 <= min(got) < size // 100 and size - size // 100 < max(got) < size
+
+
 def test_draws_follow_the_targets(spark):
     t = spark.createDataFrame([("a", 0, 2_000_000, 2_000_000.0), ("b", 1, 1_000_000, 1_000_000.0)], "source string, rank long, source_size long, target double")
-    draws = M.shard_draws(M.slots(t, 100)).collect()
-    by = defaultdict(dict)
-    for r in draws:
-        by[r.shard][r.source] = r.n_slots
-    assert len(by) == 8 and all(0.6 < d["a"] / (d["a"] + d["b"]) < 0.73 for d in by.values())
+    by, drawn = defaultdict(dict), M.shard_draws(t, 100).collect()
+    for r in drawn:
+        by[r.shard][r.source] = r.n
+    assert len(by) == 8 and all(0.6 < d["a"] / (d["a"] + d["b"]) < 0.73 for d in by.values()) and len({d["a"] for d in by.values()}) > 4
+    assert {s: sum(d[s] for d in by.values()) for s in "ab"} == {"a": 20_000, "b": 10_000}
+    # the slots, and so the blocks, go where the draws say
+    got = defaultdict(int)
+    for r in M.slots(t, 100).collect():
+        got[r.shard, r.source] += 1
+    assert got == {(r.shard, r.source): r.n for r in drawn}
+
+
+def test_words_go_to_the_shards_that_drew_them(docs):
+    from unittest import mock
+
+    one = {r.doc_id: r.shards for r in M.mix(docs, block=16).collect()}
+    with mock.patch.object(M.slots, "__defaults__", (16, "mix", 20)), mock.patch.object(M.shard_draws, "__defaults__", (16, "mix", 20)):
+        many = {r.doc_id: r.shards for r in M.mix(docs, block=16).collect()}
+    assert {tuple(x) for x in one.values()} <= {(), (0,)} and len({s for x in many.values() for s in x}) > 20
+
+
+def test_large_sources_do_not_overflow(spark):
+    n = 10**13
+    t = spark.createDataFrame([("a", 0, n, 1000.0)], "source string, rank long, source_size long, target double")
+    got = M.slots(t, 256).collect()
+    assert len(got) == 4 and len({r.block for r in got}) == 4 and max(r.block for r in got) > n // 256 // 1000
 
 
 def test_documents_of_the_mix(docs, rows):
