@@ -55,7 +55,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     out = chat.format_conversations(turns.unionByName(trap))
-    back = out.withColumn("turns", chat.parse_formatted(F.col("formatted"))).withColumn("loss", F.array_join(chat.loss_texts(F.col("segments")), ""))
+    back = out.withColumn("turns", chat.parse_formatted(F.col("formatted"))).withColumn("mask", chat.loss_mask(F.col("segments")))
+    back = back.withColumn("loss", F.array_join(chat.loss_texts(F.col("turns"), F.col("mask")), ""))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -79,7 +80,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), scores)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
