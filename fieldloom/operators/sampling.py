@@ -10,6 +10,23 @@ def hash_order(column: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(column).cast("string"), F.lit(f"-{seed}")))
 
 
+def among_first(df: DataFrame, k: int, seed: int, *ids: str) -> Column:
+    """Whether a row is one of the first ``k`` of ``df`` by the hash of ``ids[0]``, then ``ids``.
+
+    Rows are counted by the first digits of the hash (65,536 counts at most),
+    and only those of the digits where the cut falls are ordered.
+    """
+    h = hash_order(ids[0], seed)
+    digits = F.substring(h, 1, 4)
+    before = 0
+    for r in sorted(df.groupBy(digits.alias("p")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"] or ""):
+        if k > before and before + r["n"] >= k:
+            edge = df.where(digits == r["p"]).select(h.alias("h"), *ids).orderBy("h", *ids).limit(k - before).agg(F.max(F.struct("h", *ids)).alias("e")).first()["e"]
+            return F.struct(h, *ids) <= F.struct(*(F.lit(x) for x in edge))
+        before += r["n"]
+    return F.lit(k > 0)
+
+
 def sample_size(n: int, frac: float = 0.2, least: int = 1000) -> int:
     return min(n, max(least, int(frac * n)))
 
@@ -24,7 +41,13 @@ def sample_ids(labels: DataFrame, frac: float = 0.2, seed: int = 42, least: int
     k = sample_size(n, frac, least)
     h = hash_order("pixel_id", seed)
     share = min(1.0, (k + 6 * k**0.5 + 20) / n) if n else 1.0
-    near = labels if share == 1.0 else labels.where(F.substring(h, 1, 8) <= f"{int(share * 0xFFFFFFFF):08x}")
+    near = labels
+    while share < 1.0:
+        near = labels.where(F.substring(h, 1, 8) <= f"{int(share * 0xFFFFFFFF):08x}")
+        if near.count() >= k:
+            break
+        share = min(1.0, 2 * share)
+        near = labels
     return near.withColumn("_h", h).orderBy("_h", "pixel_id").limit(k).drop("_h")
 
 
