@@ -202,13 +202,14 @@ def small_components(mask: DataFrame, min_size: int = 4) -> DataFrame:
     the frontier to its neighbours, and pixels that have reached enough leave.
     """
     pixels = mask.select("r", "c", "cdl_id")
-    reach = pixels.select(F.col("r").alias("r0"), F.col("c").alias("c0"), "r", "c", "cdl_id")
+    start = F.array(F.struct("r", "c"))
+    reach = pixels.select(F.col("r").alias("r0"), F.col("c").alias("c0"), "cdl_id", start.alias("_seen"))
+    near = lambda s: F.array(*(F.struct((s["r"] + a).alias("r"), (s["c"] + b).alias("c")) for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))))
     for _ in range(min_size - 1):
-        step = F.explode(F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)))))
-        moved = reach.select("r0", "c0", "cdl_id", step.alias("_s")).select("r0", "c0", "cdl_id", "_s.r", "_s.c").distinct()
-        reach = moved.join(pixels, ["r", "c", "cdl_id"])
-    sizes = reach.groupBy("r0", "c0").agg(F.count("*").alias("n"))
-    return sizes.where(F.col("n") < min_size).select(F.col("r0").alias("r"), F.col("c0").alias("c"))
+        steps = reach.select("r0", "c0", "cdl_id", F.explode(F.array_distinct(F.flatten(F.transform("_seen", near)))).alias("_s")).select("r0", "c0", "cdl_id", "_s.r", "_s.c")
+        met = steps.join(pixels, ["r", "c", "cdl_id"]).groupBy("r0", "c0", "cdl_id").agg(F.collect_set(F.struct("r", "c")).alias("_seen"))
+        reach = met.where(F.size("_seen") < min_size)  # so no array is longer than that many neighbourhoods
+    return reach.where(F.size("_seen") < min_size).select(F.col("r0").alias("r"), F.col("c0").alias("c"))
 
 
 def drop_small_components(labels: DataFrame, min_size: int = 4, iterations: int = 1, unknown: int = UNKNOWN) -> DataFrame:

@@ -120,16 +120,17 @@ def adjust_multi_year(primary: DataFrame, extras: DataFrame) -> DataFrame:
     first; nearness is by day of a leap year, ties going to the first in
     channel order. A year without the band adds nothing.
     """
-    own = primary.withColumns({"_band": _key("band"), "_mmdd": _key("mmdd")})
-    level = own.groupBy("crop_id", "_band", "_mmdd").agg(F.avg("score").alias("_own"))
+    same = Window.partitionBy("crop_id", "_band", "_mmdd")
+    own = primary.withColumns({"_band": _key("band"), "_mmdd": _key("mmdd")}).withColumn("_own", F.avg("score").over(same))
     other = extras.withColumns({"_band": _key("band"), "_mmdd": _key("mmdd")}).groupBy("year", "crop_id", "_band", "_mmdd").agg(F.avg("score").alias("_s"), F.min("channel_idx").alias("_ord"))
     o = other.select("year", F.col("crop_id").alias("_c"), F.col("_band").alias("_b"), F.col("_mmdd").alias("_m"), "_s", "_ord")
-    pairs = level.join(o, (F.col("crop_id") == F.col("_c")) & (F.col("_band") == F.col("_b")))
-    near = pairs.groupBy("crop_id", "_band", "_mmdd", "year").agg(F.min_by("_s", F.struct(F.abs(day_of_year(F.col("_m")) - day_of_year(F.col("_mmdd"))), F.col("_ord"))).alias("_s"))
-    added = near.groupBy("crop_id", "_band", "_mmdd").agg(F.sum("_s").alias("_sum"), F.count("*").alias("_n"))
-    joined = own.join(level, ["crop_id", "_band", "_mmdd"]).join(added, ["crop_id", "_band", "_mmdd"], "left")
-    mean = (F.col("_own") + F.coalesce("_sum", F.lit(0.0))) / (1 + F.coalesce("_n", F.lit(0)))
-    return joined.select("crop_id", "channel", "channel_idx", mean.alias("score"))
+    # each side is read once; a channel meets the dates of its band in the extra years
+    pairs = own.join(o, (F.col("crop_id") == F.col("_c")) & (F.col("_band") == F.col("_b")), "left")
+    channel = ("crop_id", "channel", "channel_idx", "_own")
+    near = pairs.groupBy(*channel, "_mmdd", "year").agg(F.min_by("_s", F.struct(F.abs(day_of_year(F.col("_m")) - day_of_year(F.col("_mmdd"))), F.col("_ord"))).alias("_s"))
+    added = near.groupBy(*channel).agg(F.sum("_s").alias("_sum"), F.count("year").alias("_n"))
+    mean = (F.col("_own") + F.coalesce("_sum", F.lit(0.0))) / (1 + F.col("_n"))
+    return added.select("crop_id", "channel", "channel_idx", mean.alias("score"))
 
 
 def rank_bands_across_years(scores: DataFrame) -> DataFrame:

@@ -96,9 +96,14 @@ def median_composite(obs: DataFrame, stats: DataFrame, bands: Iterable[str], str
     return med.join(F.broadcast(stats.where(F.col("band").isin(*bands))), "band").select("pixel_id", "r", "c", "band", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(scaled, F.lit(0.0)))).alias("value"))
 
 
-def percentile_stretch(obs: DataFrame, lo: float = 2, hi: float = 98) -> DataFrame:
-    """Each scene's band stretched between two percentiles to [0, 1]; a scene's band without valid values is all 0."""
-    stats = obs.groupBy("date8", "band").agg(F.percentile("value", lo / 100).alias("_lo"), F.percentile("value", hi / 100).alias("_hi"))
+def percentile_stretch(obs: DataFrame, lo: float = 2, hi: float = 98, accuracy: int | None = None) -> DataFrame:
+    """Each scene's band stretched between two percentiles to [0, 1]; a scene's band without valid values is all 0.
+
+    With ``accuracy`` the percentiles are approximate and merge from partial
+    summaries; exact ones gather the distinct values of a scene's band.
+    """
+    q = lambda p: F.percentile("value", p) if accuracy is None else F.percentile_approx("value", p, accuracy)
+    stats = obs.groupBy("date8", "band").agg(q(lo / 100).alias("_lo"), q(hi / 100).alias("_hi"))
     joined = obs.join(F.broadcast(stats), ["date8", "band"])  # dates x bands rows
     scaled = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
     clipped = F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
