@@ -107,23 +107,40 @@ def best_epoch(history: DataFrame) -> DataFrame:
     return history.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def predict_tiles(chips: DataFrame, model: Callable, tile: int, n_channels: int) -> DataFrame:
+def predict_tiles(chips: DataFrame, model: Callable, tile: int, n_channels: int, batch: int = 16) -> DataFrame:
     """``patch_id, values``: the model's argmax for each chip, edges padded with zeros and cut off again.
 
     ``chips`` has ``patch_id, height, width, values`` (channel-major array);
     ``model`` maps a float array (n, channels, tile, tile) to scores (n,
-    classes, tile, tile). It is sent to executors once per task; one Arrow batch
-    holds a few chips.
+    classes, tile, tile), n up to ``batch``. It is sent to executors once per task.
     """
     import numpy as np
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for h, w, values in zip(b["height"], b["width"], b["values"], strict=True):
-                x = np.zeros((1, n_channels, tile, tile), np.float32)
-                x[0, :, :h, :w] = np.nan_to_num(np.asarray(values, np.float32).reshape(n_channels, h, w))
-                out.append(model(x)[0].argmax(axis=0)[:h, :w].ravel().astype(np.int32).tolist())
-            yield pd.DataFrame({"patch_id": b["patch_id"], "values": out})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for b in (whole.iloc[i : i + batch] for i in range(0, len(whole), batch)):
+                sides = list(zip(b["height"], b["width"], strict=True))
+                x = np.zeros((len(b), n_channels, tile, tile), np.float32)
+                for i, ((h, w), values) in enumerate(zip(sides, b["values"], strict=True)):
+                    x[i, :, :h, :w] = np.nan_to_num(np.asarray(values, np.float32).reshape(n_channels, h, w))
+                best = model(x).argmax(axis=1)
+                yield pd.DataFrame({"patch_id": b["patch_id"], "values": [y[:h, :w].ravel().astype(np.int32).tolist() for y, (h, w) in zip(best, sides, strict=True)]})
 
     return chips.select("patch_id", "height", "width", "values").mapInPandas(run, "patch_id string, values array<int>")
+
+
+def classify_tiles(chips: DataFrame, model, n_channels: int) -> DataFrame:
+    """``patch_id, values``: the class that an MLlib classification model gives each pixel of each chip.
+
+    A chip (as in :func:`predict_tiles`; missing values count as 0) is taken
+    apart into one feature vector a pixel and put together again in order.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    n = F.col("height") * F.col("width")
+    planes = F.arrays_zip(*(F.slice("values", (n * k + 1).cast("int"), n.cast("int")).alias(f"c{k}") for k in range(n_channels)))
+    pixels = chips.select("patch_id", F.posexplode(planes).alias("_p", "_x"))
+    vector = array_to_vector(F.array(*(F.nanvl(F.coalesce(F.col(f"_x.c{k}").cast("double"), F.lit(0.0)), F.lit(0.0)) for k in range(n_channels))))
+    seen = model.transform(pixels.select("patch_id", "_p", vector.alias(model.getFeaturesCol())))
+    cells = F.array_sort(F.collect_list(F.struct("_p", F.col(model.getPredictionCol()).cast("int").alias("v"))))
+    return seen.groupBy("patch_id").agg(F.transform(cells, lambda x: x["v"]).alias("values"))
