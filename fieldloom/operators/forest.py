@@ -11,6 +11,7 @@ import itertools
 import math
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -171,27 +172,29 @@ def _macro_f1(predicted: DataFrame) -> float:
     return sum(scores) / len(scores) if scores else 0.0
 
 
-def evaluate_combinations(samples: DataFrame, channels: list[str], chosen: list[str], max_size: int = 5, folds: int = 3, trees: int = 100) -> DataFrame:
+def evaluate_combinations(samples: DataFrame, channels: list[str], chosen: list[str], max_size: int = 5, folds: int = 3, trees: int = 100, at_once: int = 4) -> DataFrame:
     """``combo, mean_f1, std_f1`` of every combination of 2 to ``max_size`` channels, best first.
 
-    Each one is scaled and fitted on hashed folds; the loop over combinations is
-    the driver's, every step a Spark job.
+    Each one is scaled and fitted on hashed folds; ``at_once`` combinations are
+    fitted at a time over the cached samples.
     """
     classes = _classes(samples)
     data = _indexed(impute(samples, len(channels)), classes).persist()
-    rows = []
+
+    def evaluate(combo: tuple[str, ...]) -> tuple[list[str], float, float]:
+        part = data.withColumn("sub", array_to_vector(F.array(*(vector_to_array("x")[channels.index(c)] for c in combo))))
+        scores = []
+        for f in range(folds):
+            fit, test = part.where(~held_out(f, folds)), part.where(held_out(f, folds))
+            scaler: StandardScalerModel = StandardScaler(inputCol="sub", outputCol="scaled", withMean=True).fit(fit)
+            model = RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=trees, seed=0).fit(scaler.transform(fit))
+            scores.append(_macro_f1(model.transform(scaler.transform(test))))
+        return list(combo), float(np.mean(scores)), float(np.std(scores))
+
+    combos = [c for size in range(2, min(max_size, len(chosen)) + 1) for c in itertools.combinations(chosen, size)]
     try:
-        for size in range(2, min(max_size, len(chosen)) + 1):
-            for combo in itertools.combinations(chosen, size):
-                at = [channels.index(c) for c in combo]
-                part = data.withColumn("sub", array_to_vector(F.array(*(vector_to_array("x")[i] for i in at))))
-                scores = []
-                for f in range(folds):
-                    fit, test = part.where(~held_out(f, folds)), part.where(held_out(f, folds))
-                    scaler: StandardScalerModel = StandardScaler(inputCol="sub", outputCol="scaled", withMean=True).fit(fit)
-                    model = RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=trees, seed=0).fit(scaler.transform(fit))
-                    scores.append(_macro_f1(model.transform(scaler.transform(test))))
-                rows.append((list(combo), float(np.mean(scores)), float(np.std(scores))))
+        with ThreadPoolExecutor(at_once) as pool:
+            rows = list(pool.map(evaluate, combos))
     finally:
         data.unpersist()
     return samples.sparkSession.createDataFrame(rows, "combo array<string>, mean_f1 double, std_f1 double").orderBy(F.desc("mean_f1"))

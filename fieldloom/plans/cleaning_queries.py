@@ -392,10 +392,9 @@ def d10_percentile_stretch(fx: Fixtures) -> DataFrame:
 )
 def a7_a9_write_and_read_selection(fx: Fixtures) -> DataFrame:
     from fieldloom.operators.selection import select_top_k
-    from fieldloom.sources.outputs import read_selection, write_selection
+    from fieldloom.sources.outputs import read_selection, shared_folder, write_selection
 
-    folder = (fx.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/selection-{uuid.uuid4().hex}"
+    path = f"{shared_folder(fx.spark)}/selection-{uuid.uuid4().hex}"
     scores = fx.crop_samples().groupBy("crop_id", "channel", "channel_idx").agg(F.round(F.avg("value"), 6).alias("score"))
     write_selection(select_top_k(scores, 7), path, {"selector": "mean", "mode": "top_k", "k": "7"})
     return read_selection(fx.spark, path, 5)

@@ -252,10 +252,9 @@ def a13_estimate_chips(fx: Fixtures) -> DataFrame:
 def a13_write_chips(fx: Fixtures) -> DataFrame:
     import uuid
 
-    from fieldloom.sources.outputs import write_chips
+    from fieldloom.sources.outputs import shared_folder, write_chips
 
-    folder = (fx.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/chips-{uuid.uuid4().hex}"
+    path = f"{shared_folder(fx.spark)}/chips-{uuid.uuid4().hex}"
     write_chips(chips(fx).join(fixed_split(fx).select("patch_id", "split"), "patch_id"), path)
     back = fx.spark.read.parquet(path)
     return back.select("patch_id", "channel_idx", "split", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("cells"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators import catalog, forest, scoring, selection, series
+from fieldloom.operators import catalog, direct, forest, scoring, selection, series
 from fieldloom.operators.cleaning import KEEP_CLASSES
 from fieldloom.plans.cleaning_queries import BANDS, CHANNELS, MEANS, means
 from fieldloom.plans.registry import query
@@ -113,6 +115,14 @@ CANDS = GSI + """, cands AS (SELECT crop_id, 'date' AS kind, date8 AS value, rou
 UNION ALL SELECT crop_id, 'band', band, round(avg(raw), 6), CAST(row_number() OVER (PARTITION BY crop_id ORDER BY avg(raw) DESC, min(channel_idx)) AS INT) FROM scores GROUP BY crop_id, band)"""
 
 
+@query("SELECT CAST(crop_id AS INT) AS crop, kind AS type, rank, CAST(value AS VARCHAR) AS value FROM cands WHERE rank <= CASE kind WHEN 'date' THEN 4 ELSE 3 END", CANDS)
+def a8_write_candidates(fx: Fixtures) -> DataFrame:
+    """Written as CSV and read back."""
+    path = f"{_folder(fx)}/candidates-{uuid.uuid4().hex}"
+    outputs.write_candidates(scoring.rank_candidates(raw_scores(fx), 4, 3), path)
+    return fx.spark.read.schema("crop int, type string, rank int, value string").option("header", "true").csv(f"{path}/rows")
+
+
 @query("SELECT * FROM cands WHERE rank <= CASE kind WHEN 'date' THEN 4 ELSE 3 END", CANDS)
 def e8_rank_candidates(fx: Fixtures) -> DataFrame:
     return scoring.rank_candidates(raw_scores(fx), 4, 3)
@@ -132,7 +142,19 @@ def _vector_channels(fx: Fixtures) -> DataFrame:
 
 
 def _folder(fx: Fixtures) -> str:
-    return fx.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return outputs.shared_folder(fx.spark)
+
+
+def _best(fx: Fixtures) -> list[str]:
+    """All channels by a small forest's importance."""
+    model, _, _ = forest.train_forest(fx.vectors().where("class_label > 0"), 24, trees=10, depth=6)
+    return [r[0] for r in forest.forest_importance(model, _vector_channels(fx)).orderBy(F.desc("importance"), "channel").select("channel").collect()]
+
+
+@query()
+def e9_forest_accuracy(fx: Fixtures) -> DataFrame:
+    _, classes, accuracy = forest.train_forest(fx.vectors().where("class_label > 0"), 24, trees=10, depth=6)
+    return fx.spark.createDataFrame([(len(classes), accuracy)], "n_classes int, accuracy double")
 
 
 @query()
@@ -157,7 +179,7 @@ def e13_cluster_channels(fx: Fixtures) -> DataFrame:
 @query()
 def e14_evaluate_combinations(fx: Fixtures) -> DataFrame:
     names = [r[0] for r in _vector_channels(fx).orderBy("channel_idx").collect()]
-    out = forest.evaluate_combinations(fx.vectors(), names, names[:3], max_size=2, folds=2, trees=5)
+    out = forest.evaluate_combinations(fx.vectors(), names, _best(fx)[:3], max_size=2, folds=2, trees=5)
     return out.withColumn("combo", F.array_join("combo", "+"))
 
 
@@ -170,7 +192,7 @@ def e15_rank_bands_forest(fx: Fixtures) -> DataFrame:
 @query()
 def e16_forward_select(fx: Fixtures) -> DataFrame:
     names = [r[0] for r in _vector_channels(fx).orderBy("channel_idx").collect()]
-    _, history = forest.forward_select(fx.vectors(), names, names[:4], 3, patience=2, most=3, trees=5)
+    _, history = forest.forward_select(fx.vectors(), names, _best(fx), 3, patience=2, most=3, trees=5)
     return fx.spark.createDataFrame(history, "crop_id int, step int, channel string, n_channels int, iou double, gain double, accepted boolean")
 
 
@@ -312,19 +334,23 @@ def f15_single_date_forest(fx: Fixtures) -> DataFrame:
     return forest.rank_bands_forest(fx.vectors().where("class_label > 0"), c, c.where("channel_idx < 4"), _folder(fx), trees=5, top=3, depth=5)
 
 
+@query()
+def f15_four_dates_forest(fx: Fixtures) -> DataFrame:
+    """The forest on the best date of each quarter; dates of the vectors stand four channels apart."""
+    c = _vector_channels(fx)
+    return forest.rank_bands_forest(fx.vectors().where("class_label > 0"), c, c.where("channel_idx < 16"), _folder(fx), trees=5, top=3, depth=5)
+
+
 @query("SELECT channel, ordinal FROM uni", TOP5)
 def f16_gsi_direct(fx: Fixtures) -> DataFrame:
     """Scores, one year, top five of each crop, written payload's union."""
-    sel = selection.select_top_k(scores(fx), 5)
-    payload = outputs.selection_payload(sel, {"selector": "gsi_direct", "mode": "top_k"})
+    payload = outputs.selection_payload(direct.gsi_direct(fx.crop_samples(), top_k=5), {"selector": "gsi_direct", "mode": "top_k"})
     return payload.select(F.posexplode("union").alias("ordinal", "channel")).select("channel", "ordinal")
 
 
 @query()
 def f16_rf_direct(fx: Fixtures) -> DataFrame:
-    model, classes, _ = forest.train_forest(fx.vectors().where("class_label > 0"), 24, trees=5, depth=5)
-    scored = forest.class_importance(model, classes, _vector_channels(fx), _folder(fx))
-    return selection.union_channels(selection.select_top_k(scored, 4))
+    return selection.union_channels(direct.rf_direct(fx.vectors().where("class_label > 0"), _vector_channels(fx), _folder(fx), top_k=4, trees=5, depth=5))
 
 
 @query("SELECT crop_id, count(*) AS n_channels, (SELECT count(DISTINCT channel) FROM sel) AS n_union, (SELECT min(score) FROM sel) AS least_score FROM sel GROUP BY 1", TOP5)

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators.selection import union_channels
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; a local session without one has its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/fieldloom-{spark.sparkContext.applicationId}"
+
+
 def selection_payload(selection: DataFrame, meta: dict[str, str]) -> DataFrame:
     """One row: selector, mode and other ``meta``, ``n_union``, ``per_crop`` and ``union`` in order."""
     crops = selection.groupBy("crop_id", "crop_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "channel"))), lambda x: x["channel"]).alias("channels"))
@@ -50,6 +62,6 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
 def write_chips(chips: DataFrame, path: str, max_chips: int | None = None) -> None:
     """Chips as Parquet partitioned by split. ``max_chips`` keeps the first patches by id."""
     if max_chips is not None:
-        first = chips.select("patch_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy("patch_id"))).where(F.col("_k") <= max_chips)
-        chips = chips.join(F.broadcast(first.select("patch_id")), "patch_id")  # max_chips rows
+        first = chips.select("patch_id").distinct().orderBy("patch_id").limit(max_chips)
+        chips = chips.join(first, "patch_id", "left_semi")
     chips.write.mode("overwrite").partitionBy("split").parquet(path)
