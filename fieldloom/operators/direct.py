@@ -11,9 +11,12 @@ from fieldloom.operators import forest, scoring, selection
 from fieldloom.operators.cleaning import KEEP_CLASSES
 
 
-def _chosen(scores: DataFrame, top_k: int | None, threshold: float | None) -> DataFrame:
+def _one_of(top_k: int | None, threshold: float | None) -> None:
     if (top_k is None) == (threshold is None):
         raise ValueError("give either top_k or threshold")
+
+
+def _chosen(scores: DataFrame, top_k: int | None, threshold: float | None) -> DataFrame:
     return selection.select_top_k(scores, top_k) if top_k is not None else selection.select_threshold(scores, threshold)
 
 
@@ -24,6 +27,7 @@ def gsi_direct(samples: DataFrame, top_k: int | None = None, threshold: float |
     one year. Scores are rounded to ``digits`` before they are ranked, so that
     ties are the same in every engine. :func:`selection.union_channels` joins the crops' channels.
     """
+    _one_of(top_k, threshold)
     scores = scoring.gsi_pairwise(samples, crops).withColumn("score", F.round("score", digits))
     return _chosen(scores, top_k, threshold)
 
@@ -33,5 +37,6 @@ def rf_direct(samples: DataFrame, channels: DataFrame, folder: str, top_k: int |
 
     ``folder`` is one that the driver and all executors share; the model is saved there.
     """
+    _one_of(top_k, threshold)
     model, classes, _ = forest.train_forest(samples, channels.count(), trees, depth)
     return _chosen(forest.class_importance(model, classes, channels, folder), top_k, threshold)
