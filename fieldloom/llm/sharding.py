@@ -7,7 +7,7 @@ are cut as well. The splitters are found by counting: every round sends
 a few candidate boundaries for each unsettled splitter to all partitions, adds
 up the exact bytes (and rows) below each, and narrows the interval that holds
 the splitter, until the nearest boundary misses its target by no more than the
-tolerance or the interval holds one key. Then the rows are exchanged once.
+tolerance or the interval holds one row. Then the rows are exchanged once.
 
 A shard is cut further into pieces of about ``piece_bytes``. The exchange has as
 many partitions as there are pieces, dealt by the piece's number, and a task
@@ -66,11 +66,13 @@ def count_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndar
     return np.cumsum(bytes_)[:-1], np.cumsum(rows)[:-1]
 
 
-def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float], fan_out: int = 16) -> list[tuple[int, int]]:
+def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float], fan_out: int = 16, heavy: list[int] | None = None) -> list[tuple[int, int]]:
     """For each target number of bytes, a boundary key and the exact rows below it.
 
+    ``heavy`` are keys to probe in the first round beside the evenly spread ones.
+
     At most about 192 / log2(fan_out) rounds; some five in practice, as hashes
-    are spread evenly.
+    are spread evenly. No two rows have one key.
     """
     low, high = [(0, 0, 0)] * len(targets), [(TOP, None, None)] * len(targets)
     done: dict[int, tuple[int, int]] = {}
@@ -80,12 +82,12 @@ def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[float],
         for i, t in enumerate(targets):
             if i not in done:
                 best = min((low[i], high[i]), key=lambda x: abs(x[1] - t))
-                if abs(best[1] - t) <= tolerances[i] or high[i][0] - low[i][0] <= 1:
+                if abs(best[1] - t) <= tolerances[i] or high[i][2] - low[i][2] <= 1:  # one row lies across
                     done[i] = (best[0], best[2])
         open_ = [i for i in range(len(targets)) if i not in done]
         if not open_:
             return [done[i] for i in range(len(targets))]
-        probes = set()
+        probes, heavy = {*(heavy or ())}, None
         for i in open_:
             (a, below, _), (b, above, _) = low[i], high[i]
             probes.update(a + (b - a) * j // fan_out for j in range(1, fan_out))
@@ -136,7 +138,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     targets = [total * i // n for i in range(1, n)]
     shard_bytes = total / n_shards
     tolerances = [shard_bytes * tolerance if i % pieces == 0 else shard_bytes / pieces * 0.2 for i in range(1, n)]
-    splitters = find_splitters(keys, targets, tolerances)
+    # the edges of texts whose copies fill a good part of a shard, at most 8 * n_shards of them
+    large = keys.groupBy("_high").agg(F.sum("size").alias("s")).where(F.col("s") > total / n_shards / 8).select("_high").collect()
+    edges = [e << (BITS - 64) for r in large for e in (r[0] + (1 << 63), r[0] + (1 << 63) + 1)]
+    splitters = find_splitters(keys, targets, tolerances, heavy=edges)
     found = Boundaries([k for k, _ in splitters])
     rows_below = np.array([0, *(r for _, r in splitters)])
 
