@@ -28,6 +28,7 @@ BLOCK = 256
 MAX_REPEAT = 3
 SLOTS_PER_SHARD = 4096
 ROWS_PER_STEP = 4096
+ROWS_PER_TASK = 16 * ROWS_PER_STEP
 FEISTEL_ROUNDS = 6
 WALK = 64
 
@@ -122,11 +123,16 @@ def permute(index: Column, size: Column, *key: Column) -> Column:
     return F.when(size <= 1, F.lit(0).cast("long")).when(walked < size, walked).otherwise(F.raise_error(F.lit("the permutation did not return")).cast("long"))
 
 
-def _listed(rows: DataFrame, count: Column, name: str) -> DataFrame:
-    """A row for each of ``0 .. count - 1``, in steps, so that no array is long."""
+def _listed(rows: DataFrame, count: Column, name: str, total: int | None = None) -> DataFrame:
+    """A row for each of ``0 .. count - 1``, in steps, so that no array is long.
+
+    With ``total``, the number of rows to come, the steps are dealt to as many
+    tasks as the rows need; by their own few bytes they would all go to one.
+    """
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / ROWS_PER_STEP)))
     steps = rows.where(count > 0).withColumn("_step", step).withColumn("_at", F.col("_step") * ROWS_PER_STEP)
-    steps = steps.repartition(*(c for c in ("rank", "shard") if c in rows.columns), "_step") if "rank" in rows.columns else steps
+    if total is not None:
+        steps = steps.repartition(max(1, total // ROWS_PER_TASK), *(c for c in ("rank", "shard") if c in rows.columns), "_step")
     return steps.withColumn(name, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + ROWS_PER_STEP, count) - 1))).drop("_step", "_at")
 
 
@@ -144,8 +150,9 @@ def shard_draws(targets: DataFrame, block: int = BLOCK, seed: str = "mix", slots
     t = t.withColumn("per_pass", F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)).withColumn("passes", F.floor((F.col("wanted") - 1) / F.col("source_size")))
     left = F.col("wanted") - F.col("passes") * F.col("source_size")
     t = t.withColumn("n_slots", F.col("passes") * F.col("per_pass") + F.ceil(left / b)).drop("passes")
-    shards = max(1, -(-(t.agg(F.sum("n_slots")).first()[0] or 0) // slots_per_shard))
-    drawn = _listed(t.select("rank", "n_slots"), F.col("n_slots"), "_slot").select("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "_slot"), F.lit(shards)).cast("int").alias("shard"))
+    total = t.agg(F.sum("n_slots")).first()[0] or 0
+    shards = max(1, -(-total // slots_per_shard))
+    drawn = _listed(t.select("rank", "n_slots"), F.col("n_slots"), "_slot", total).select("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "_slot"), F.lit(shards)).cast("int").alias("shard"))
     counts = materialise(drawn.groupBy("rank", "shard").agg(F.count("*").alias("n")))
     first = F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n")
     return counts.withColumn("first", first).join(t, "rank")
@@ -159,7 +166,8 @@ def slots(targets: DataFrame, block: int = BLOCK, seed: str = "mix", slots_per_s
     """
     b = F.lit(block)
     draws = materialise(shard_draws(targets, block, seed, slots_per_shard))
-    listed = _listed(draws, F.col("n"), "_i").withColumn("slot", F.col("first") + F.col("_i"))
+    total = draws.agg(F.sum("n")).first()[0] or 0
+    listed = _listed(draws, F.col("n"), "_i", total).withColumn("slot", F.col("first") + F.col("_i"))
     number, in_pass = F.floor(F.col("slot") / F.col("per_pass")), F.col("slot") % F.col("per_pass")
     listed = listed.withColumns({"pass": number.cast("long"), "_in": in_pass})
     is_full = F.col("_in") < F.col("full")
