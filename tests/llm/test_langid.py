@@ -102,3 +102,32 @@ def test_languages_of_long_texts_alone_are_learned(spark):
     samples = L.draw_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     assert set(samples) == set(SYLLABLES)
     assert all(len(t) == L.DOC_CHARS and t[0].isalpha() for texts in samples.values() for t in texts)
+
+
+def test_large_alphabets_are_searched():
+    """Thousands of letters, most of them outside the table's columns, parse as by string search."""
+    rng = random.Random(9)
+    glyphs = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {"zh": ["".join(rng.choice(glyphs) for _ in range(6000))], "en": ["the cat sat on the mat and the dog ran " * 20]}
+    texts = [samples["zh"][0][k : k + 50] for k in range(0, 3000, 37)] + ["the dog sat on the cat", "日本 the mat 語", "".join(rng.choice(glyphs) for _ in range(80))] * 40
+
+    def phrases(symbols, model, lang):
+        known, n, at = model, 0, 0
+        own = [int(c) for t in samples[lang] for c in [*known.symbols(t).tolist(), known.n_symbols - 1]]
+        joined = " ".join(map(str, own)) + " "
+        has = lambda part: (" " + joined).find(" " + " ".join(map(str, part)) + " ") >= 0
+        while at < len(symbols):
+            end = at + 1
+            while end < len(symbols) and has(symbols[at : end + 1]) and has(symbols[at:end]):
+                end += 1
+            n, at = n + 1, end
+        return n
+
+    small, wide = L.Automata(samples, common=5), L.Automata(samples, common=10_000)
+    coded = [small.symbols(t) for t in texts]
+    got = small.phrases(coded)
+    assert (got == wide.phrases([wide.symbols(t) for t in texts])).all()
+    assert small.next.size == small.width * (small.next.size // small.width) and small.width == 6
+    for k in (0, 5, len(texts) - 3):
+        assert abs(int(got[small.langs.index("zh"), k]) - phrases(coded[k].tolist(), small, "zh")) <= 1
+    assert small.predict(texts[:3])[0] == ["zh"] * 3
