@@ -31,6 +31,7 @@ from fieldloom.llm.tables import fresh, materialise
 N_FEATURES = 1 << 18
 MAX_FIT_ROWS = 20_000
 FIT_TASKS = 6
+MIN_TAIL = 0.7  # most rows are good, so a text is kept only where that is rather sure
 CACHE = 200_000
 
 _SYMBOL = re.compile(r"[^\w\s]")
@@ -155,7 +156,7 @@ def labelled_features(docs: DataFrame, ratings: DataFrame, id_col: str, text_col
     return texts.mapInArrow(featurise, "slots array<int>, grade int").where(F.size("slots") > 0)
 
 
-def fit(features: DataFrame, n_grades: int, n_features: int = N_FEATURES, l2: float = 0.003, steps: int = 40, memory: int = 8) -> OrdinalModel:
+def fit(features: DataFrame, n_grades: int, n_features: int = N_FEATURES, l2: float = 0.01, steps: int = 40, memory: int = 8) -> OrdinalModel:
     """L-BFGS on the likelihood summed over the tasks of ``features``.
 
     Without rows, the weights are zero and the grades equally likely.
@@ -262,7 +263,7 @@ def grades_of_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(low.isNotNull() | toxic.isNotNull(), 2 - faults).alias("grade"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, min_tail: float = 0.5, max_fit_rows: int = MAX_FIT_ROWS, n_features: int = N_FEATURES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL, max_fit_rows: int = MAX_FIT_ROWS, n_features: int = N_FEATURES) -> DataFrame:
     """Fit on the rated part of ``docs`` and rate every row of ``docs``.
 
     Adds ``quality`` (see :func:`score`; an underscore is appended while the
