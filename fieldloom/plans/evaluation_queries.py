@@ -10,6 +10,7 @@ from fieldloom.operators import evaluation as E
 from fieldloom.operators import series, shift
 from fieldloom.operators.cleaning import remap_labels
 from fieldloom.plans.cleaning_queries import NDVI
+from fieldloom.plans.patch_queries import PX, chips, pixels
 from fieldloom.plans.registry import query
 from fieldloom.sources.fixtures import Fixtures
 
@@ -97,14 +98,20 @@ def h10_experiment_summary(fx: Fixtures) -> DataFrame:
     return E.experiment_summary(r).select("run", "rank")
 
 
-@query()
+def _tiles(fx: Fixtures) -> DataFrame:
+    values = F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", "values"))), lambda x: x["values"])
+    return chips(fx).groupBy("patch_id").agg(F.flatten(values).alias("values")).select("patch_id", F.lit(5).alias("height"), F.lit(5).alias("width"), "values")
+
+
+# values are whole numbers, so ties go to the first channel
+@query(
+    """SELECT patch_id, string_agg(CAST(best AS VARCHAR), ',' ORDER BY cell) AS "values" FROM (SELECT p.patch_id, (p.r - p.r0) * 5 + p.c - p.c0 AS cell, arg_max(o.channel_idx, coalesce(o.value, 0) * 100 - o.channel_idx) AS best
+    FROM px p SEMI JOIN patches USING (patch_id) JOIN obs o ON o.pixel_id = p.pixel_id GROUP BY 1, 2) GROUP BY 1""",
+    PX,
+)
 def h1_predict_tiles(fx: Fixtures) -> DataFrame:
     """A stand-in model: the class is the channel of the highest value."""
-    from fieldloom.plans.patch_queries import chips
-
-    wide = chips(fx).groupBy("patch_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", "values"))), lambda x: x["values"])).alias("values"))
-    tiles = wide.select("patch_id", F.lit(5).alias("height"), F.lit(5).alias("width"), "values")
-    return E.predict_tiles(tiles, lambda x: x, 8, 2).withColumn("values", F.array_join("values", ","))
+    return E.predict_tiles(_tiles(fx), lambda x: x, 8, 24).withColumn("values", F.array_join("values", ","))
 
 
 @query()
@@ -113,16 +120,11 @@ def h1_classify_tiles(fx: Fixtures) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    from fieldloom.plans.patch_queries import chips, pixels
-
-    values = F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", "values"))), lambda x: x["values"])
-    tiles = chips(fx).groupBy("patch_id").agg(F.flatten(values).alias("values")).select("patch_id", F.lit(5).alias("height"), F.lit(5).alias("width"), "values")
-    own = F.concat_ws("_", "band", "date8")
-    two = [F.max(F.when(own == c, F.coalesce("value", F.lit(0.0)))).alias(x) for c, x in (("B4_20240331", "a"), ("B8_20240629", "b"))]
-    wide = fx.obs().where(own.isin("B4_20240331", "B8_20240629")).groupBy("pixel_id").agg(*two)
-    fit = wide.join(remap_labels(pixels(fx)).select("pixel_id", F.col("model_id").cast("double").alias("label")), "pixel_id").select("label", array_to_vector(F.array("a", "b")).alias("features"))
-    model = RandomForestClassifier(numTrees=5, maxDepth=5, seed=0).fit(fit)
-    return E.classify_tiles(tiles, model, 2).withColumn("values", F.array_join("values", ","))
+    channels = F.array_sort(F.collect_list(F.struct("channel_idx", F.coalesce("value", F.lit(0.0)).alias("v"))))
+    wide = fx.obs().groupBy("pixel_id").agg(array_to_vector(F.transform(channels, lambda x: x["v"])).alias("features"))
+    fit = wide.join(remap_labels(pixels(fx)).select("pixel_id", F.col("model_id").cast("double").alias("label")), "pixel_id")
+    model = RandomForestClassifier(numTrees=20, maxDepth=8, seed=0).fit(fit)
+    return E.classify_tiles(_tiles(fx), model, 24).withColumn("values", F.array_join("values", ","))
 
 
 @query("SELECT count(CASE WHEN gt_class = pred_class THEN 1 END) AS n_agree, count(CASE WHEN gt_class <> pred_class THEN 1 END) AS n_disagree FROM predictions")
@@ -156,22 +158,6 @@ def i4_disagreement_summary(fx: Fixtures) -> DataFrame:
     return D.disagreement_summary(scored(fx)[2])
 
 
-@query()
-def h1_classify_tiles(fx: Fixtures) -> DataFrame:
-    """A forest on the pixels' own values gives the class of every pixel of every chip."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    from fieldloom.plans.patch_queries import chips, pixels
-
-    values = F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", "values"))), lambda x: x["values"])
-    tiles = chips(fx).groupBy("patch_id").agg(F.flatten(values).alias("values")).select("patch_id", F.lit(5).alias("height"), F.lit(5).alias("width"), "values")
-    wide = fx.obs().where("date8 = '20240629' and band in ('B4', 'B8')").groupBy("pixel_id").agg(F.max(F.when(F.col("band") == "B4", F.coalesce("value", F.lit(0.0)))).alias("a"), F.max(F.when(F.col("band") == "B8", F.coalesce("value", F.lit(0.0)))).alias("b"))
-    fit = wide.join(remap_labels(pixels(fx)).select("pixel_id", F.col("model_id").cast("double").alias("label")), "pixel_id").select("label", array_to_vector(F.array("a", "b")).alias("features"))
-    model = RandomForestClassifier(numTrees=5, maxDepth=5, seed=0).fit(fit)
-    return E.classify_tiles(tiles, model, 2).withColumn("values", F.array_join("values", ","))
-
-
 @query("SELECT count(CASE WHEN gt_class = pred_class THEN 1 END) AS n_agree, count(CASE WHEN gt_class <> pred_class THEN 1 END) AS n_disagree, (SELECT count(DISTINCT date8) FROM ndvi) AS n_dates, (SELECT count(*) FROM ds) AS n_scored, (SELECT round(avg(CAST(verdict = 'pred' AS INT)), 4) FROM ds) AS pred_win_rate FROM predictions", SERIES)
 def i5_disagreement_overall(fx: Fixtures) -> DataFrame:
     index, pred, s = scored(fx)

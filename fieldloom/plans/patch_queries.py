@@ -163,12 +163,12 @@ def g16_choose_classes(fx: Fixtures) -> DataFrame:
     return P.choose_classes(fx.labels(), min_share=0.09)
 
 
-CHIPS = PX + ", chips AS (SELECT p.patch_id, CASE o.channel WHEN 'B4_20240331' THEN 0 ELSE 1 END AS channel_idx, string_agg(CAST(CAST(coalesce(o.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY (p.r - p.r0) * 5 + p.c - p.c0) AS cells FROM px p SEMI JOIN patches USING (patch_id) JOIN obs o ON o.pixel_id = p.pixel_id WHERE o.channel IN ('B4_20240331', 'B8_20240629') GROUP BY 1, 2)"
+CHIPS = PX + ", chips AS (SELECT p.patch_id, o.channel_idx, string_agg(CAST(CAST(coalesce(o.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY (p.r - p.r0) * 5 + p.c - p.c0) AS cells FROM px p SEMI JOIN patches USING (patch_id) JOIN obs o ON o.pixel_id = p.pixel_id GROUP BY 1, 2)"
 
 
 def chips(fx: Fixtures) -> DataFrame:
-    two = fx.spark.createDataFrame([("B4_20240331", 0), ("B8_20240629", 1)], "channel string, ordinal int")
-    return P.build_chips(fx.obs(), pixels(fx), patches(fx), two, 5)
+    every = fx.channels().select("channel", F.col("channel_idx").alias("ordinal"))
+    return P.build_chips(fx.obs(), pixels(fx), patches(fx), every, 5)
 
 
 @query("SELECT patch_id, CAST(channel_idx AS INT) AS channel_idx, cells FROM chips", CHIPS)
@@ -181,9 +181,9 @@ def g17_build_masks(fx: Fixtures) -> DataFrame:
     return P.build_masks(pixels(fx), patches(fx), 5).select("patch_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("cells"))
 
 
-@query("SELECT pixel_id, channel, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9), 6) AS value FROM (SELECT p.pixel_id, p.patch_id, o.channel, coalesce(o.value, 0) AS v FROM px p JOIN obs o ON o.pixel_id = p.pixel_id WHERE o.date8 = '20240331') WINDOW w AS (PARTITION BY patch_id, channel)", PX)
+@query("SELECT pixel_id, channel, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9), 6) AS value FROM (SELECT p.pixel_id, p.patch_id, o.channel, coalesce(o.value, 0) AS v FROM px p JOIN obs o ON o.pixel_id = p.pixel_id) WINDOW w AS (PARTITION BY patch_id, channel)", PX)
 def g18_normalise_patch(fx: Fixtures) -> DataFrame:
-    own = fx.obs().where("date8 = '20240331'").join(pixels(fx).select("pixel_id", "patch_id"), "pixel_id").withColumn("channel", F.concat_ws("_", "band", "date8"))
+    own = fx.obs().join(pixels(fx).select("pixel_id", "patch_id"), "pixel_id").withColumn("channel", F.concat_ws("_", "band", "date8"))
     return P.normalise_patch(own).select("pixel_id", "channel", "value")
 
 
@@ -222,14 +222,18 @@ def g21_channel_stats(fx: Fixtures) -> DataFrame:
 
 @query()
 def g22_augment(fx: Fixtures) -> DataFrame:
-    own = fx.obs().where("date8 = '20240331'").join(pixels(fx).select("pixel_id", "patch_id", "r0", "c0"), "pixel_id")
+    own = fx.obs().join(pixels(fx).select("pixel_id", "patch_id", "r0", "c0"), "pixel_id")
     cells = own.select("patch_id", "band", F.concat_ws("_", "band", "date8").alias("channel"), (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), (F.coalesce("value", F.lit(0.0)) / 4000).alias("value"))
     return P.augment(cells, 5)
 
 
-@query("SELECT w.window_id, o.r - w.r0 AS dr, o.c - w.c0 AS dc, o.date8, o.band, o.value FROM w JOIN obs o ON o.r >= w.r0 AND o.r < w.r0 + 7 AND o.c >= w.c0 AND o.c < w.c0 + 7", "w AS (SELECT pixel_id AS window_id, r AS r0, c AS c0 FROM px_labels WHERE confidence = 7 AND cdl_id = 3)")
+@query(
+    "SELECT w.patch_id AS window_id, o.r - w.r0 + 1 AS dr, o.c - w.c0 + 1 AS dc, o.date8, o.band, o.value FROM patches w JOIN obs o ON o.r >= w.r0 - 1 AND o.r < w.r0 + 6 AND o.c >= w.c0 - 1 AND o.c < w.c0 + 6",
+    PX,
+)
 def g23_extract_windows(fx: Fixtures) -> DataFrame:
-    origins = fx.labels().where("confidence = 7 and cdl_id = 3").select(F.col("pixel_id").alias("window_id"), F.col("r").alias("r0"), F.col("c").alias("c0"))
+    """Every patch with a margin of one pixel."""
+    origins = patches(fx).select(F.col("patch_id").alias("window_id"), (F.col("r0") - 1).alias("r0"), (F.col("c0") - 1).alias("c0"))
     return P.extract_windows(fx.obs(), origins, 7)
 
 

@@ -83,6 +83,9 @@ class Fixtures:
 
         return to_null(self.raw_obs())
 
+    def channels(self) -> DataFrame:
+        return self.obs().select(F.concat_ws("_", "band", "date8").alias("channel"), "channel_idx").distinct()
+
     def second_year(self) -> DataFrame:
         shifted = F.date_format(F.date_add(F.to_date("date8", "yyyyMMdd"), 3 - 366), "yyyyMMdd")
         return self.obs().withColumn("date8", shifted)
