@@ -13,7 +13,7 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is one half or more."""
+    """Documents whose probability of the best grade is ``quality.MIN_TAIL`` or more."""
     rated = quality.classify(docs, read(spark, sf_dir, "labels"))
     return rated.where(f"`{rated.columns[-1]}`").select(*docs.columns)
 
