@@ -154,5 +154,5 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
 
     placed = keyed.withColumn("_piece", place(*PARTS)).withColumn("_at", F.col("_piece.piece"))
     here = Window.partitionBy("_at").orderBy(*PARTS)
-    out = placed.repartition(n, "_at").withColumns({size: F.col("_size"), shard: F.col("_piece.shard"), slot: F.col("_piece.before") + F.row_number().over(here) - 1})
+    out = placed.repartitionById(n, "_at").withColumns({size: F.col("_size"), shard: F.col("_piece.shard"), slot: F.col("_piece.before") + F.row_number().over(here) - 1})
     return out.select(*docs.columns, size, shard, slot)
