@@ -107,7 +107,13 @@ def g9_patch_weights(fx: Fixtures) -> DataFrame:
     return P.patch_weights(counts(fx))
 
 
-@query()
+@query(
+    """SELECT draw, patch_id FROM (SELECT i AS draw, CAST(concat('0x', substr(md5(concat(i, '-42')), 1, 12)) AS BIGINT) / 281474976710656.0 * (SELECT max(hi) FROM line) AS u FROM range(500) t(i)) d
+    JOIN line ON d.u >= lo AND d.u < hi""",
+    WEIGHTS
+    + """, sized AS (SELECT *, greatest(1, least(count(*) OVER () // 1000, CAST(floor(sqrt(count(*) OVER ())) AS BIGINT))) AS buckets FROM weights),
+    line AS (SELECT patch_id, hi, lag(hi, 1, 0) OVER (ORDER BY hi) AS lo FROM (SELECT patch_id, sum(weight) OVER (ORDER BY CAST(concat('0x', substr(md5(patch_id), 1, 12)) AS BIGINT) % buckets, patch_id) AS hi FROM sized))""",
+)
 def g10_weighted_sample(fx: Fixtures) -> DataFrame:
     return P.weighted_sample(P.patch_weights(counts(fx)), 500)
 
