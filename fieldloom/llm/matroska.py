@@ -111,7 +111,11 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
 
 
 def parse(data: bytes) -> dict:
-    """``tracks``, ``packets`` and ``cues`` of a file; ValueError if it is damaged."""
+    """``tracks``, ``packets`` and ``cues`` of a file; ValueError if it is damaged.
+
+    Laced frames follow each other by their track's default duration, or, where
+    it has none, share the duration of their block group.
+    """
     scale, tracks, packets, cues, clusters = 1_000_000, {}, [], [], 0
     top = list(_elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
@@ -120,7 +124,8 @@ def parse(data: bytes) -> dict:
         if ident != SEGMENT:
             continue
         base = a
-        for part, begin, x, y in _elements(data, a, b):
+        # what clusters depend on may stand behind them
+        for part, _, x, y in sorted(_elements(data, a, b), key=lambda e: e[0] not in (INFO, TRACKS)):
             if part == INFO:
                 for i, _, p, q in _elements(data, x, y):
                     if i == TIME_SCALE:
@@ -143,15 +148,17 @@ def parse(data: bytes) -> dict:
                     if i == CLUSTER_TIME:
                         time = _uint(data, p, q)
                     elif i in (SIMPLE_BLOCK, BLOCK_GROUP):
-                        blocks = [(p, q)] if i == SIMPLE_BLOCK else [(m, n) for k, _, m, n in _elements(data, p, q) if k == BLOCK]
-                        key = None if i == SIMPLE_BLOCK else all(k != REFERENCE for k, _, _, _ in _elements(data, p, q))
-                        for m, n in blocks:
+                        group = [] if i == SIMPLE_BLOCK else list(_elements(data, p, q))
+                        key = None if i == SIMPLE_BLOCK else all(k != REFERENCE for k, *_ in group)
+                        lasts = next((_uint(data, m, n) * scale for k, _, m, n in group if k == DURATION), 0)
+                        for m, n in [(p, q)] if i == SIMPLE_BLOCK else [(m, n) for k, _, m, n in group if k == BLOCK]:
                             number, at = _vint(data, m, n, False)
                             if at + 3 > n:
                                 raise ValueError("a block shorter than its header")
                             (relative,), flags = struct.unpack(">h", data[at : at + 2]), data[at + 2]
-                            frame_ns = tracks.get(number, {}).get("frame_ns", 0)
-                            for j, (c, d) in enumerate(_frames(data, at + 3, n, flags >> 1 & 3)):
+                            frames = _frames(data, at + 3, n, flags >> 1 & 3)
+                            frame_ns = tracks.get(number, {}).get("frame_ns", 0) or lasts // len(frames)
+                            for j, (c, d) in enumerate(frames):
                                 packets.append((number, (time + relative) * scale + j * frame_ns, c, d - c, bool(flags & 128) if key is None else key, cluster, flags >> 1 & 3))
             elif part == CUES:
                 for i, _, p, q in _elements(data, x, y):

@@ -75,3 +75,44 @@ def test_query_rows(spark, docs, rows, empty):
         assert len(p) % 64 == 0 and len(p) >= 64 and r.payload_bytes == len(p) and r.tail_crc32 == zlib.crc32(p[-64:])
         assert r.media_sha256 == hashlib.sha256(M.store(p)).hexdigest()
     assert M.stored_payloads(empty).collect() == []
+
+
+def test_file_written_by_hand():
+    """Bytes set down from the specification, not by the library's writer; the tracks stand behind the cluster."""
+    media = bytes.fromhex(
+        "1a45dfa3 8b 4282 88 6d6174726f736b61"  # DocType matroska
+        "18538067 01ffffffffffffff"  # a segment of unknown size
+        "1549a966 87 2ad7b1 83 0f4240"  # a million nanoseconds a tick
+        "1f43b675 b9 e7 82 03e8"  # a cluster at tick 1000
+        "a3 86 81 0005 80 6869"  # track 1: hi
+        "a3 8a 81 0007 82 01 03 78797a 77"  # Xiph: xyz, w
+        "a3 8b 81 0009 84 02 3131 3232 3333"  # fixed size: 11, 22, 33
+        "a0 92 a1 8d 82 fffe 06 02 82 c0 6162 636465 66 9b 81 1e"  # track 2, EBML: ab, cde, f, in 30 ticks together
+        "1654ae6b 9f ae 95 d7 81 01 83 81 02 86 85 565f524157 23e383 84 02625a00 ae 86 d7 81 02 83 81 11"
+        "1c53bb6b 8e bb 8c b3 82 03e8 b7 86 f7 81 01 f1 81 0c"
+    )
+    read = M.parse(media)
+    assert [(p[0], p[1] // 10**6, media[p[2] : p[2] + p[3]], p[6]) for p in read["packets"]] == [
+        (1, 1005, b"hi", 0), (1, 1007, b"xyz", 1), (1, 1047, b"w", 1), (1, 1009, b"11", 2), (1, 1049, b"22", 2), (1, 1089, b"33", 2),
+        (2, 998, b"ab", 3), (2, 1008, b"cde", 3), (2, 1018, b"f", 3),
+    ]
+    assert read["tracks"] == [{"track": 1, "kind": 2, "codec": "V_RAW", "frame_ns": 40_000_000}, {"track": 2, "kind": 17, "codec": "", "frame_ns": 0}]
+    assert all(p[4] for p in read["packets"])
+    ((time, track, at),) = read["cues"]
+    assert (time, track, media[at : at + 4].hex()) == (10**9, 1, "1f43b675")
+
+
+def test_op5_against_plain_bytes(spark, docs, rows, tmp_path):
+    from fieldloom.llm.queries import op5_matroska
+
+    long = "longer than a cluster " * 50_000
+    docs.union(spark.createDataFrame([(900, long, "en", "s", 0)], docs.schema)).withColumn("stored", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = [], []
+    for r in op5_matroska(spark, str(tmp_path)).collect():
+        got.append((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
+        assert r.media_bytes > r.payload_bytes and len(r.media_sha256) == 64 and r.feature
+    for i, t in [(r[0], r[1]) for r in rows] + [(900, long)]:
+        data = (t or "").encode()
+        payload = data + bytes((64 - len(data) % 64) % 64 if data else 64)
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert sorted(got, key=str) == sorted(want, key=str)

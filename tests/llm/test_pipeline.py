@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -64,7 +66,49 @@ def test_mix_meets_its_targets(steps):
     assert dict(taken) == {s: int(t + 0.5) for s, t in targets(dict(sizes)).items()}
 
 
+def pieces_whole(texts, packed):
+    """Whether the pieces, put together, are the ids of the texts, and sequences have neither gaps nor more than 2048."""
+    from tokenizers import Tokenizer
+
+    from fieldloom.llm.queries import tokenizer_path
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want, got = Counter(), Counter()
+    for i, t in texts:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want.update((i, len(ids), at, x) for at, x in enumerate(ids))
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length
+        got.update((r.doc_id, r.doc_tokens, r.start + at, x) for at, x in enumerate(ids))
+    assert got == want
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        ends = [a + n for a, n in sorted(p)]
+        assert [a for a, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    return True
+
+
 def test_packing_covers_the_mix(spark, steps):
-    n = steps[4][1].count()
-    assert sum(r.length == r.doc_tokens or r.start == 0 for r in steps[4][2].collect()) >= n
+    assert pieces_whole([(r.doc_id, r.text) for r in steps[4][1].collect()], steps[4][2].collect())
     assert corpus_pipeline.run(spark, ROOT).columns == steps[4][2].columns
+
+
+def test_awkward_rows_and_clashing_columns(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows and names that the stages use, in every stage; then a table without rows."""
+    names = ("quality", "keep", "_fp", "fingerprint", "size", "shard", "start", "pii", "words", "block")
+    labels = docs.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    for folder, rows in (("some", docs), ("none", empty)):
+        for n in names:
+            rows = rows.withColumn(n, F.lit("own"))
+        rows.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, rows, f"{tmp_path}/{folder}")
+            assert made.columns == rows.columns
+            assert not made.where(" or ".join(f"{n} <> 'own'" for n in names)).count()
+            assert (made.count() == 0) == (folder == "none")
+        out = corpus_pipeline.STAGES[-1][1](spark, rows, f"{tmp_path}/{folder}").collect()
+        assert pieces_whole([(r.doc_id, r.text) for r in rows.collect()], out)
