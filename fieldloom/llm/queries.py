@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, matroska, mixing, packing, pii, quality, sharding, simhash, sketch
-from fieldloom.llm.tables import read, text_or_empty
+from fieldloom.llm import chat, langid, matroska, mixing, packing, pii, quality, repair, sharding, simhash, sketch
+from fieldloom.llm.tables import materialise, read, text_or_empty
 
 
 def tokenizer_path() -> str:
@@ -88,8 +88,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialise(repair.damaged(read(spark, sf_dir, "conversations")))
+    found = materialise(repair.audits(turns, present=F.col("present")))
+    sha = repair.digests(repair.repaired(turns, found, present=F.col("present"))).withColumnRenamed("conv_id", "_conv")
+    out = found.join(sha, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv", "given")
+    return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_simhash, op4_sketch, op5_matroska, op6_language, op7_packing, op8_chat, op9_pii, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_simhash, op4_sketch, op5_matroska, op6_language, op7_packing, op8_chat, op9_pii, op10_mixing, op13_repair)}
 
 
 # The template's escapes, the turns in order, and the roles that may follow each other
