@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, matroska, mixing, packing, pii, quality, repair, sharding, simhash, sketch
+from fieldloom.llm import chat, langid, matroska, mixing, packing, pii, projection, quality, repair, sharding, simhash, sketch, whitening
 from fieldloom.llm.tables import materialise, read, text_or_empty
 
 
@@ -88,6 +88,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(read(spark, sf_dir, "embeddings"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = materialise(repair.damaged(read(spark, sf_dir, "conversations")))
     found = materialise(repair.audits(turns, present=F.col("present")))
@@ -97,7 +105,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_simhash, op4_sketch, op5_matroska, op6_language, op7_packing, op8_chat, op9_pii, op10_mixing, op13_repair)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_simhash, op4_sketch, op5_matroska, op6_language, op7_packing, op8_chat, op9_pii, op10_mixing, op11_whitening, op12_vectors, op13_repair)}
 
 
 # The template's escapes, the turns in order, and the roles that may follow each other
