@@ -6,11 +6,14 @@ Missing values are NULL from :func:`to_null` on. Label rasters are tables with
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import tiles
+
 # Target land-cover ids in model order, their names, and ids that aren't crops
 KEEP_CLASSES = (1, 3, 24, 36, 54, 69, 75, 76)
 CLASS_NAMES = {1: "Corn", 3: "Rice", 24: "Winter Wheat", 36: "Alfalfa", 54: "Tomatoes", 69: "Grapes", 75: "Almonds", 76: "Walnuts"}
@@ -18,6 +21,8 @@ NON_CROP = (0, 61, 63, 64, 65, 81, 82, 83, 87, 88, 92, 111, 112, 121, 122, 123,
 NODATA = -9999.0
 UNKNOWN = 255
 MIN_CONFIDENCE = 55
+WIDEST_HALO = 255  # pixels; such a tile has 1.6 million
+HALO_SHARE = 3
 
 
 LARGEST = 1.7976931348623157e308  # NaN and infinity order above it
@@ -158,35 +163,20 @@ def albers_row_col(lon: Column, lat: Column, affine: tuple[float, float, float,
     return F.floor((top - y) / dy).cast("long"), F.floor((x - left) / dx).cast("long")
 
 
-def _neighbours(labels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """One row for each pixel and offset: (r, c) of the pixel that sees ``seen``."""
-    at = F.explode(F.array(*(F.struct((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), (F.lit(dr * dr + dc * dc) == 0).alias("own")) for dr, dc in offsets)))
-    return labels.select(at.alias("_at"), F.col("cdl_id").alias("seen")).select("_at.r", "_at.c", "_at.own", "seen")
-
-
 def majority_filter(labels: DataFrame, k: int = 3) -> DataFrame:
     """Most frequent class of the k x k window within the raster; ties go to the least class."""
-    h = k // 2
-    seen = _neighbours(labels, [(i, j) for i in range(-h, h + 1) for j in range(-h, h + 1)])
-    counts = seen.groupBy("r", "c", "seen").agg(F.count("*").alias("n"))
-    best = counts.groupBy("r", "c").agg(F.min_by("seen", F.struct(-F.col("n"), F.col("seen"))).alias("_best"))
-    return labels.join(best, ["r", "c"]).withColumn("cdl_id", F.col("_best").cast("int")).select(*labels.columns)
-
-
-def _edge(labels: DataFrame) -> DataFrame:
-    """``r, c, inner``: whether all four neighbours exist and agree with the pixel."""
-    seen = _neighbours(labels, [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)])
-    return seen.groupBy("r", "c").agg(F.max(F.col("own").cast("int")).alias("own"), (F.count("*") == 5).alias("all"), (F.min("seen") == F.max("seen")).alias("same")).where("own = 1").select("r", "c", (F.col("all") & F.col("same")).alias("inner"))
+    half = k // 2
+    return tiles.per_tile(labels, labels.columns, tiles.side_for(half), half, {"cdl_id": "int"}, lambda t: {"cdl_id": tiles.as_class(t.of(tiles.majority(t.square, half)))})
 
 
 def eroded_mask(labels: DataFrame, iterations: int = 1) -> DataFrame:
-    """``labels`` plus ``inner``: whether the pixel is left of its class's mask after some rounds of 4-neighbour erosion."""
-    out = labels.withColumn("inner", F.lit(True))
-    for _ in range(iterations):
-        # a pixel that has gone no longer supports its neighbours
-        shown = out.select("r", "c", F.when(F.col("inner"), F.col("cdl_id")).otherwise(-1).alias("cdl_id"))
-        out = out.drop("inner").join(_edge(shown), ["r", "c"]).join(shown.select("r", "c", (F.col("cdl_id") >= 0).alias("_was")), ["r", "c"]).withColumn("inner", F.col("inner") & F.col("_was")).drop("_was")
-    return out
+    """``labels`` plus ``inner``: whether the pixel is left of its class's mask after some rounds of 4-neighbour erosion.
+
+    That is, whether no pixel of another class, and none outside the raster, is
+    as many steps away or fewer; so any number of rounds is one pass.
+    """
+    work = lambda t: {"inner": t.of(tiles.distance(t.square)) > iterations}
+    return tiles.per_tile(labels, labels.columns, tiles.side_for(iterations), iterations, {"inner": "boolean"}, work)
 
 
 def erode_boundaries(labels: DataFrame, iterations: int = 1, unknown: int = UNKNOWN) -> DataFrame:
@@ -194,30 +184,44 @@ def erode_boundaries(labels: DataFrame, iterations: int = 1, unknown: int = UNKN
     return eroded_mask(labels, iterations).withColumn("cdl_id", F.when(F.col("inner"), F.col("cdl_id")).otherwise(unknown).cast("int")).select(*labels.columns)
 
 
+def _small(min_size: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Where a square's pixels are of small components.
+
+    Sound for pixels at least ``min_size - 1`` steps from the square's edge: a component that reaches the edge from
+    there has ``min_size`` pixels on its way.
+    """
+    return lambda square: tiles.sizes(tiles.labelled(square)) < min_size
+
+
 def small_components(mask: DataFrame, min_size: int = 4) -> DataFrame:
-    """Pixels of 4-connected one-class components of fewer than ``min_size``, from ``r, c, cdl_id``.
+    """``r, c`` of the pixels of 4-connected one-class components of fewer than ``min_size``, from ``r, c, cdl_id``.
 
-    A component is smaller iff the pixels within ``min_size - 1`` steps of one
-    of its pixels are fewer, so no global labelling is needed: each round joins
-    the frontier to its neighbours, and pixels that have reached enough leave.
+    Up to ``WIDEST_HALO`` a halo of that many pixels decides it for one
+    exchange; for greater sizes the components are labelled over all tiles.
     """
-    pixels = mask.select("r", "c", "cdl_id")
-    start = F.array(F.struct("r", "c"))
-    reach = pixels.select(F.col("r").alias("r0"), F.col("c").alias("c0"), "cdl_id", start.alias("_seen"))
-    near = lambda s: F.array(*(F.struct((s["r"] + a).alias("r"), (s["c"] + b).alias("c")) for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))))
-    for _ in range(min_size - 1):
-        steps = reach.select("r0", "c0", "cdl_id", F.explode(F.array_distinct(F.flatten(F.transform("_seen", near)))).alias("_s")).select("r0", "c0", "cdl_id", "_s.r", "_s.c")
-        met = steps.join(pixels, ["r", "c", "cdl_id"]).groupBy("r0", "c0", "cdl_id").agg(F.collect_set(F.struct("r", "c")).alias("_seen"))
-        reach = met.where(F.size("_seen") < min_size)  # so no array is longer than that many neighbourhoods
-    return reach.where(F.size("_seen") < min_size).select(F.col("r0").alias("r"), F.col("c0").alias("c"))
+    if min_size - 1 > WIDEST_HALO:
+        return tiles.components(mask, least=min_size).where(F.col("size") < min_size).select("r", "c")
+    halo = max(0, min_size - 1)
+    small = _small(min_size)
+    found = tiles.per_tile(mask, ["r", "c"], tiles.side_for(halo, HALO_SHARE), halo, {"_small": "boolean"}, lambda t: {"_small": t.of(small(t.square))})
+    return found.where("_small").select("r", "c")
 
 
 def drop_small_components(labels: DataFrame, min_size: int = 4, iterations: int = 1, unknown: int = UNKNOWN) -> DataFrame:
-    """Erosion, then small components of what is left become unknown too."""
-    inner = eroded_mask(labels, iterations)
-    small = small_components(inner.where("inner"), min_size).withColumn("_small", F.lit(True))
-    joined = inner.join(small, ["r", "c"], "left")
-    return joined.withColumn("cdl_id", F.when(F.col("inner") & F.col("_small").isNull(), F.col("cdl_id")).otherwise(unknown).cast("int")).select(*labels.columns)
+    """Erosion, then small components of what is left become unknown too; both in one look at the tiles where a halo is enough."""
+    if min_size - 1 > WIDEST_HALO:
+        inner = eroded_mask(labels, iterations)
+        small = small_components(inner.where("inner"), min_size).withColumn("_small", F.lit(True))
+        kept = inner.join(small, ["r", "c"], "left").withColumn("_kept", F.col("inner") & F.col("_small").isNull())
+    else:
+        halo, small = iterations + max(0, min_size - 1), _small(min_size)
+
+        def work(tile: tiles.Tile) -> dict:
+            left = np.where(tiles.distance(tile.square) > iterations, tile.square, tiles.ABSENT)
+            return {"_kept": tile.of((left != tiles.ABSENT) & ~small(left))}
+
+        kept = tiles.per_tile(labels, labels.columns, tiles.side_for(halo, HALO_SHARE), halo, {"_kept": "boolean"}, work)
+    return kept.withColumn("cdl_id", F.when(F.col("_kept"), F.col("cdl_id")).otherwise(unknown).cast("int")).select(*labels.columns)
 
 
 def process_labels(labels: DataFrame, legacy: bool = False, majority: int = 3, erode: int = 1, min_size: int = 4) -> DataFrame:

@@ -392,7 +392,8 @@ def d10_percentile_stretch(fx: Fixtures) -> DataFrame:
 )
 def a7_a9_write_and_read_selection(fx: Fixtures) -> DataFrame:
     from fieldloom.operators.selection import select_top_k
-    from fieldloom.sources.outputs import read_selection, shared_folder, write_selection
+    from fieldloom.sources.outputs import read_selection, write_selection
+    from fieldloom.sources.shared import shared_folder
 
     path = f"{shared_folder(fx.spark)}/selection-{uuid.uuid4().hex}"
     scores = fx.crop_samples().groupBy("crop_id", "channel", "channel_idx").agg(F.round(F.avg("value"), 6).alias("score"))

@@ -262,7 +262,8 @@ def a13_estimate_chips(fx: Fixtures) -> DataFrame:
 def a13_write_chips(fx: Fixtures) -> DataFrame:
     import uuid
 
-    from fieldloom.sources.outputs import shared_folder, write_chips
+    from fieldloom.sources.outputs import write_chips
+    from fieldloom.sources.shared import shared_folder
 
     path = f"{shared_folder(fx.spark)}/chips-{uuid.uuid4().hex}"
     write_chips(chips(fx).join(fixed_split(fx).select("patch_id", "split"), "patch_id"), path)

@@ -11,7 +11,7 @@ from fieldloom.operators import catalog, direct, forest, scoring, selection, ser
 from fieldloom.operators.cleaning import KEEP_CLASSES
 from fieldloom.plans.cleaning_queries import BANDS, CHANNELS, MEANS, means
 from fieldloom.plans.registry import query
-from fieldloom.sources import outputs
+from fieldloom.sources import outputs, shared
 from fieldloom.sources.fixtures import Fixtures
 
 MOM = "mom AS (SELECT crop_id, channel, channel_idx, avg(value) AS mu, stddev_pop(value) AS sd, stddev_samp(value) AS sd1, count(value) AS n, count(*) AS n_rows FROM samp GROUP BY 1, 2, 3)"
@@ -142,7 +142,7 @@ def _vector_channels(fx: Fixtures) -> DataFrame:
 
 
 def _folder(fx: Fixtures) -> str:
-    return outputs.shared_folder(fx.spark)
+    return shared.shared_folder(fx.spark)
 
 
 def _best(fx: Fixtures) -> list[str]:

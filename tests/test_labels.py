@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from fieldloom.operators import cleaning as C
+from fieldloom.operators import tiles as T
 
 
 def raster(spark, grid):
@@ -47,9 +48,11 @@ def test_hole_takes_its_ring(spark):
     assert out[3][3] == out[2][3] == out[3][4] == 255 and out[2][2] == 1
 
 
-@pytest.mark.parametrize("seed, rounds", [(1, 1), (2, 2), (3, 3)])
-def test_erosion_against_a_loop(spark, seed, rounds):
-    g = [[1 if 2 < i < 11 else 3] * 14 for i in range(14)] if seed == 3 else noisy(seed)
+@pytest.mark.parametrize("seed, rounds", [(1, 1), (2, 2), (3, 3), (3, 5), (4, 10)])
+def test_erosion_against_a_loop(spark, seed, rounds, monkeypatch):
+    monkeypatch.setattr(T, "SIDE", 5)
+    monkeypatch.setattr(T.side_for, "__defaults__", (1,))
+    g = noisy(seed) if seed < 3 else [[1 if 2 < i < 31 and not (seed == 3 and i == j == 20) else 3 for j in range(34)] for i in range(34)]
     inside = eroded(g, rounds)
     want = [[v if (i, j) in inside else 255 for j, v in enumerate(row)] for i, row in enumerate(g)]
     assert grid_of(C.erode_boundaries(raster(spark, g), rounds)) == want
@@ -61,25 +64,68 @@ def test_components_of_1_3_and_4_pixels(spark):
     assert {(r.r, r.c) for r in C.small_components(df, 4).collect()} == {(0, 0), (2, 0), (2, 1), (3, 1)}
 
 
-@pytest.mark.parametrize("size", [2, 4, 6])
-def test_components_against_a_search(spark, size):
-    g = noisy(9)
-    want = set()
-    for i in range(12):
-        for j in range(12):
-            seen, todo = {(i, j)}, [(i, j)]
-            while todo:
-                for p in neighbours(g, *todo.pop()):
-                    if p not in seen and g[p[0]][p[1]] == g[i][j]:
-                        seen.add(p)
-                        todo.append(p)
-            if len(seen) < size:
-                want.add((i, j))
+def component_sizes(g):
+    """By a search from every pixel."""
+    out = {}
+    for i in range(len(g)):
+        for j in range(len(g[0])):
+            if (i, j) not in out:
+                seen, todo = {(i, j)}, [(i, j)]
+                while todo:
+                    for p in neighbours(g, *todo.pop()):
+                        if p not in seen and g[p[0]][p[1]] == g[i][j]:
+                            seen.add(p)
+                            todo.append(p)
+                out |= dict.fromkeys(seen, len(seen))
+    return out
+
+
+def spiral(n):
+    """One path of 1 through a square of 3, whose parts in a tile are many."""
+    g = [[3] * n for _ in range(n)]
+    r, c, dr, dc = 0, 0, 0, 1
+    for side in [n - 1, *(x for k in range(n - 1, 0, -2) for x in (k, k))]:
+        for _ in range(side):
+            g[r][c] = 1
+            r, c = r + dr, c + dc
+        dr, dc = dc, -dr
+    return g
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 6, 20, 60, 200])
+def test_components_against_a_search(spark, size, monkeypatch):
+    g = noisy(9, 40)
+    want = {p for p, n in component_sizes(g).items() if n < size}
+    monkeypatch.setattr(T, "SIDE", 16)
     assert {(r.r, r.c) for r in C.small_components(raster(spark, g), size).collect()} == want
 
 
-@pytest.mark.parametrize("k", [3, 5])
-def test_majority_against_a_loop(spark, k):
+@pytest.mark.parametrize("grid", [noisy(9, 30), spiral(41), [[i % 2 for _ in range(21)] for i in range(21)]])
+def test_components_over_many_tiles(spark, grid):
+    found = T.components(raster(spark, grid), side=8).collect()
+    assert {(r.r, r.c): r["size"] for r in found} == component_sizes(grid)
+    groups = {}
+    for r in found:
+        groups.setdefault(r.component, set()).add((r.r, r.c))
+    assert all(len({component_sizes(grid)[p] for p in ps}) == 1 and len(ps) == component_sizes(grid)[next(iter(ps))] for ps in groups.values())
+    small = T.components(raster(spark, grid), side=8, least=30).where("size < 30").collect()
+    assert {(r.r, r.c) for r in small} == {p for p, n in component_sizes(grid).items() if n < 30}
+
+
+def test_sizes_beyond_a_halo(spark, monkeypatch):
+    g = noisy(2, 30)
+    df, sizes = raster(spark, g), component_sizes(g)
+    monkeypatch.setattr(C, "WIDEST_HALO", 5)
+    assert {(r.r, r.c) for r in C.small_components(df, 40).collect()} == {p for p, n in sizes.items() if n < 40}
+    beyond = grid_of(C.drop_small_components(df, 7))
+    monkeypatch.undo()
+    assert grid_of(C.drop_small_components(df, 7)) == beyond
+
+
+@pytest.mark.parametrize("k", [3, 5, 9, 31])
+def test_majority_against_a_loop(spark, k, monkeypatch):
+    monkeypatch.setattr(T, "SIDE", 5)
+    monkeypatch.setattr(T.side_for, "__defaults__", (1,))
     g, h = noisy(4), k // 2
     want = []
     for i in range(12):
@@ -125,3 +171,18 @@ def test_albers_origin_and_symmetry(spark):
     assert abs(got[0][0]) <= 1 and abs(got[0][1]) <= 1 and got[1][1] == -got[2][1] - 1
     # a point of the Sacramento valley lies some 2,170 km west and 1,970 km north of the origin
     assert -2_250_000 < got[3][1] < -2_100_000 and -2_080_000 < got[3][0] < -1_900_000
+
+
+@pytest.mark.parametrize("halo", [1, 3, 15])
+def test_rows_moved(spark, halo):
+    n = 3 * T.side_for(halo)
+    moved = T.dealt(spark.range(n * n).selectExpr(f"id div {n} AS r", f"id % {n} AS c"), T.side_for(halo), halo).count()
+    assert moved <= 1.2 * n * n
+
+
+def test_null_classes_and_gaps(spark):
+    cells = [(0, 0, 0, None), (1, 0, 1, None), (2, 0, 2, 1), (3, 5, 5, 1), (4, -3, -3, 3)]
+    df = spark.createDataFrame(cells, "pixel_id long, r long, c long, cdl_id int")
+    assert {(r.pixel_id, r.cdl_id) for r in C.majority_filter(df).collect()} == {(0, None), (1, None), (2, None), (3, 1), (4, 3)}
+    assert {(r.r, r.c) for r in C.small_components(df, 2).collect()} == {(0, 2), (5, 5), (-3, -3)}
+    assert C.majority_filter(df.limit(0)).collect() == []
