@@ -22,7 +22,7 @@ def among_first(df: DataFrame, k: int, seed: int, *ids: str) -> Column:
     for r in sorted(df.groupBy(digits.alias("p")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"] or ""):
         if k > before and before + r["n"] >= k:
             edge = df.where(digits == r["p"]).select(h.alias("h"), *ids).orderBy("h", *ids).limit(k - before).agg(F.max(F.struct("h", *ids)).alias("e")).first()["e"]
-            return F.struct(h, *ids) <= F.struct(*(F.lit(x) for x in edge))
+            return F.struct(h, *ids) <= F.struct(F.lit(edge[0]), *(F.lit(x).cast(df.schema[i].dataType) for i, x in zip(ids, edge[1:], strict=True)))
         before += r["n"]
     return F.lit(k > 0)
 
@@ -32,23 +32,8 @@ def sample_size(n: int, frac: float = 0.2, least: int = 1000) -> int:
 
 
 def sample_ids(labels: DataFrame, frac: float = 0.2, seed: int = 42, least: int = 1000) -> DataFrame:
-    """Exactly ``min(N, max(least, int(frac N)))`` pixels without replacement.
-
-    A cutoff on the leading digits of the hash leaves about the rows wanted
-    before the exact cut, so the top-n sort sees little more than its result.
-    """
-    n = labels.count()
-    k = sample_size(n, frac, least)
-    h = hash_order("pixel_id", seed)
-    share = min(1.0, (k + 6 * k**0.5 + 20) / n) if n else 1.0
-    near = labels
-    while share < 1.0:
-        near = labels.where(F.substring(h, 1, 8) <= f"{int(share * 0xFFFFFFFF):08x}")
-        if near.count() >= k:
-            break
-        share = min(1.0, 2 * share)
-        near = labels
-    return near.withColumn("_h", h).orderBy("_h", "pixel_id").limit(k).drop("_h")
+    """Exactly ``min(N, max(least, int(frac N)))`` pixels without replacement, as a filter on the scan."""
+    return labels.where(among_first(labels, sample_size(labels.count(), frac, least), seed, "pixel_id"))
 
 
 def sample_pixels(obs: DataFrame, labels: DataFrame, frac: float = 0.2, seed: int = 42) -> DataFrame:
@@ -62,14 +47,31 @@ def sample_complete_pixels(obs: DataFrame, labels: DataFrame, n_channels: int, n
     """``n`` labelled pixels all of whose channels are valid."""
     full = obs.groupBy("pixel_id").agg(F.count("value").alias("_n")).where(F.col("_n") == n_channels)
     some = labels.where(F.col("cdl_id") != 0).join(full, "pixel_id", "left_semi")
-    return some.withColumn("_h", hash_order("pixel_id", seed)).orderBy("_h", "pixel_id").limit(n).select("pixel_id", "cdl_id")
+    some = some.select("pixel_id", "cdl_id")
+    return some.where(among_first(some, n, seed, "pixel_id"))
+
+
+def first_of_each(df: DataFrame, group: str, n: int, seed: int, id_col: str) -> DataFrame:
+    """The first ``n`` rows of each ``group`` by the hash of ``id_col``, then by it.
+
+    Rows are counted by group and first digits of the hash; running sums of
+    these counts say from which digits a group takes all rows, some or none, and only
+    rows of one group and the same digits are ordered. So no task sorts a group.
+    """
+    h = hash_order(id_col, seed)
+    dealt = df.withColumns({"_h": h, "_p": F.substring(h, 1, 4)})
+    counts = dealt.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_p")) - F.col("_n")
+    cuts = counts.select(F.col(group).alias("_group"), F.col("_p").alias("_digits"), (F.lit(n) - before).alias("_take")).where("_take > 0")
+    rank = F.row_number().over(Window.partitionBy(group, "_p").orderBy("_h", id_col))
+    met = dealt.join(cuts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_p") == F.col("_digits")))
+    return met.withColumn("_k", rank).where("_k <= _take").select(*df.columns)
 
 
 def sample_area(obs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``area, pixel_id``: up to ``n`` pixels of each area with all bands valid."""
-    whole = obs.groupBy("area", "pixel_id").agg(F.every(F.col("value").isNotNull()).alias("_ok")).where("_ok")
-    rank = F.row_number().over(Window.partitionBy("area").orderBy(hash_order("pixel_id", seed), "pixel_id"))
-    return whole.withColumn("_k", rank).where(F.col("_k") <= n).select("area", "pixel_id")
+    whole = obs.groupBy("area", "pixel_id").agg(F.every(F.col("value").isNotNull()).alias("_ok")).where("_ok").select("area", "pixel_id")
+    return first_of_each(whole, "area", n, seed, "pixel_id")
 
 
 def sample_per_band(obs: DataFrame, n: int, height: int, width: int, seed: int = 42, n_bands: int | None = None) -> DataFrame:
@@ -95,7 +97,7 @@ def band_range_or_default(sampled: DataFrame, bands: list[str], default: tuple[f
 
 
 def cap_rows(df: DataFrame, n: int, seed: int = 42, key: str = "pixel_id") -> DataFrame:
-    return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    return df.where(among_first(df, n, seed, key))
 
 
 def missing_summary(obs: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import patches as P
 from fieldloom.plans.cleaning_queries import KEEP, STATS, _size
 from fieldloom.plans.registry import query
+from fieldloom.sources import storage
 from fieldloom.sources.fixtures import Fixtures
+from fieldloom.sources.outputs import write_chips
+from fieldloom.sources.shared import shared_folder
 
 H = "h AS (SELECT max(r) + 1 AS height FROM px_labels)"
 PX = H + """, px AS (SELECT *, concat(r0, '_', c0) AS patch_id FROM (SELECT l.*, CAST(floor(l.r / 5) AS BIGINT) * 5 AS r0, CAST(floor(l.c / 5) AS BIGINT) * 5 AS c0 FROM lab l) t, h WHERE r0 + 5 <= height AND c0 + 5 <= 50),
@@ -172,14 +177,26 @@ def g16_choose_classes(fx: Fixtures) -> DataFrame:
 CHIPS = PX + ", chips AS (SELECT p.patch_id, o.channel_idx, string_agg(CAST(CAST(coalesce(o.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY (p.r - p.r0) * 5 + p.c - p.c0) AS cells FROM px p SEMI JOIN patches USING (patch_id) JOIN obs o ON o.pixel_id = p.pixel_id GROUP BY 1, 2)"
 
 
-def chips(fx: Fixtures) -> DataFrame:
+def chips(fx: Fixtures, obs: DataFrame | None = None) -> DataFrame:
     every = fx.channels().select("channel", F.col("channel_idx").alias("ordinal"))
-    return P.build_chips(fx.obs(), pixels(fx), patches(fx), every, 5)
+    return P.build_chips(fx.obs() if obs is None else obs, patches(fx), every, 5)
+
+
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("cells"))
 
 
 @query("SELECT patch_id, CAST(channel_idx AS INT) AS channel_idx, cells FROM chips", CHIPS)
 def g17_build_chips(fx: Fixtures) -> DataFrame:
-    return chips(fx).select("patch_id", "channel_idx", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("cells"))
+    return as_text(chips(fx), "patch_id", "channel_idx")
+
+
+@query("SELECT patch_id, CAST(channel_idx AS INT) AS channel_idx, cells FROM chips", CHIPS)
+def g17_stored_chips(fx: Fixtures) -> DataFrame:
+    """From observations that were written bucketed by patch: the chips need no exchange of them."""
+    name = f"obs_{uuid.uuid4().hex}"
+    stored = storage.write_by_patch(fx.obs(), name, 5, 8, f"{shared_folder(fx.spark)}/{name}")
+    return as_text(chips(fx, stored), "patch_id", "channel_idx")
 
 
 @query("SELECT patch_id, string_agg(CAST(model_id AS VARCHAR), ',' ORDER BY (r - r0) * 5 + c - c0) AS cells FROM px SEMI JOIN patches USING (patch_id) GROUP BY 1", PX)
@@ -189,6 +206,15 @@ def g17_build_masks(fx: Fixtures) -> DataFrame:
 
 @query("SELECT pixel_id, channel, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9), 6) AS value FROM (SELECT p.pixel_id, p.patch_id, o.channel, coalesce(o.value, 0) AS v FROM px p JOIN obs o ON o.pixel_id = p.pixel_id) WINDOW w AS (PARTITION BY patch_id, channel)", PX)
 def g18_normalise_patch(fx: Fixtures) -> DataFrame:
+    every = fx.channels().select("channel", F.col("channel_idx").alias("ordinal"))
+    full = P.build_chips(fx.obs(), pixels(fx).select("r0", "c0").distinct(), every, 5)
+    cells = P.normalise_chips(full).join(F.broadcast(every), F.col("channel_idx") == F.col("ordinal")).select("r0", "c0", "channel", F.posexplode("values").alias("_p", "value"))
+    return cells.select(((F.col("r0") + F.floor(F.col("_p") / 5)) * 50 + F.col("c0") + F.col("_p") % 5).alias("pixel_id"), "channel", "value")
+
+
+@query("SELECT pixel_id, channel, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9), 6) AS value FROM (SELECT p.pixel_id, p.patch_id, o.channel, coalesce(o.value, 0) AS v FROM px p JOIN obs o ON o.pixel_id = p.pixel_id) WINDOW w AS (PARTITION BY patch_id, channel)", PX)
+def g18_normalise_pixels(fx: Fixtures) -> DataFrame:
+    """The same of a pixel table, without chips."""
     own = fx.obs().join(pixels(fx).select("pixel_id", "patch_id"), "pixel_id").withColumn("channel", F.concat_ws("_", "band", "date8"))
     return P.normalise_patch(own).select("pixel_id", "channel", "value")
 
@@ -260,14 +286,9 @@ def a13_estimate_chips(fx: Fixtures) -> DataFrame:
 
 @query("SELECT patch_id, CAST(channel_idx AS INT) AS channel_idx, split, cells FROM chips JOIN split USING (patch_id)", CHIPS + SPLIT[len(PX) :])
 def a13_write_chips(fx: Fixtures) -> DataFrame:
-    import uuid
-
-    from fieldloom.sources.outputs import write_chips
-    from fieldloom.sources.shared import shared_folder
-
     path = f"{shared_folder(fx.spark)}/chips-{uuid.uuid4().hex}"
     write_chips(chips(fx).join(fixed_split(fx).select("patch_id", "split"), "patch_id"), path)
     back = fx.spark.read.parquet(path)
-    return back.select("patch_id", "channel_idx", "split", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("cells"))
+    return as_text(back, "patch_id", "channel_idx", "split")
 
 

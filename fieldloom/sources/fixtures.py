@@ -28,9 +28,11 @@ SELECT l.pixel_id, l.r, l.c, d.date8, b.band, b.band_idx, d.date_idx * 4 + b.ban
             ELSE CAST(200 + (l.pixel_id * 31 + d.date_idx * 977 + b.band_idx * 131) % 1500
                       + (l.cdl_id * (b.band_idx + 1) * 13 + l.cdl_id * d.date_idx * 7) % 2000 AS DOUBLE) END AS value
 FROM {px_labels} l
-CROSS JOIN (VALUES (0,'20240116'),(1,'20240331'),(2,'20240515'),(3,'20240629'),(4,'20240729'),(5,'20241012')) d(date_idx, date8)
-CROSS JOIN (VALUES (0,'B2'),(1,'B4'),(2,'B8'),(3,'B11')) b(band_idx, band)
+CROSS JOIN {dates} CROSS JOIN {bands}
 """
+DATES = "(VALUES (0,'20240116'),(1,'20240331'),(2,'20240515'),(3,'20240629'),(4,'20240729'),(5,'20241012')) d(date_idx, date8)"
+BANDS = "(VALUES (0,'B2'),(1,'B4'),(2,'B8'),(3,'B11')) b(band_idx, band)"
+PX_OBS = PX_OBS.replace("{dates}", DATES).replace("{bands}", BANDS)
 
 # model class of each target land-cover id, in the order of the ids
 REMAP = "CASE cdl_id WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 24 THEN 3 WHEN 36 THEN 4 WHEN 54 THEN 5 WHEN 69 THEN 6 WHEN 75 THEN 7 WHEN 76 THEN 8 ELSE 0 END"
@@ -84,7 +86,8 @@ class Fixtures:
         return to_null(self.raw_obs())
 
     def channels(self) -> DataFrame:
-        return self.obs().select(F.concat_ws("_", "band", "date8").alias("channel"), "channel_idx").distinct()
+        """The catalogue of the observations' dates and bands; no pixel is read for it."""
+        return self.spark.sql(f"SELECT concat(band, '_', date8) AS channel, date_idx * 4 + band_idx AS channel_idx FROM {DATES} CROSS JOIN {BANDS}")
 
     def second_year(self) -> DataFrame:
         shifted = F.date_format(F.date_add(F.to_date("date8", "yyyyMMdd"), 3 - 366), "yyyyMMdd")

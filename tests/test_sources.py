@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import catalog, forest
 from fieldloom.sources import outputs
@@ -70,3 +72,64 @@ def test_plans_prune_and_stay_in_the_engine(spark):
     for name in ("flagship_union", "i3_disagreement_scores", "g17_build_chips", "b12_majority_filter"):
         plan = registry.load()[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def exchanges_above(plan: str, scan: str) -> int:
+    """Exchanges of the tree string that stand above a line with ``scan``."""
+    path, n = [], 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        path = [x for x in path if x[0] < depth]
+        path.append((depth, line))
+        if scan in line:
+            n += sum("Exchange" in x and "Broadcast" not in x for _, x in path)
+    return n
+
+
+def test_stored_observations_are_not_exchanged_again(spark):
+    from fieldloom.operators import patches as P
+    from fieldloom.sources import storage
+
+    obs = spark.range(400).selectExpr("id AS pixel_id", "id div 20 AS r", "id % 20 AS c", "'20240101' AS date8", "'B2' AS band", "CAST(id AS DOUBLE) AS value")
+    channels = spark.createDataFrame([("B2_20240101", 0)], "channel string, ordinal int")
+    corners = obs.selectExpr("r div 5 * 5 AS r0", "c div 5 * 5 AS c0").distinct()
+    plain = P.build_chips(obs, corners, channels, 5)
+    stored = storage.write_by_patch(obs, "obs_by_patch", 5, 4)
+    by_pixel = storage.write_by_pixel(obs, "obs_by_pixel", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            chips = P.build_chips(stored, corners, channels, 5)
+            assert exchanges_above(chips._jdf.queryExecution().executedPlan().toString(), "obs_by_patch") == 0
+            assert sorted(map(tuple, chips.collect())) == sorted(map(tuple, plain.collect()))
+            samples = by_pixel.join(obs.select("pixel_id", F.lit(1).alias("k")).distinct(), "pixel_id").groupBy("pixel_id").agg(F.collect_list("value"))
+            assert exchanges_above(samples._jdf.queryExecution().executedPlan().toString(), "obs_by_pixel") == 0
+        plan = P.build_chips(spark.range(9).selectExpr("id AS r", "id AS c", "'a' AS date8", "'b' AS band", "1D AS value"), corners, channels, 5)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Range (0, 9") == 1 and exchanges_above(plan, "Range (0, 9") == 1, "values move once"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("obs_by_patch", "obs_by_pixel"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_chips_with_missing_pixels(spark):
+    from fieldloom.operators import patches as P
+
+    obs = spark.createDataFrame([(0, 0, "20240101", "B2", 5.0), (1, 1, "20240101", "B2", None), (1, 0, "20240101", "B2", 7.0)], "r long, c long, date8 string, band string, value double")
+    chips = P.build_chips(obs, spark.createDataFrame([(0, 0)], "r0 long, c0 long"), spark.createDataFrame([("B2_20240101", 0)], "channel string, ordinal int"), 2)
+    assert [r["values"] for r in chips.collect()] == [[5.0, 0.0, 7.0, 0.0]]
+    assert P.normalise_chips(chips).first()["values"] == pytest.approx([5 / 7, 0.0, 1.0, 0.0], abs=1e-8)
+
+
+def test_samples_have_no_single_task(spark):
+    from fieldloom.operators import sampling
+
+    df = spark.range(5000).selectExpr("id AS pixel_id", "CASE WHEN id < 4500 THEN 'a' WHEN id < 4998 THEN 'b' END AS area", "1 AS cdl_id")
+    for out in (sampling.sample_ids(df), sampling.cap_rows(df, 77), sampling.first_of_each(df, "area", 50, 42, "pixel_id")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    hashed = {r.pixel_id: r.h for r in df.select("pixel_id", sampling.hash_order("pixel_id", 42).alias("h")).collect()}
+    want = {p for lo, hi in ((0, 4500), (4500, 4998), (4998, 5000)) for p in sorted(range(lo, hi), key=lambda p: (hashed[p], p))[:50]}
+    assert {r.pixel_id for r in sampling.first_of_each(df, "area", 50, 42, "pixel_id").collect()} == want
+    assert {r.pixel_id for r in sampling.cap_rows(df, 77).collect()} == set(sorted(range(5000), key=lambda p: (hashed[p], p))[:77])
