@@ -32,6 +32,7 @@ from fieldloom.llm.tables import fresh, materialise
 SHINGLE = 3
 BITS = 2
 DENSE = 32
+COPIES = 100_000  # rows of one fingerprint that may go to a task
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -149,19 +150,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked; ``component_id`` is the least id reachable (null only where all ids
     are null). Repeated rows stay and get equal values; an empty table gives no rows.
     """
-    printed = materialise(fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle=shingle).select("_id", F.col("_fp").alias("fp")))
-    return grouped(printed, links, id_col)
+    printed = materialise(_printed(docs, id_col, text_col, shingle))
+    return placed(printed, grouped(printed, links), id_col)
 
 
-def grouped(printed: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
-    """The rows of ``printed (_id, fp long)`` with their groups, by the pairs that ``link`` finds among distinct ``fp``."""
+def _printed(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    return fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle=shingle).select("_id", F.col("_fp").alias("fp"))
+
+
+def grouped(printed: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fp, least_id, root`` of the distinct ``fp`` of ``printed (_id, fp long)``, by the pairs that ``link`` finds among them."""
     groups = materialise(printed.groupBy("fp").agg(F.min("_id").alias("least_id")))
-    edges = materialise(link(groups))
-    roots = components(edges)
-    linked = materialise(groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    least = materialise(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    classes = materialise(linked.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", _hex("root").alias("class_fingerprint")))
-    return printed.join(classes, F.col("fp") == F.col("_fp")).select(F.col("_id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id", "class_fingerprint")
+    roots = components(materialise(link(groups)))
+    return materialise(groups.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+
+
+def placed(printed: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``printed`` with what ``groups`` says of their fingerprints.
+
+    Copies share a fingerprint. The classes are listed once for every ``COPIES`` of a
+    fingerprint's rows, and a row meets one of these by its id, so no task gets all copies.
+    """
+    least = materialise(groups.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    times = printed.groupBy("fp").agg(F.count("*").alias("times")).where(F.col("times") > COPIES)
+    times = materialise(times.select(F.col("fp").alias("_fp"), F.ceil(F.col("times") / COPIES).alias("parts")))
+    classes = groups.hint("merge").join(least, "root").select("fp", "component_id", _hex("root").alias("class_fingerprint"))
+    widest = times.agg(F.max("parts")).first()[0] or 1
+    classes = classes.hint("merge").join(times, F.col("fp") == F.col("_fp"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # a row's part is drawn from the parts of the most frequent fingerprint; every class answers to all of them, the frequent ones part by part
+    split = classes.where("parts > 1").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(widest).cast("long") - 1)))
+    whole = materialise(classes.where("parts = 1").withColumn("_part", F.lit(None).cast("long")).union(split).select(F.col("fp").alias("_fp"), "_part", "component_id", "class_fingerprint"))
+    rows = printed.join(F.broadcast(times.select("_fp")), F.col("fp") == F.col("_fp"), "left") if widest > 1 else printed.withColumn("_fp", F.lit(None).cast("long"))
+    rows = rows.select("_id", "fp", F.when(F.col("_fp").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(widest))).alias("_part"))
+    met = rows.hint("merge").join(whole, (F.col("fp") == F.col("_fp")) & rows["_part"].eqNullSafe(whole["_part"]))
+    return met.select(F.col("_id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id", "class_fingerprint")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,13 +192,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row that repeats that id within the group is a copy and goes too; of a
     group without any id one row of the least fingerprint stays.
     """
-    return keep_heads(docs, near_duplicates(docs, id_col, text_col), fingerprint, id_col, text_col)
+    return keep_heads(docs, grouped(materialise(_printed(docs, id_col, text_col)), links), fingerprint, id_col, text_col)
 
 
-def keep_heads(docs: DataFrame, found: DataFrame, prints: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """One row of each group of ``found``; ``prints`` adds the fingerprint to ``docs``."""
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = materialise(heads.groupBy("class_fingerprint").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_hex"))).alias("k")).select("k._id", "k._hex"))
+def keep_heads(docs: DataFrame, groups: DataFrame, prints: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """One row of each of the ``groups``: that of the least id, of ids that are all null the one of the least fingerprint; ``prints`` adds the fingerprint to ``docs``."""
+    least = F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("_id"), _hex("fp").alias("_hex")))
+    kept = materialise(groups.groupBy("root").agg(least.alias("k")).select("k._id", "k._hex"))
     plain = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
     if plain:
         # kept ids grow with the input; without the hint small inputs would broadcast them and large ones not

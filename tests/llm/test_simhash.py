@@ -115,3 +115,9 @@ def test_empty_and_clashing_columns(spark, empty, docs):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.deduplicate(empty).collect() == []
     odd = docs.withColumn("_id", F.lit(1)).withColumn("_fp_hex", F.lit("x")).withColumn("fingerprint", F.lit(2))
     assert simhash.deduplicate(odd).columns == odd.columns
+
+
+def test_rows_of_frequent_fingerprints_are_split(spark, docs, monkeypatch):
+    want = sorted(map(repr, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "COPIES", 10)
+    assert sorted(map(repr, simhash.near_duplicates(docs).collect())) == want
