@@ -26,8 +26,9 @@ TIME_SCALE, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, DURATION, REFERENCE
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC, DEFAULT_DURATION = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xB3, 0xF7, 0xF1
-DOC_TYPE, SEEK, TAGS = 0x4282, 0x114D9B74, 0x1254C367
-TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEEK, TAGS}
+DOC_TYPE, SEEK, TAGS, CHAPTERS, ATTACHMENTS = 0x4282, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+TOP_LEVEL = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK, TAGS, CHAPTERS, ATTACHMENTS}
 
 SAMPLE_RATE = 8000
 FRAME = 512  # samples, 64 ms
@@ -45,31 +46,70 @@ def _vint(data: bytes, at: int, end: int, keep_marker: bool) -> tuple[int, int]:
     return (value if keep_marker else value & ~(1 << 7 * n)), at + n
 
 
-def _elements(data: bytes, at: int, end: int, until: set[int] = frozenset()):
-    """Identifier, start of the element, start and end of its content. An unknown size ends where an element of ``until`` starts."""
+def _header(data: bytes, at: int, end: int) -> tuple[int, int, int | None]:
+    """Identifier, start of the content and its end, which is None where the size is unknown."""
+    begin = at
+    ident, at = _vint(data, at, end, True)
+    n = 9 - data[at].bit_length() if at < end and data[at] else 0
+    size, at = _vint(data, at, end, False)
+    if size == (1 << 7 * n) - 1:
+        return ident, at, None
+    if at + size > end:
+        raise ValueError(f"element {ident:X} at byte {begin} runs past its parent's end")
+    return ident, at, at + size
+
+
+def _elements(data: bytes, at: int, end: int):
+    """Identifier, start of the element, start and end of its content.
+
+    A segment of unknown size ends with its parent, and a cluster of unknown
+    size where the next element of its parent's level starts.
+    """
     while at < end:
         begin = at
-        ident, at = _vint(data, at, end, True)
-        n = 9 - data[at].bit_length() if at < end and data[at] else 0
-        size, at = _vint(data, at, end, False)
-        if size == (1 << 7 * n) - 1:
-            stop = end
-            if ident == CLUSTER:
-                stop = at
-                for other, start, _, last in _elements(data, at, end):
-                    if other in TOP_LEVEL:
-                        break
-                    stop = last
-        else:
-            stop = at + size
-            if stop > end:
-                raise ValueError(f"element {ident:X} at byte {begin} runs past its parent's end")
+        ident, at, stop = _header(data, at, end)
+        if stop is None:
+            if ident not in (SEGMENT, CLUSTER):
+                raise ValueError(f"element {ident:X} at byte {begin} has no size")
+            stop = end if ident == SEGMENT else at
+            while ident == CLUSTER and stop < end:
+                other, _, last = _header(data, stop, end)
+                if other in TOP_LEVEL:
+                    break
+                if last is None:
+                    raise ValueError(f"element {other:X} at byte {stop} has no size")
+                stop = last
         yield ident, begin, at, stop
         at = stop
 
 
+def _whole(value: int, bits: int, what: str) -> int:
+    if not -(1 << bits) <= value < 1 << bits:
+        raise ValueError(f"{what} is out of range")
+    return value
+
+
 def _uint(data: bytes, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b], "big")
+    if b - a > 8:
+        raise ValueError(f"an integer of {b - a} bytes at byte {a}")
+    return _whole(int.from_bytes(data[a:b], "big"), 63, f"the integer at byte {a}")
+
+
+def _encodings(data: bytes, a: int, b: int) -> str:
+    """What was done to a track's frames: their byte ranges hold the result, not the frames themselves."""
+    out = []
+    for i, _, p, q in _elements(data, a, b):
+        if i == ENCODING:
+            own = {k: (m, n) for k, _, m, n in _elements(data, p, q)}
+            if ENCRYPTION in own:
+                out.append("encryption")
+            if COMPRESSION in own:
+                inner = {k: (m, n) for k, _, m, n in _elements(data, *own[COMPRESSION])}
+                kind = _uint(data, *inner[ALGORITHM]) if ALGORITHM in inner else 0
+                out.append(("zlib", "bzlib", "lzo1x", "header")[kind] if kind < 4 else f"compression {kind}")
+                if kind == 3 and SETTINGS in inner:
+                    out[-1] += " " + data[slice(*inner[SETTINGS])].hex()
+    return ", ".join(out)
 
 
 def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
@@ -111,7 +151,10 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
 
 
 def parse(data: bytes) -> dict:
-    """``tracks``, ``packets`` and ``cues`` of a file; ValueError if it is damaged.
+    """``tracks``, ``packets`` and ``cues`` of a file; ValueError if it is damaged, and for numbers beyond the tables' types.
+
+    A track's ``encoding`` says whether its frames are compressed, lack a common
+    header (given in hexadecimal digits) or are encrypted. A cue point has a cue for each of its track positions.
 
     Laced frames follow each other by their track's default duration, or, where
     it has none, share the duration of their block group.
@@ -134,12 +177,13 @@ def parse(data: bytes) -> dict:
                 for i, _, p, q in _elements(data, x, y):
                     if i == TRACK:
                         own = {k: (m, n) for k, _, m, n in _elements(data, p, q)}
-                        number = _uint(data, *own[TRACK_NUMBER]) if TRACK_NUMBER in own else 0
+                        number = _whole(_uint(data, *own[TRACK_NUMBER]) if TRACK_NUMBER in own else 0, 31, "a track number")
                         tracks[number] = {
                             "track": number,
-                            "kind": _uint(data, *own[TRACK_TYPE]) if TRACK_TYPE in own else 0,
+                            "kind": _whole(_uint(data, *own[TRACK_TYPE]) if TRACK_TYPE in own else 0, 31, "a track type"),
                             "codec": data[slice(*own[CODEC])].decode("ascii", "replace") if CODEC in own else "",
                             "frame_ns": _uint(data, *own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0,
+                            "encoding": _encodings(data, *own[ENCODINGS]) if ENCODINGS in own else "",
                         }
             elif part == CLUSTER:
                 time, cluster = 0, clusters
@@ -153,19 +197,21 @@ def parse(data: bytes) -> dict:
                         lasts = next((_uint(data, m, n) * scale for k, _, m, n in group if k == DURATION), 0)
                         for m, n in [(p, q)] if i == SIMPLE_BLOCK else [(m, n) for k, _, m, n in group if k == BLOCK]:
                             number, at = _vint(data, m, n, False)
+                            _whole(number, 31, "a track number")
                             if at + 3 > n:
                                 raise ValueError("a block shorter than its header")
                             (relative,), flags = struct.unpack(">h", data[at : at + 2]), data[at + 2]
                             frames = _frames(data, at + 3, n, flags >> 1 & 3)
                             frame_ns = tracks.get(number, {}).get("frame_ns", 0) or lasts // len(frames)
                             for j, (c, d) in enumerate(frames):
-                                packets.append((number, (time + relative) * scale + j * frame_ns, c, d - c, bool(flags & 128) if key is None else key, cluster, flags >> 1 & 3))
+                                packets.append((number, _whole((time + relative) * scale + j * frame_ns, 63, "a timestamp"), c, d - c, bool(flags & 128) if key is None else key, cluster, flags >> 1 & 3))
             elif part == CUES:
                 for i, _, p, q in _elements(data, x, y):
                     if i == CUE:
-                        own = {k: (m, n) for k, _, m, n in _elements(data, p, q)}
-                        place = {k: _uint(data, m, n) for k, _, m, n in _elements(data, *own[CUE_PLACE])} if CUE_PLACE in own else {}
-                        cues.append((_uint(data, *own[CUE_TIME]) * scale if CUE_TIME in own else 0, place.get(CUE_TRACK, 0), base + place.get(CUE_CLUSTER, 0)))
+                        own = list(_elements(data, p, q))
+                        at_ns = next((_whole(_uint(data, m, n) * scale, 63, "a cue's time") for k, _, m, n in own if k == CUE_TIME), 0)
+                        for place in ({k: _uint(data, m, n) for k, _, m, n in _elements(data, *at) if k in (CUE_TRACK, CUE_CLUSTER)} for k, _, *at in own if k == CUE_PLACE):
+                            cues.append((at_ns, _whole(place.get(CUE_TRACK, 0), 31, "a track number"), _whole(base + place.get(CUE_CLUSTER, 0), 63, "a cue's place")))
     return {"tracks": list(tracks.values()), "packets": packets, "cues": cues, "clusters": clusters}
 
 
@@ -236,7 +282,7 @@ def store(payload: bytes) -> bytes:
 
 
 PACKETS = "array<struct<track:int,timestamp_ns:bigint,offset:bigint,size:bigint,key:boolean,cluster:int,lacing:int>>"
-TABLE = f"struct<tracks:array<struct<track:int,kind:int,codec:string,frame_ns:bigint>>,packets:{PACKETS},cues:array<struct<timestamp_ns:bigint,track:int,cluster_offset:bigint>>,clusters:int,error:string>"
+TABLE = f"struct<tracks:array<struct<track:int,kind:int,codec:string,frame_ns:bigint,encoding:string>>,packets:{PACKETS},cues:array<struct<timestamp_ns:bigint,track:int,cluster_offset:bigint>>,clusters:int,error:string>"
 _PACKET = ("track", "timestamp_ns", "offset", "size", "key", "cluster", "lacing")
 _CUE = ("timestamp_ns", "track", "cluster_offset")
 
@@ -270,7 +316,7 @@ def packet_tables(files: DataFrame, content_col: str, name: str = "media") -> Da
 
 ARROW_TABLE = pa.struct(
     [
-        ("tracks", pa.list_(pa.struct([("track", pa.int32()), ("kind", pa.int32()), ("codec", pa.string()), ("frame_ns", pa.int64())]))),
+        ("tracks", pa.list_(pa.struct([("track", pa.int32()), ("kind", pa.int32()), ("codec", pa.string()), ("frame_ns", pa.int64()), ("encoding", pa.string())]))),
         ("packets", pa.list_(pa.struct([("track", pa.int32()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("key", pa.bool_()), ("cluster", pa.int32()), ("lacing", pa.int32())]))),
         ("cues", pa.list_(pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int32()), ("cluster_offset", pa.int64())]))),
         ("clusters", pa.int32()),

@@ -96,7 +96,7 @@ def test_file_written_by_hand():
         (1, 1005, b"hi", 0), (1, 1007, b"xyz", 1), (1, 1047, b"w", 1), (1, 1009, b"11", 2), (1, 1049, b"22", 2), (1, 1089, b"33", 2),
         (2, 998, b"ab", 3), (2, 1008, b"cde", 3), (2, 1018, b"f", 3),
     ]
-    assert read["tracks"] == [{"track": 1, "kind": 2, "codec": "V_RAW", "frame_ns": 40_000_000}, {"track": 2, "kind": 17, "codec": "", "frame_ns": 0}]
+    assert read["tracks"] == [{"track": 1, "kind": 2, "codec": "V_RAW", "frame_ns": 40_000_000, "encoding": ""}, {"track": 2, "kind": 17, "codec": "", "frame_ns": 0, "encoding": ""}]
     assert all(p[4] for p in read["packets"])
     ((time, track, at),) = read["cues"]
     assert (time, track, media[at : at + 4].hex()) == (10**9, 1, "1f43b675")
@@ -116,3 +116,60 @@ def test_op5_against_plain_bytes(spark, docs, rows, tmp_path):
         payload = data + bytes((64 - len(data) % 64) % 64 if data else 64)
         want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def live(clusters: int) -> bytes:
+    """A recording whose segment and clusters have no sizes."""
+    unknown = b"\x01" + b"\xff" * 7
+    block = M._element(M.SIMPLE_BLOCK, b"\x81\0\0\x80x")
+    body = b"".join(b"\x1f\x43\xb6\x75" + unknown + M._number(M.CLUSTER_TIME, i) + block for i in range(clusters))
+    return M._HEAD + b"\x18\x53\x80\x67" + unknown + M._INFO + M._TRACKS + body
+
+
+def test_live_recordings_take_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        data, began = live(n), time.process_time()
+        got = M.parse(data)
+        took.append(time.process_time() - began)
+        assert got["clusters"] == len(got["packets"]) == n and got["packets"][-1][1] == (n - 1) * 1_000_000
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_cue_points_with_several_tracks_and_encodings():
+    place = lambda track, at: M._element(M.CUE_PLACE, M._number(M.CUE_TRACK, track), M._number(M.CUE_CLUSTER, at))
+    stripped = M._element(M.ENCODINGS, M._element(M.ENCODING, M._element(M.COMPRESSION, M._number(M.ALGORITHM, 3), M._element(M.SETTINGS, b"\x00\x01"))))
+    tracks = M._element(M.TRACKS, M._element(M.TRACK, M._number(M.TRACK_NUMBER, 1), stripped), M._element(M.TRACK, M._number(M.TRACK_NUMBER, 2)))
+    head = M._HEAD + b"\x18\x53\x80\x67" + M._size(len(tracks) + len(cues := M._element(M.CUES, M._element(M.CUE, M._number(M.CUE_TIME, 7), place(1, 5), place(2, 9)))))
+    got = M.parse(head + tracks + cues)
+    assert got["cues"] == [(7_000_000, 1, len(head) + 5), (7_000_000, 2, len(head) + 9)]
+    assert [t["encoding"] for t in got["tracks"]] == ["header 0001", ""]
+
+
+def test_damaged_files_give_errors_and_no_exception(spark):
+    import random
+
+    rng = random.Random(8)
+    samples = [M.store(M.padded("some words " * 300)), live(20), M.store(b"\0" * 64), M._HEAD + M._element(M.SEGMENT, M._element(M.CLUSTER, M._element(M.CLUSTER_TIME, b"\xff" * 8)))]
+    files, failed = [], 0
+    for _ in range(10_000):
+        data = bytearray(rng.choice(samples))
+        for _ in range(rng.choice((1, 1, 2, 8))):
+            at = rng.randrange(len(data))
+            what = rng.random()
+            if what < 0.6:
+                data[at] = rng.choice((0, 1, 0x7F, 0x80, 0xFF, rng.randrange(256)))
+            elif what < 0.8:
+                del data[at : at + rng.randrange(1, 9)]
+            else:
+                data[at:at] = rng.randbytes(rng.randrange(1, 9))
+        files.append(bytes(data))
+        try:
+            M.parse(files[-1])
+        except ValueError:
+            failed += 1
+    files += [rng.randbytes(rng.randrange(200)) for _ in range(200)] + [b"", samples[3]]
+    made = M.packet_tables(spark.createDataFrame([(f,) for f in files], "content binary"), "content")
+    assert made.where("media.error IS NOT NULL").count() >= failed + 2 > 1000
