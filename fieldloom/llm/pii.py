@@ -2,7 +2,7 @@
 
 Kinds: email, ip (four parts up to 255), card (14 to 19 digits, Luhn), phone
 (+, 10 to 15 digits), and beyond those iban (mod 97) and secret (a word of 16 or
-more letters and digits that looks like a key). Matches of a kind are the
+more letters and digits, at least an eighth of them digits or in both cases, that looks like a key). Matches of a kind are the
 leftmost ones that don't overlap; one that fails its check is dropped. Every
 span has a score: a base for its kind, raised or lowered by whole words that
 stand near it, the nearer the more. Spans of the first four kinds are kept
@@ -33,7 +33,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 # A word that looks like a key; its context decides
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 # Whole words that speak for or against a kind nearby, in the languages of the corpus
 CONTEXT = {
     "email": (frozenset("mail email e-mail contact kontakt correo courriel write reach".split()), frozenset("example sample".split())),
@@ -44,6 +44,7 @@ CONTEXT = {
     "secret": (frozenset("token key secret password passwort apikey api_key access_key secret_key auth credential bearer clave contraseña clé".split()), frozenset("commit hash checksum sha1 sha256 md5 revision digest".split())),
 }
 WORDS = re.compile(r"[^\W\d](?:[\w-]*\w)?")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 WINDOW = 40
 WEIGHT = 0.4
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "secret": 0.3}
@@ -125,23 +126,42 @@ def _ibans(text: str):
 def _secrets(text: str):
     for m in SECRET.finditer(text):
         word = m.group()
-        if sum(map(str.isdigit, word)) * 8 >= len(word) and any(map(str.isalpha, word)):
+        digits = sum(map(str.isdigit, word))
+        mixed = digits and any(map(str.isupper, word)) and any(map(str.islower, word))
+        if (mixed or digits * 8 >= len(word)) and any(map(str.isalpha, word)):
             yield m.span()
 
 
+def _names(word: str) -> set[str]:
+    """A word, and the parts of a compound name such as ``AWS_SECRET_KEY`` or ``accessToken``; all in lower case."""
+    return {word.lower(), *(p.lower() for p in PARTS.findall(word))} if "_" in word or not (word.islower() or word[1:].islower()) else {word.lower()}
+
+
 def context(text: str, kind: str, start: int, end: int) -> float:
-    """From -1 to 1: the nearest word that speaks for the kind less the nearest that speaks against it."""
+    """From -1 to 1: the nearest word that speaks for the kind less the nearest that speaks against it.
+
+    Words count whose nearer end is less than ``WINDOW`` characters away, and
+    only whole: one that even twice the window cuts is longer than any of ``CONTEXT``.
+    """
     found = [0.0, 0.0]
-    before, after = text[max(0, start - WINDOW) : start].lower(), text[end : end + WINDOW].lower()
-    for side, near in ((before, True), (after, False)):
+    low, high = max(0, start - 2 * WINDOW), min(len(text), end + 2 * WINDOW)
+    for a, b, near in ((low, start, True), (end, high, False)):
+        side = text[a:b]
         for m in WORDS.finditer(side):
-            for i in (0, 1):
-                if m.group() in CONTEXT[kind][i]:
-                    gap = len(side) - m.end() if near else m.start()
-                    found[i] = max(found[i], 1 - gap / (2 * WINDOW))
+            gap = len(side) - m.end() if near else m.start()
+            cut = (near and m.start() == 0 and a > 0 and _in_word(text[a - 1])) or (not near and m.end() == len(side) and b < len(text) and _in_word(text[b]))
+            if gap < WINDOW and not cut:
+                names = _names(m.group())
+                for i in (0, 1):
+                    if not names.isdisjoint(CONTEXT[kind][i]):
+                        found[i] = max(found[i], 1 - gap / (2 * WINDOW))
     return found[0] - found[1]
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c in "_-"
+
+
 _FINDERS = {"email": ("@", _emails), "ip": (".", _ips), "card": ("", _cards), "phone": ("+", _phones), "iban": ("", _ibans), "secret": ("", _secrets)}
 
 

@@ -106,3 +106,24 @@ def test_query(spark, tmp_path, docs, rows):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base(text)) for k in pii.KINDS[:4])
         assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e, _ in pii.find(text))
+
+
+SHAPES = ("token = \"{}\"", "token: {}", "api_key={}", "API_KEY={}", "AWS_SECRET_ACCESS_KEY={}", "export DB_PASSWORD='{}'", "\"accessToken\": \"{}\"", "password={};", "Authorization: Bearer {}", "clé : {}", "?key={}&page=2")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_recall_of_secrets_by_shape(shape):
+    rng = random.Random(shape)
+    keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(100) for alphabet, n in (("0123456789abcdef", 40), (LETTERS, 32), (LETTERS, 20))]
+    caught = sum(any(x[0] == "secret" and t[x[1] : x[2]] == k for x in pii.find(t)) for k in keys for t in [f"lorem ipsum {shape.format(k)} dolor"])
+    assert caught >= 0.95 * len(keys)
+
+
+def test_windows_do_not_cut_words():
+    for gap in range(60):
+        blanks = " " * gap
+        assert pii.find(f"discard{blanks} 4111 1111 1111 1111")[0][3] == pii.find(f"the{blanks} 4111 1111 1111 1111")[0][3]
+        assert pii.find(f"monkey{blanks} 04dbebab91ab85687d33eeaaf9ac699e1188f962") == []
+        assert pii.find(f"4111 1111 1111 1111 {blanks}cardinal")[0][3] == pii.find("4111 1111 1111 1111")[0][3]
+    assert pii.find("key " + "a" * 60 + "1234567890" + "b" * 10)[0][0] == "secret", "the first digit may come late"
