@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.quantiles import exact_percentiles
 from fieldloom.operators.sampling import hash_order
+from fieldloom.sources.shared import materialise
 
 MIN_AGREEMENT = 100
 
@@ -19,14 +21,17 @@ def characteristic_series(index: DataFrame, pred: DataFrame, min_px: int = MIN_A
     """``class_id, date8, ref, var``: median index of agreeing pixels of each class and date.
 
     Classes of fewer than ``min_px`` agreeing pixels have none. ``var`` is the
-    population variance of the class's series. The exact median gathers a value
-    count for each class and date, which a large background class fills; with
-    ``accuracy`` an approximate one merges small summaries instead.
+    population variance of the class's series. The exact median is counted, so
+    a class that holds nearly all pixels is no task's alone; with ``accuracy``
+    an approximate one takes a single pass.
     """
     agree = pred.where(F.col("gt_class") == F.col("pred_class")).select("pixel_id", F.col("gt_class").alias("class_id"))
     enough = agree.groupBy("class_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_px).select("class_id")
-    mid = F.median("ndvi") if accuracy is None else F.percentile_approx("ndvi", 0.5, accuracy)
-    series = index.join(agree.join(F.broadcast(enough), "class_id"), "pixel_id").groupBy("class_id", "date8").agg(mid.alias("ref"))  # as many rows as classes
+    met = index.join(agree.join(F.broadcast(enough), "class_id"), "pixel_id").select("class_id", "date8", "ndvi")  # as many rows as classes
+    if accuracy is None:
+        series = exact_percentiles(materialise(met), ["class_id", "date8"], "ndvi", {"ref": 0.5})
+    else:
+        series = met.groupBy("class_id", "date8").agg(F.percentile_approx("ndvi", 0.5, accuracy).alias("ref"))
     return series.join(series.groupBy("class_id").agg(F.var_pop("ref").alias("var")), "class_id")
 
 

@@ -7,11 +7,13 @@ places of the array.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.cleaning import KEEP_CLASSES
+from fieldloom.operators.quantiles import exact_percentiles
 from fieldloom.operators.sampling import hash_order
 
 
@@ -31,8 +34,8 @@ def _classes(samples: DataFrame) -> list[int]:
 
 def impute(samples: DataFrame, n_channels: int) -> DataFrame:
     """Missing channels filled with the channel's median (0 where it has none); dense vectors."""
-    med = samples.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.median("x").alias("m"))
-    found = {r["j"]: r["m"] or 0.0 for r in med.collect()}  # one row for each channel
+    values = samples.select(F.posexplode("features").alias("j", "x"))
+    found = {r["j"]: r["m"] or 0.0 for r in exact_percentiles(values, ["j"], "x", {"m": 0.5}).collect()}  # one row for each channel
     fill = F.array(*(F.lit(float(found.get(j, 0.0))) for j in range(n_channels)))
     return samples.withColumn("x", array_to_vector(F.zip_with("features", fill, lambda v, m: F.coalesce(v, m))))
 
@@ -53,8 +56,8 @@ def held_out(fold: int = 0, folds: int = 5) -> Column:
 def train_forest(samples: DataFrame, n_channels: int, trees: int = 500, depth: int = 12, seed: int = 42) -> tuple[RandomForestClassificationModel, list[int], float]:
     """A balanced multi-class forest, its classes, and its accuracy on a fifth of the pixels held out by hash.
 
-    MLlib has no out-of-bag score; the held-out fifth takes its place, and the
-    forest returned is fitted on the rest.
+    The forest returned is fitted on the other four fifths. MLlib has no
+    out-of-bag score; see :func:`bagged_forest`.
     """
     classes = _classes(samples)
     data = _indexed(impute(samples, n_channels), classes).select("pixel_id", "x", "label", "w").persist()
@@ -150,14 +153,13 @@ def cluster_channels(samples: DataFrame, scores: dict[str, float], channels: lis
     """
     matrix = Correlation.corr(impute(samples, len(channels)), "x").first()[0].toArray()
     found = average_linkage(1 - np.abs(np.nan_to_num(matrix)), 1 - corr)
-    groups: dict[int, list[str]] = {}
-    for name, k in zip(channels, found, strict=True):
-        groups.setdefault(k, []).append(name)
-    chosen = []
-    for members in groups.values():
-        k = max(1, math.ceil(len(members) * per_cluster)) if variable else int(per_cluster)
-        chosen += sorted(members, key=lambda c: -scores[c])[:k]
-    return sorted(chosen, key=lambda c: -scores[c])[:most]
+    rows = [(name, int(k), float(scores[name]), i) for i, (name, k) in enumerate(zip(channels, found, strict=True))]
+    own = samples.sparkSession.createDataFrame(rows, "channel string, cluster int, score double, place int")
+    within = Window.partitionBy("cluster")
+    quota = F.greatest(F.lit(1), F.ceil(F.count("*").over(within) * per_cluster)) if variable else F.lit(int(per_cluster))
+    ranked = own.withColumns({"quota": quota, "rank": F.row_number().over(within.orderBy(F.desc("score"), "place"))})
+    best = ranked.where(F.col("rank") <= F.col("quota")).orderBy(F.desc("score"), "place")
+    return [r["channel"] for r in (best if most is None else best.limit(most)).collect()]  # channels
 
 
 def _macro_f1(predicted: DataFrame) -> float:
@@ -215,34 +217,96 @@ def rank_bands_forest(samples: DataFrame, channels: DataFrame, domain: DataFrame
     return bands.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def forward_select(samples: DataFrame, channels: list[str], candidates: list[str], crop_id: int, delta: float = 0.005, patience: int = 3, most: int = 10, trees: int = 20) -> tuple[list[str], list[dict]]:
+@dataclass
+class _Choice:
+    """Channels chosen so far, the IoU they reach, and how many candidates in a row have not helped."""
+
+    channels: tuple[str, ...] = ()
+    iou: float = 0.0
+    idle: int = 0
+
+    def after(self, channel: str, iou: float, delta: float) -> _Choice:
+        if iou - self.iou < delta:
+            return replace(self, idle=self.idle + 1)
+        return _Choice((*self.channels, channel), iou)
+
+
+def _iou(data: DataFrame, places: list[int], trees: int) -> float:
+    """The class's IoU on the held-out fifth, of a small forest on the channels at ``places``."""
+    part = data.withColumn("sub", array_to_vector(F.array(*(vector_to_array("x")[i] for i in places))))
+    model = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, seed=0).fit(part.where(~held_out()))
+    truth, found = F.col("label") == 1, F.col("prediction") == 1
+    cells = model.transform(part.where(held_out())).agg(F.count_if(truth & found).alias("both"), F.count_if(truth | found).alias("either")).first()
+    return cells["both"] / cells["either"] if cells["either"] else 0.0
+
+
+def forward_select(samples: DataFrame, channels: list[str], candidates: list[str], crop_id: int, delta: float = 0.005, patience: int = 3, most: int = 10, trees: int = 20, at_once: int = 4) -> tuple[list[str], list[dict]]:
     """Greedy selection for one crop against the rest: a channel stays if it raises the IoU by ``delta``.
 
-    Each trial fits a small forest on four fifths of the pixels and takes the
-    class's IoU on the rest. Stops after ``patience`` rejections in a row or
-    ``most`` channels.
+    It ends after ``patience`` candidates in a row that don't, or with ``most``
+    channels. Until one is taken, candidates are tried with the same chosen
+    ones; so as many as patience allows, ``at_once`` at most, are fitted side by side, and
+    what comes behind one that is taken is tried anew. The history has a row for each candidate decided.
     """
     data = impute(samples, len(channels)).withColumn("label", (F.col("class_label") == crop_id).cast("double")).persist()
-    chosen: list[str] = []
-    history: list[dict] = []
-    best, idle = 0.0, 0
+    place = {c: i for i, c in enumerate(channels)}
+    path, decided = [_Choice()], []
     try:
-        for step, channel in enumerate(candidates):
-            if len(chosen) >= most or idle >= patience:
-                break
-            at = [channels.index(c) for c in [*chosen, channel]]
-            part = data.withColumn("sub", array_to_vector(F.array(*(vector_to_array("x")[i] for i in at))))
-            model = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, seed=0).fit(part.where(~held_out()))
-            a, b = F.col("label") == 1, F.col("prediction") == 1
-            inter, union = model.transform(part.where(held_out())).agg(F.sum((a & b).cast("long")), F.sum((a | b).cast("long"))).first()
-            iou = inter / union if union else 0.0
-            gain = iou - best
-            kept = gain >= delta
-            if kept:
-                chosen, best, idle = [*chosen, channel], iou, 0
-            else:
-                idle += 1
-            history.append({"crop_id": crop_id, "step": step, "channel": channel, "n_channels": len(chosen), "iou": round(iou, 4), "gain": round(gain, 4), "accepted": kept})
+        with ThreadPoolExecutor(at_once) as pool:
+            while len(decided) < len(candidates) and path[-1].idle < patience and len(path[-1].channels) < most:
+                now = path[-1]
+                batch = candidates[len(decided) : len(decided) + min(at_once, patience - now.idle)]
+                for channel, iou in zip(batch, list(pool.map(lambda c, base=now: _iou(data, [place[x] for x in (*base.channels, c)], trees), batch)), strict=True):
+                    decided.append((channel, iou))
+                    path.append(path[-1].after(channel, iou, delta))
+                    if path[-1].channels != now.channels:
+                        break
+    finally:
+        data.unpersist()
+    history = [
+        {"crop_id": crop_id, "step": i, "channel": channel, "n_channels": len(after.channels), "iou": round(iou, 4), "gain": round(iou - before.iou, 4), "accepted": after.channels != before.channels}
+        for i, ((channel, iou), before, after) in enumerate(zip(decided, path[:-1], path[1:], strict=True))
+    ]
+    return list(path[-1].channels), history
+
+
+def _draws(tree: int, seed: int) -> Column:
+    """How often a tree's sample holds the row: a Poisson draw of mean 1, hashed from row and tree, so it can be had again."""
+    unit = F.pmod(F.xxhash64("pixel_id", F.lit(tree), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    shares = itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12))
+    return sum((F.when(unit >= s, 1).otherwise(0) for s in shares), F.lit(0))
+
+
+def bagged_forest(samples: DataFrame, n_channels: int, trees: int = 100, depth: int = 12, seed: int = 42, at_once: int = 4, per_pass: int = 20) -> tuple[list[RandomForestClassificationModel], list[int], float]:
+    """Trees on hashed bootstrap samples, their classes, and the out-of-bag accuracy.
+
+    A row's weight in a tree is its class weight times its draw. For its score
+    a row gets the class shares of those trees that didn't draw it, added up in
+    passes of ``per_pass`` trees; the greatest sum is its class (ties: the
+    first). Rows that every tree drew don't count, as in any out-of-bag score.
+    """
+    classes = _classes(samples)
+    data = _indexed(impute(samples, n_channels), classes).select("pixel_id", "x", "label", "w").persist()
+
+    def fit(t: int) -> RandomForestClassificationModel:
+        part = data.withColumn("b", F.col("w") * _draws(t, seed)).where("b > 0")
+        return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="b", numTrees=1, bootstrap=False, maxDepth=depth, seed=seed + t, featureSubsetStrategy="sqrt").fit(part)
+
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            models = list(pool.map(fit, range(trees)))
+        none = F.array(*(F.lit(0.0) for _ in classes))
+        parts = []
+        for first in range(0, trees, per_pass):
+            seen, votes = data.select("pixel_id", "x", "label"), none
+            for t in range(first, min(first + per_pass, trees)):
+                name = f"p{t}"
+                seen = models[t].setProbabilityCol(name).setRawPredictionCol("").setPredictionCol("").transform(seen)
+                votes = F.zip_with(votes, F.when(_draws(t, seed) == 0, vector_to_array(name)).otherwise(none), lambda a, b: a + b)
+            parts.append(seen.select("pixel_id", "label", F.posexplode(votes).alias("k", "v")))
+        every = functools.reduce(DataFrame.union, parts).groupBy("pixel_id", "label", "k").agg(F.sum("v").alias("v"))
+        best = every.groupBy("pixel_id", "label").agg(F.max("v").alias("most"), F.min_by("k", F.struct(-F.col("v"), F.col("k"))).alias("k")).where("most > 0")
+        accuracy = best.agg(F.avg((F.col("k") == F.col("label")).cast("double"))).first()[0]
     finally:
         data.unpersist()
-    return chosen, history
+    return models, classes, accuracy or 0.0

@@ -74,8 +74,9 @@ def gsi_one_vs_rest(samples: DataFrame, crops: Iterable[int], eps: float = 1e-6,
         total = lambda f: F.aggregate(full, F.lit(0.0), lambda acc, o: acc + f(o))
         n = F.nullif(total(lambda o: o["n"]), F.lit(0.0))
         mean = total(lambda o: o["mu"] * o["n"]) / n
-        spread = total(lambda o: o["n"] * (o["sd"] * o["sd"] + o["mu"] * o["mu"])) / n - mean * mean
-        si = F.abs(own["mu"] - mean) / (1.96 * (own["sd"] + F.sqrt(F.greatest(spread, F.lit(0.0)))) + eps)
+        # a binding of the mean: an array of one, so that it is worked out once and not in each term
+        spread = F.transform(F.array(mean), lambda m: total(lambda o: o["n"] * (o["sd"] * o["sd"] + (o["mu"] - m) * (o["mu"] - m))))[0] / n
+        si = F.abs(own["mu"] - mean) / (1.96 * (own["sd"] + F.sqrt(spread)) + eps)
         return F.when(own.isNull() | (own["n_rows"] < min_pixels), 0.0).otherwise(si)
 
     return _each_crop(_by_channel(samples), list(crops), score)

@@ -26,9 +26,14 @@ def select_top_k(scores: DataFrame, k: int) -> DataFrame:
     return _ranked(scores).where(F.col("rank") <= k)
 
 
+def pooled_threshold(scores: DataFrame, p: float) -> DataFrame:
+    """``pooled_threshold``: one row, the percentile (linear) of all crops' scores together."""
+    return scores.agg(F.percentile("score", p / 100).alias("pooled_threshold"))
+
+
 def select_percentile(scores: DataFrame, p: float) -> DataFrame:
     """Scores at or above the percentile (linear) of all crops' scores together."""
-    cut = scores.agg(F.percentile("score", p / 100).alias("_cut"))
+    cut = pooled_threshold(scores, p).withColumnRenamed("pooled_threshold", "_cut")
     return _ranked(scores).join(F.broadcast(cut), F.col("score") >= F.col("_cut")).drop("_cut")  # one row
 
 
@@ -154,8 +159,10 @@ def band_pivot(selection: DataFrame, bands: list[str]) -> DataFrame:
     return _pivot(selection, 0, bands)
 
 
-def selection_summary(selection: DataFrame) -> DataFrame:
-    """Channels of each crop, with the size of the union and the least score kept."""
+def selection_summary(selection: DataFrame, threshold: DataFrame | None = None) -> DataFrame:
+    """Channels of each crop, with the size of the union, the least score kept, and the one row of ``threshold`` (see :func:`pooled_threshold`)."""
     per = selection.groupBy("crop_id").agg(F.count("*").alias("n_channels"))
     total = selection.agg(F.countDistinct("channel").alias("n_union"), F.min("score").alias("least_score"))
+    if threshold is not None:
+        total = total.join(F.broadcast(threshold), F.lit(True))  # one row
     return per.join(F.broadcast(total), F.lit(True))  # one row

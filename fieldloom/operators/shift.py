@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.quantiles import exact_percentiles
+
 WARN_MEAN, WARN_STD = 0.15, 0.20
+TAILS = {"p5": 0.05, "p95": 0.95}
 
 
 def reference_date(dates: DataFrame) -> DataFrame:
@@ -19,9 +22,11 @@ def reference_date(dates: DataFrame) -> DataFrame:
 
 
 def area_stats(samples: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Mean, population deviation and 5th and 95th percentile by area and band (approximate with ``accuracy``)."""
-    q = lambda p: F.percentile("value", p) if accuracy is None else F.percentile_approx("value", p, accuracy)
-    return samples.groupBy("area", "band").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q(0.05).alias("p5"), q(0.95).alias("p95"))
+    """Mean, population deviation and 5th and 95th percentile by area and band; counted exactly, or approximate with ``accuracy``."""
+    moments = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
+    if accuracy is not None:
+        return samples.groupBy("area", "band").agg(*moments, *(F.percentile_approx("value", p, accuracy).alias(name) for name, p in TAILS.items()))
+    return samples.groupBy("area", "band").agg(*moments).join(exact_percentiles(samples, ["area", "band"], "value", TAILS), ["area", "band"])
 
 
 def shift_report(stats: DataFrame, train: str = "train") -> DataFrame:

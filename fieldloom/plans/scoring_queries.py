@@ -91,8 +91,7 @@ EXTRA = GSI + """, extra AS (SELECT crop_id, channel_idx, band, strftime(strptim
 doyed AS (SELECT *, substr(date8, 5, 4) AS mmdd, dayofyear(strptime(concat('2000', substr(date8, 5, 4)), '%Y%m%d')) AS doy FROM extra)"""
 
 
-def extra_year(fx: Fixtures) -> DataFrame:
-    s = scores(fx)
+def extra_year(s: DataFrame) -> DataFrame:
     date = F.date_format(F.date_add(F.to_date(F.split("channel", "_")[1], "yyyyMMdd"), -363), "yyyyMMdd")
     return s.select("crop_id", F.concat_ws("_", F.split("channel", "_")[0], date).alias("channel"), "channel_idx", F.round(F.col("score") * (1 + F.col("crop_id") / 100), 6).alias("score"), F.lit(2023).alias("year"))
 
@@ -102,12 +101,14 @@ def extra_year(fx: Fixtures) -> DataFrame:
     EXTRA,
 )
 def e6_adjust_multi_year(fx: Fixtures) -> DataFrame:
-    return scoring.adjust_multi_year(scores(fx), extra_year(fx))
+    s = shared.materialise(scores(fx))  # crops x channels
+    return scoring.adjust_multi_year(s, extra_year(s))
 
 
 @query("SELECT crop_id, band, round(avg(s), 6) AS score FROM (SELECT 2024 AS y, crop_id, band, avg(score) AS s FROM scores GROUP BY 1, 2, 3 UNION ALL SELECT 2023, crop_id, band, avg(score) FROM extra GROUP BY 1, 2, 3) GROUP BY 1, 2", EXTRA)
 def e7_rank_bands_across_years(fx: Fixtures) -> DataFrame:
-    both = scores(fx).withColumn("year", F.lit(2024)).unionByName(extra_year(fx))
+    s = shared.materialise(scores(fx))
+    both = s.withColumn("year", F.lit(2024)).unionByName(extra_year(s))
     return scoring.rank_bands_across_years(both)
 
 
@@ -153,8 +154,10 @@ def _best(fx: Fixtures) -> list[str]:
 
 @query()
 def e9_forest_accuracy(fx: Fixtures) -> DataFrame:
-    _, classes, accuracy = forest.train_forest(fx.vectors().where("class_label > 0"), 24, trees=10, depth=6)
-    return fx.spark.createDataFrame([(len(classes), accuracy)], "n_classes int, accuracy double")
+    samples = fx.vectors().where("class_label > 0")
+    _, classes, accuracy = forest.train_forest(samples, 24, trees=10, depth=6)
+    _, _, oob = forest.bagged_forest(samples, 24, trees=20, depth=6)
+    return fx.spark.createDataFrame([(len(classes), accuracy, oob)], "n_classes int, accuracy double, oob_accuracy double")
 
 
 @query()
@@ -303,14 +306,6 @@ def f14_band_pivot(fx: Fixtures) -> DataFrame:
     return selection.band_pivot(selection.select_top_k(scores(fx), 5), BANDS)
 
 
-def scoped_selector(fx: Fixtures, dates: DataFrame, top: int) -> DataFrame:
-    """Bands of each crop by one-vs-rest separability on the given dates only."""
-    part = fx.crop_samples().join(dates.select("date8").distinct(), "date8", "left_semi")
-    bands = scoring.collapse_scores(scoring.gsi_one_vs_rest(part, KEEP_CLASSES), "band").select("crop_id", F.col("key").alias("band"), F.round("score", 6).alias("score"))
-    rank = F.row_number().over(selection.Window.partitionBy("crop_id").orderBy(F.desc("score"), "band"))
-    return bands.withColumn("rank", rank).where(F.col("rank") <= top)
-
-
 def _scoped_sql(dates: str) -> str:
     return f"""SELECT crop_id, band, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY crop_id ORDER BY score DESC, band) AS INT) AS rank FROM (
     SELECT CAST(m.crop_id AS INT) AS crop_id, split_part(m.channel, '_', 1) AS band, round(avg(abs(m.mu - r.mu) / (1.96 * (m.sd + r.sd) + 1e-6)), 6) AS score FROM mom m
@@ -320,25 +315,24 @@ def _scoped_sql(dates: str) -> str:
 
 @query(_scoped_sql("SELECT date8 FROM (SELECT date8 FROM means ORDER BY mean_ndvi DESC, date8 LIMIT 1)"), MEANS + ", " + MOM)
 def f15_single_date_gsi(fx: Fixtures) -> DataFrame:
-    return scoped_selector(fx, series.peak_ndvi_date(means(fx)), 3)
+    return direct.scoped_gsi(fx.crop_samples(), series.peak_ndvi_date(means(fx)), 3)
 
 
 @query(_scoped_sql("SELECT date8 FROM (SELECT date8, row_number() OVER (PARTITION BY ceil(CAST(substr(date8, 5, 2) AS INT) / 3) ORDER BY round(mean_ndvi, 5) DESC, date8) AS k FROM means) WHERE k = 1"), MEANS + ", " + MOM)
 def f15_four_dates_gsi(fx: Fixtures) -> DataFrame:
-    return scoped_selector(fx, series.quarterly_dates(means(fx)), 3)
+    return direct.scoped_gsi(fx.crop_samples(), series.quarterly_dates(means(fx)), 3)
 
 
 @query()
 def f15_single_date_forest(fx: Fixtures) -> DataFrame:
-    c = _vector_channels(fx)
-    return forest.rank_bands_forest(fx.vectors().where("class_label > 0"), c, c.where("channel_idx < 4"), _folder(fx), trees=5, top=3, depth=5)
+    """On the date of the highest mean index."""
+    return direct.scoped_forest(fx.obs(), fx.labels(), channels(fx), series.peak_ndvi_date(means(fx)), _folder(fx), top=3, trees=5, depth=5)
 
 
 @query()
 def f15_four_dates_forest(fx: Fixtures) -> DataFrame:
-    """The forest on the best date of each quarter; dates of the vectors stand four channels apart."""
-    c = _vector_channels(fx)
-    return forest.rank_bands_forest(fx.vectors().where("class_label > 0"), c, c.where("channel_idx < 16"), _folder(fx), trees=5, top=3, depth=5)
+    """On the best date of each quarter."""
+    return direct.scoped_forest(fx.obs(), fx.labels(), channels(fx), series.quarterly_dates(means(fx)), _folder(fx), top=3, trees=5, depth=5)
 
 
 @query("SELECT channel, ordinal FROM uni", TOP5)
@@ -348,6 +342,48 @@ def f16_gsi_direct(fx: Fixtures) -> DataFrame:
     return payload.select(F.posexplode("union").alias("ordinal", "channel")).select("channel", "ordinal")
 
 
+PERCENTILE = GSI + ", cut AS (SELECT quantile_cont(score, 0.9) AS cut FROM scores), psel AS (SELECT ranked.* FROM ranked, cut WHERE score >= cut)"
+
+
+@query("SELECT channel, CAST(row_number() OVER (ORDER BY min(crop_order * 1000 + rank)) - 1 AS INT) AS ordinal FROM psel GROUP BY 1", PERCENTILE)
+def f16_gsi_direct_percentile(fx: Fixtures) -> DataFrame:
+    """From observations and labels of a year, the pooled 90th percentile; written and read back."""
+    path = f"{_folder(fx)}/direct-{uuid.uuid4().hex}"
+    direct.run_gsi_direct([(2024, fx.obs(), fx.labels(), fx.channels())], percentile=90, frac=1.0, path=path)
+    return selection.union_channels(outputs.read_selection(fx.spark, path))
+
+
+YEARS = GSI + """, year2 AS (SELECT concat(o.band, '_', o.date8) AS channel, o.channel_idx, o.band, o.date8, l.cdl_id AS crop_id, o.value + (o.pixel_id * 7 + o.channel_idx * 13) % 500 AS value FROM obs2 o JOIN lab l USING (pixel_id) WHERE l.model_id > 0),
+mom2 AS (SELECT crop_id, channel, channel_idx, band, date8, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n_rows FROM year2 GROUP BY 1, 2, 3, 4, 5),
+pairs2 AS (SELECT s.crop_id, s.channel, abs(s.mu - o.mu) / (1.96 * (s.sd + o.sd) + 1e-6) AS si FROM mom2 s JOIN mom2 o ON o.channel = s.channel AND o.crop_id <> s.crop_id WHERE s.n_rows >= 10 AND o.n_rows >= 10),
+scores2 AS (SELECT k.crop_id, c.channel_idx, c.band, dayofyear(strptime(concat('2000', substr(c.date8, 5, 4)), '%Y%m%d')) AS doy, coalesce(p.score, 0) AS raw FROM (VALUES (1), (3), (24), (36), (54), (69), (75), (76)) k(crop_id), (SELECT DISTINCT channel, channel_idx, band, date8 FROM mom2) c
+  LEFT JOIN (SELECT crop_id, channel, avg(si) AS score FROM pairs2 GROUP BY 1, 2) p ON p.crop_id = k.crop_id AND p.channel = c.channel),
+adj AS (SELECT s.crop_id, s.channel, s.channel_idx, dense_rank() OVER (ORDER BY s.crop_id) - 1 AS crop_order, round((s.raw + (SELECT d.raw FROM scores2 d WHERE d.crop_id = s.crop_id AND d.band = s.band ORDER BY abs(d.doy - dayofyear(strptime(concat('2000', substr(s.date8, 5, 4)), '%Y%m%d'))), d.channel_idx LIMIT 1)) / 2, 6) AS score FROM scores s),
+aranked AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY score DESC, channel_idx) AS rank FROM adj)"""
+
+
+@query("SELECT CAST(crop_id AS INT) AS crop_id, CAST(rank AS INT) AS rank, channel, score FROM aranked WHERE rank <= 5", YEARS)
+def f16_gsi_direct_years(fx: Fixtures) -> DataFrame:
+    """Two years' pixels scored on their own, the first year's scores averaged with the nearest dates of the second."""
+    second = fx.second_year().withColumn("value", F.col("value") + (F.col("pixel_id") * 7 + F.col("channel_idx") * 13) % 500)
+    named = second.select(F.concat_ws("_", "band", "date8").alias("channel"), "channel_idx").distinct()
+    chosen, _ = direct.run_gsi_direct([(2024, fx.obs(), fx.labels(), fx.channels()), (2023, second, fx.labels(), named)], top_k=5, frac=1.0)
+    return chosen.select("crop_id", "rank", "channel", "score")
+
+
+@query()
+def f16_run_rf_direct(fx: Fixtures) -> DataFrame:
+    """From observations and labels, by a forest's importance."""
+    chosen, _ = direct.run_rf_direct([(2024, fx.obs(), fx.labels(), fx.channels())], _folder(fx), top_k=4, trees=5, depth=5)
+    return selection.union_channels(chosen)
+
+
+@query("SELECT crop_id, count(*) AS n_channels, (SELECT count(DISTINCT channel) FROM psel) AS n_union, (SELECT min(score) FROM psel) AS least_score, (SELECT round(cut, 6) FROM cut) AS pooled_threshold FROM psel GROUP BY 1", PERCENTILE)
+def f17_selection_summary_percentile(fx: Fixtures) -> DataFrame:
+    s = shared.materialise(scores(fx))
+    return selection.selection_summary(selection.select_percentile(s, 90), selection.pooled_threshold(s, 90))
+
+
 @query()
 def f16_rf_direct(fx: Fixtures) -> DataFrame:
     return selection.union_channels(direct.rf_direct(fx.vectors().where("class_label > 0"), _vector_channels(fx), _folder(fx), top_k=4, trees=5, depth=5))

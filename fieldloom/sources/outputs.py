@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators import selection as selection_tables
 from fieldloom.operators.selection import union_channels
 
 
@@ -24,6 +25,15 @@ def write_selection(selection: DataFrame, path: str, meta: dict[str, str]) -> No
     union_channels(selection).orderBy("ordinal").select("channel").coalesce(1).write.mode("overwrite").text(f"{path}/bands")
 
 
+def write_tables(selection: DataFrame, path: str) -> None:
+    """CSV tables of a selection with scores: ``detail``, a row for each channel, and counts of each crop by date and by band."""
+    detail = selection_tables.detail_table(selection)
+    detail.orderBy("crop", "rank").coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/detail")
+    for name, part, pivot in (("by_date", 1, selection_tables.date_pivot), ("by_band", 0, selection_tables.band_pivot)):
+        values = sorted(r[0] for r in selection.select(F.split("channel", "_")[part]).distinct().collect())  # dates or bands
+        pivot(selection, values).orderBy("crop_id").coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/{name}")
+
+
 def read_selection(spark: SparkSession, path: str, subset_k: int | None = None) -> DataFrame:
     """``crop_id, crop_order, rank, channel``, to ``subset_k`` ranks if given.
 

@@ -96,3 +96,54 @@ def test_erasing_blanks_one_rectangle_in_all_channels(spark):
     assert all(b.n == 2 * (b.r1 - b.r0 + 1) * (b.c1 - b.c0 + 1) and 2 <= b.r1 - b.r0 + 1 <= 4 and 2 <= b.c1 - b.c0 + 1 <= 4 for b in boxes)
     bright = P.augment(df, 20, noise=0.0, drop=0.0, scale=0.0, offset=0.0, gamma=0.0, erase=0.0).groupBy("patch_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
     assert all(abs(b.lo - b.hi) < 1e-12 and 0.45 <= b.lo <= 0.55 for b in bright) and len({b.lo for b in bright}) > 30
+
+
+def test_out_of_bag_accuracy_against_a_loop(samples):
+    """Draws by another implementation of the hash, and each tree asked row by row."""
+    import math
+    import struct
+
+    import xxhash
+    from pyspark.ml.linalg import Vectors
+
+    some = samples.where("pixel_id < 150").withColumn("class_label", F.when(F.col("pixel_id") % 5 == 0, 3).otherwise(F.col("class_label")))
+    models, classes, accuracy = forest.bagged_forest(some, 4, trees=5, depth=3, per_pass=2)
+    filled = {r.pixel_id: (list(r.x), classes.index(r.class_label)) for r in forest.impute(some, 4).collect()}
+
+    def draws(pixel, tree):
+        h = 42
+        for part in (struct.pack("<q", pixel), struct.pack("<i", tree), struct.pack("<i", 42)):
+            h = xxhash.xxh64_intdigest(part, h)
+        unit, k, below = h % (1 << 53) / (1 << 53), 0, math.exp(-1)
+        while unit >= below:
+            k += 1
+            below += math.exp(-1) / math.factorial(k)
+        return k
+
+    right = seen = 0
+    for pixel, (x, label) in filled.items():
+        votes = np.zeros(3)
+        for t, m in enumerate(models):
+            if draws(pixel, t) == 0:
+                votes += m.predictProbability(Vectors.dense(x)).toArray()
+        if votes.max() > 0:
+            seen += 1
+            right += int(votes.argmax()) == label
+    assert 0 < seen < 150 and accuracy == pytest.approx(right / seen) and 0.6 < accuracy < 1
+
+
+@pytest.mark.parametrize("patience, at_once", [(1, 1), (2, 4), (3, 2)])
+def test_trials_side_by_side_choose_as_one_by_one(samples, patience, at_once):
+    order = ["B2_20240101", "B4_20240101", "B8_20240101", "B11_20240101"]
+    data = forest.impute(samples, 4).withColumn("label", (F.col("class_label") == 24).cast("double"))
+    chosen, best, idle, tried = [], 0.0, 0, []
+    for c in order:
+        if idle < patience:
+            iou = forest._iou(data, [NAMES.index(x) for x in (*chosen, c)], 5)
+            tried.append((c, round(iou, 4), iou - best >= 0.02))
+            if iou - best >= 0.02:
+                chosen, best, idle = [*chosen, c], iou, 0
+            else:
+                idle += 1
+    got, history = forest.forward_select(samples, NAMES, order, 24, delta=0.02, patience=patience, trees=5, at_once=at_once)
+    assert got == chosen and [(h["channel"], h["iou"], h["accepted"]) for h in history] == tried
