@@ -46,6 +46,7 @@ PREFIX, MEET = 32, 8
 SKETCH = 64
 PARITIES = 512
 FIRST = 32
+MOST_SENT = 2_000_000  # numbers of rows, 16 MB, that may be broadcast
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -124,7 +125,10 @@ class _Sets:
             pairs = pairs.hint("merge").join(own.select(F.col("fp").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("row", "odd", "n"))), end)
         pairs = materialise(pairs.where(_may_be_alike("a_", "b_")).select("a", "b", "a_row", "b_row"))
         rows = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct()
-        whole = materialise(self.sets.select("row", "hashes").hint("merge").join(rows, "row", "left_semi"))
+        rows = materialise(rows)
+        # the sets of a pair are a small part of all: few enough wanted rows go to the sets, and more of them meet by a shuffle
+        few = rows.count() <= MOST_SENT
+        whole = materialise(self.sets.select("row", "hashes").join(F.broadcast(rows) if few else rows.hint("merge"), "row", "left_semi"))
         both = pairs.hint("merge").join(whole.select(F.col("row").alias("a_row"), F.col("hashes").alias("x")), "a_row")
         both = both.hint("merge").join(whole.select(F.col("row").alias("b_row"), F.col("hashes").alias("y")), "b_row")
         shared = F.size(F.array_intersect("x", "y"))
