@@ -56,6 +56,22 @@ def test_equal_rows_are_cut_too(spark, id_):
     assert all(r.lo == 0 and r.hi == r.n - 1 for r in by) and sum(r.n for r in by) == 5000
 
 
+def test_pieces_follow_the_keys_and_split_hot_texts(spark, monkeypatch):
+    """A third of the rows one text, a sixth one row: no piece holds much more than its share."""
+    rows = [(7 if i % 6 == 0 else i, "x" * 40 if i % 3 == 0 else f"{i:040}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "_size long, _piece string").repartition(3)
+    seen = []
+    monkeypatch.setattr(sharding.Pieces, "share", lambda self, b, own=sharding.Pieces.share: (own(self, b), seen.append(self)))
+    out = sharding.shard_by_bytes(df, 4, "_size", "_piece", piece_bytes=48 * 60)
+    order = [tuple(r) for r in out.orderBy("shard", "slot").collect()]
+    assert Counter(r[:2] for r in order) == Counter(rows) and out.columns == ["_size", "_piece", "size", "shard", "slot"]
+    assert sum(a[1] != b[1] for a, b in zip(order, order[1:], strict=False)) == 4000
+    import pyspark.sql.functions as f
+
+    held = [r["count"] for r in out.groupBy(f.spark_partition_id()).count().collect()]
+    assert seen[0].count.sum() > 80 and max(held) < 5 * 60
+
+
 def test_query(spark, tmp_path, docs, rows):
     from fieldloom.llm.queries import op2_sharding
 
