@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.tables import fresh, materialise
 
 SAMPLE_CHARS = 32_000  # of each language
-MAX_LANGUAGES = 200  # labels; more are an error
+TOTAL_CHARS = 1_000_000  # of all languages together; their automata then take less than 1 GB
 COMMON = 120
 DOC_CHARS = 8_000  # of each text at most
 SALTS = 256  # parts of a language that are sorted apart
@@ -205,22 +205,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def draw_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+def draw_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, list[str]]:
     """Texts of each language in the order of a hash of text, until ``sample_chars`` are reached.
 
-    Bounded by ``MAX_LANGUAGES`` times ``sample_chars`` plus one text; more labels
-    are an error. Of a text over ``DOC_CHARS`` so many symbols from its first
-    letter on are taken. Copies count once: they are gathered first. Then each
+    More than ``total_chars / sample_chars`` languages (31) share ``total_chars``
+    alike, whatever their number, so the sample is bounded by both parameters. Of a text over ``DOC_CHARS``, or a
+    language's share where that is less, so many symbols from its first letter on are taken. Copies count once: they are gathered first. Then each
     of ``SALTS`` parts of a language gives its own first texts, and the sample is drawn
     from those.
     """
     text = F.col(text_col)
     fit = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    piece = F.when(F.length(text) <= DOC_CHARS, text).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, DOC_CHARS))
+    n_langs = docs.where(~held_out(id_col)).select(lang_col).where(F.col(lang_col).isNotNull()).distinct().count()
+    sample_chars = max(1, min(sample_chars, total_chars // max(1, n_langs)))
+    longest = min(DOC_CHARS, sample_chars)
+    piece = F.when(F.length(text) <= longest, text).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, longest))
     texts = fit.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), piece.alias("t"))
     distinct = materialise(texts.groupBy("lang", "h").agg(F.max(F.length("t")).alias("n")))
-    if distinct.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
 
     def first(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("h")) - F.col("n")).where(F.col("before") < sample_chars)

@@ -131,3 +131,59 @@ def test_large_alphabets_are_searched():
     for k in (0, 5, len(texts) - 3):
         assert abs(int(got[small.langs.index("zh"), k]) - phrases(coded[k].tolist(), small, "zh")) <= 1
     assert small.predict(texts[:3])[0] == ["zh"] * 3
+
+
+def test_prediction_against_searching_substrings(spark, tmp_path):
+    """The registered query, whose predictions are made again by plain search in the same sample."""
+    from fieldloom.llm.queries import op6_language
+
+    rows, df = corpus(spark, 120)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    samples = L.draw_samples(df, "doc_id", "text", "lang")
+
+    def letters(t):
+        out = []
+        for c in t:
+            c = c.lower() if c.isalpha() else " "
+            if c != " " or not out or out[-1] != " ":
+                out.append(c)
+        return "".join(out)
+
+    hay = {k: "".join(letters(t) + "\0" for t in ts) for k, ts in samples.items()}
+
+    def costs(t):
+        cut = letters(t)
+        out = {}
+        for k, h in hay.items():
+            n = at = 0
+            while at < len(cut):
+                n += 1
+                at += cut[at] not in h
+                size = 0
+                while at + size < len(cut) and cut[at : at + size + 1] in h:
+                    size += 1
+                at += size
+            out[k] = n * np.log2(len(h)) / len(cut)
+        return out
+
+    got = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in op6_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(set(r[0] for r in rows))
+    for doc_id, t, _ in rows:
+        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+        if not t or not any(map(str.isalpha, t)):
+            assert got[doc_id, held] == ("und", 0.0)
+            continue
+        by = costs(t)
+        best = min(sorted(by), key=by.get)
+        ranked = sorted(by.values())
+        assert got[doc_id, held][0] == best and abs(got[doc_id, held][1] - (1 - ranked[0] / ranked[1])) < 1e-9
+
+
+def test_many_languages_share_the_sample(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(chr(97 + (k + rng.randrange(5)) % 26) for _ in range(300)), f"l{k}") for i, k in enumerate([*range(300)] * 3)]
+    samples = L.draw_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", total_chars=30_000)
+    assert len(samples) > 250 and all(100 <= sum(map(len, ts)) <= 200 for ts in samples.values())
+    model = L.Automata({k: ts for k, ts in list(samples.items())[:40]})
+    assert model.next.nbytes <= 2 * 4 * model.width * sum(len(t) + 1 for k in model.langs for t in samples[k])
+    assert 2 * 4 * (L.COMMON + 1) * L.TOTAL_CHARS < 1 << 30

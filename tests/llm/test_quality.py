@@ -68,3 +68,50 @@ def test_no_labels_and_no_documents(spark, docs, empty):
     assert Q.classify(empty, none, n_features=64).collect() == []
     tails = {round(r["quality"]["tail"], 6) for r in Q.classify(docs, none, n_features=64).collect() if r.text and r.text.strip()}
     assert tails == {0.333333}
+
+
+def test_query_against_a_plain_fit(spark):
+    """The same penalised likelihood, summed row by row in one process and brought down by small steps."""
+    from fieldloom.llm import quality as Q
+    from fieldloom.llm.queries import op1_quality
+
+    root = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    grades = {}
+    for r in Q.grades_of_labels(spark.read.parquet(f"{root}/labels.parquet")).collect():
+        if r.grade is not None and r.doc_id is not None:
+            grades[r.doc_id] = min(r.grade, grades.get(r.doc_id, 9))
+    hasher = Q.Hasher(Q.N_FEATURES)
+    slots = {i: hasher.slots(t) for i, t in docs.items()}
+    used = sorted({int(s) for i in slots for s in slots[i]})
+    at = {s: k for k, s in enumerate(used)}
+    x = np.zeros((len(docs), len(used)))
+    ids = sorted(docs)
+    for row, i in enumerate(ids):
+        if len(slots[i]):
+            x[row, [at[int(s)] for s in slots[i]]] = len(slots[i]) ** -0.25
+    rated = [row for row, i in enumerate(ids) if i in grades and len(slots[i])]
+    y = np.array([grades[ids[row]] for row in rated])
+    a = x[rated]
+
+    def loss(w, t):
+        edges = np.column_stack([np.zeros(len(y)), 1 / (1 + np.exp(-(t[None, :] - (a @ w)[:, None]))), np.ones(len(y))])
+        p = np.maximum(edges[np.arange(len(y)), y + 1] - edges[np.arange(len(y)), y], 1e-12)
+        slope = edges * (1 - edges)
+        up, down = slope[np.arange(len(y)), y + 1] / p, slope[np.arange(len(y)), y] / p
+        gw = a.T @ (up - down) / len(y) + 1e-4 * w
+        gt = np.array([-(up[y == k]).sum() + down[y == k + 1].sum() for k in (0, 1)]) / len(y)
+        return -np.log(p).mean() + 0.5e-4 * w @ w, gw, gt
+
+    w, t, vw, vt = np.zeros(len(used)), np.array([-np.log(2), np.log(2)]), 0.0, 0.0
+    for _ in range(4000):
+        value, gw, gt = loss(w, t)
+        vw, vt = 0.95 * vw + gw, 0.95 * vt + gt
+        w, t = w - 0.3 * vw, np.sort(t - 0.3 * vt)
+    chance = 1 / (1 + np.exp(-(t[None, :] - (x @ w)[:, None])))
+    expected = 2 - chance.sum(axis=1)
+    got = {r.doc_id: r for r in op1_quality(spark, root).collect()}
+    some = [row for row, i in enumerate(ids) if len(slots[i])]
+    apart = np.abs([got[ids[row]].expected_grade - expected[row] for row in some])
+    assert apart.mean() < 0.05 and np.quantile(apart, 0.95) < 0.2
+    assert all(got[i].expected_grade == got[i].tail == 0 for i in ids if not len(slots[i]))
