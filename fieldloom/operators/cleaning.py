@@ -122,15 +122,37 @@ def resample_labels(src: DataFrame, dst: DataFrame, step: float, row0: float = 0
     """Nearest-neighbour lookup: each target pixel centre falls into a source row and column; outside is 0.
 
     ``step`` is the target pixel's side in source pixels; ``row0`` and ``col0``
-    are the target's corner in source pixels.
+    are the target's corner in source pixels. Only source rows and columns
+    under the target are read.
     """
     sr = F.floor((F.col("r") + 0.5) * step + row0).cast("long")
     sc = F.floor((F.col("c") + 0.5) * step + col0).cast("long")
-    at = dst.select("pixel_id", "r", "c", sr.alias("_r"), sc.alias("_c"))
-    source = src.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "cdl_id")
+    return _looked_up(src, dst, sr, sc)
+
+
+def _looked_up(src: DataFrame, dst: DataFrame, row: Column, col: Column) -> DataFrame:
+    """``src`` at ``row, col`` of each pixel of ``dst``, outside 0.
+
+    The bounds of the source come from the target's outermost pixels, whose
+    places enclose all others' in any continuous projection, and are a filter on the source's scan.
+    """
+    ends = dst.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
+    edge = F.col("r").isin(ends["r0"], ends["r1"]) | F.col("c").isin(ends["c0"], ends["c1"])
+    low_r, high_r, low_c, high_c = dst.where(edge).agg(F.min(row), F.max(row), F.min(col), F.max(col)).first() if ends["r0"] is not None else (0, -1, 0, -1)
+    under = src.where(F.col("r").between(low_r - 1, high_r + 1) & F.col("c").between(low_c - 1, high_c + 1))
+    source = under.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "cdl_id")
+    at = dst.select("pixel_id", "r", "c", row.alias("_r"), col.alias("_c"))
     return at.join(source, ["_r", "_c"], "left").select("pixel_id", "r", "c", F.coalesce("cdl_id", F.lit(0)).cast("int").alias("cdl_id"))
 
 
+def resample_albers(src: DataFrame, dst: DataFrame, lon: Column, lat: Column, affine: tuple[float, float, float, float]) -> DataFrame:
+    """As :func:`resample_labels`, where ``lon`` and ``lat`` of a target pixel's centre are in degrees and the source is in the
+    equal-area grid of :func:`albers_row_col`.
+    """
+    row, col = albers_row_col(lon, lat, affine)
+    return _looked_up(src, dst, row, col)
+
+
 def albers_row_col(lon: Column, lat: Column, affine: tuple[float, float, float, float]) -> tuple[Column, Column]:
     """Source row and column of a point in degrees, in the equal-area conic grid of the contiguous United States.
 

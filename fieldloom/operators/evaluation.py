@@ -5,9 +5,12 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +110,34 @@ def best_epoch(history: DataFrame) -> DataFrame:
     return history.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def predict_tiles(chips: DataFrame, model: Callable, tile: int, n_channels: int, batch: int = 16) -> DataFrame:
+_LOADED: dict[str, Callable] = {}
+
+
+def _loaded(key: str, sent: Broadcast, load: bool) -> Callable:
+    """The model of a broadcast: made once for each Python worker, however many tasks it runs."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        model = pickle.loads(sent.value)
+        _LOADED[key] = model() if load else model
+    return _LOADED[key]
+
+
+def predict_tiles(chips: DataFrame, model: Callable, tile: int, n_channels: int, batch: int = 16, load: bool = False) -> DataFrame:
     """``patch_id, values``: the model's argmax for each chip, edges padded with zeros and cut off again.
 
     ``chips`` has ``patch_id, height, width, values`` (channel-major array);
     ``model`` maps a float array (n, channels, tile, tile) to scores (n,
-    classes, tile, tile), n up to ``batch``. It is sent to executors once per task.
+    classes, tile, tile), n up to ``batch``. It is broadcast, so an executor gets it
+    once and a task's closure holds its handle alone. With ``load`` it is a
+    function without arguments that makes the model, such as one that reads
+    its weights from a shared folder; a worker calls it once.
     """
     import numpy as np
 
+    key, sent = uuid.uuid4().hex, chips.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _loaded(key, sent, load)
         for whole in frames:
             for b in (whole.iloc[i : i + batch] for i in range(0, len(whole), batch)):
                 sides = list(zip(b["height"], b["width"], strict=True))

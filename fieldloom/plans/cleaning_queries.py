@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -188,6 +189,39 @@ def b11_resample_labels(fx: Fixtures) -> DataFrame:
     return cleaning.resample_labels(fx.labels(), fx.labels(), 0.375, 4, -2)
 
 
+def _albers_sql() -> str:
+    """The equal-area projection of longitude ``lon`` and latitude ``lat`` in degrees, spelt out with its constants."""
+    flat = 1 / 298.257222101
+    e = math.sqrt(flat * (2 - flat))
+
+    def q(s: float) -> float:
+        return (1 - e * e) * (s / (1 - e * e * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    s1, s2, s0 = (math.sin(math.radians(d)) for d in (29.5, 45.5, 23.0))
+    m1, m2 = ((1 - s * s) / (1 - e * e * s * s) for s in (s1, s2))
+    n = (m1 - m2) / (q(s2) - q(s1))
+    c = m1 + n * q(s1)
+    rho0 = 6378137.0 * math.sqrt(c - n * q(s0)) / n
+    sin = "sin(radians(lat))"
+    sql_q = f"{1 - e * e!r}::DOUBLE * ({sin} / (1 - {e * e!r}::DOUBLE * {sin} * {sin}) - ln((1 - {e!r}::DOUBLE * {sin}) / (1 + {e!r}::DOUBLE * {sin})) / {2 * e!r}::DOUBLE)"
+    return f"""alb AS (SELECT pixel_id, r, c, {rho0!r}::DOUBLE - rho * cos(theta) AS y, rho * sin(theta) AS x FROM (SELECT pixel_id, r, c,
+    6378137.0::DOUBLE * sqrt({c!r}::DOUBLE - {n!r}::DOUBLE * ({sql_q})) / {n!r}::DOUBLE AS rho, {n!r}::DOUBLE * radians(lon + 96.0::DOUBLE) AS theta
+    FROM (SELECT pixel_id, r, c, -121.5::DOUBLE + c * 0.0004::DOUBLE AS lon, 38.6::DOUBLE - r * 0.0003::DOUBLE AS lat FROM px_labels)))"""
+
+
+ALBERS = (-2173900.0, 36.0, 2023600.0, 34.0)  # left edge, pixel width, top edge, pixel height
+
+
+@query(
+    f"SELECT a.pixel_id, a.r, a.c, CAST(coalesce(s.cdl_id, 0) AS INT) AS cdl_id FROM alb a LEFT JOIN px_labels s ON s.r = CAST(floor(({ALBERS[2]}::DOUBLE - a.y) / {ALBERS[3]}::DOUBLE) AS BIGINT) AND s.c = CAST(floor((a.x - {ALBERS[0]}::DOUBLE) / {ALBERS[1]}::DOUBLE) AS BIGINT)",
+    _albers_sql(),
+)
+def b11_resample_albers(fx: Fixtures) -> DataFrame:
+    """A raster in degrees over the equal-area one."""
+    lon, lat = F.lit(-121.5) + F.col("c") * F.lit(0.0004), F.lit(38.6) - F.col("r") * F.lit(0.0003)
+    return cleaning.resample_albers(fx.labels(), fx.labels(), lon, lat, ALBERS)
+
+
 def _majority(source: str, name: str) -> str:
     return f"""{name}_n AS (SELECT a.pixel_id, b.cdl_id, count(*) AS n FROM {source} a JOIN {source} b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY 1, 2),
     {name} AS (SELECT a.pixel_id, a.r, a.c, m.cdl_id FROM {source} a JOIN (SELECT pixel_id, cdl_id, row_number() OVER (PARTITION BY pixel_id ORDER BY n DESC, cdl_id) AS k FROM {name}_n) m USING (pixel_id) WHERE k = 1)"""

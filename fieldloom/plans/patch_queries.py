@@ -49,7 +49,7 @@ def g1_patch_index(fx: Fixtures) -> DataFrame:
     H + ", o AS (SELECT CAST(i * 5 AS BIGINT) AS r0, CAST(j * 5 AS BIGINT) AS c0 FROM h, range(0, 1000) a(i), range(0, 9) b(j) WHERE i * 5 + 10 <= height)",
 )
 def g1_patch_index_overlapping(fx: Fixtures) -> DataFrame:
-    return P.patch_index(P.patch_pixels(fx.labels(), _size(fx), 50, 10, 5), target=3, block=20)
+    return P.overlapping_index(fx.labels(), _size(fx), 50, 10, 5, target=3, block=20)
 
 
 @query("SELECT block_r, block_c, model_id, CAST(sum(n) AS BIGINT) AS n FROM pcounts JOIN patches USING (patch_id) WHERE model_id > 0 GROUP BY 1, 2, 3", PX)

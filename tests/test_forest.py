@@ -147,3 +147,23 @@ def test_trials_side_by_side_choose_as_one_by_one(samples, patience, at_once):
                 idle += 1
     got, history = forest.forward_select(samples, NAMES, order, 24, delta=0.02, patience=patience, trees=5, at_once=at_once)
     assert got == chosen and [(h["channel"], h["iou"], h["accepted"]) for h in history] == tried
+
+
+def test_models_are_loaded_once_for_each_worker(spark, tmp_path):
+    """Ten megabytes of weights: the tasks' closure holds a handle, and a worker makes its model once."""
+    import os
+
+    weights = np.random.default_rng(1).random((3, 400_000))
+    df = spark.createDataFrame([(f"p{i}", 2, 2, [float(i + j) for j in range(12)]) for i in range(60)], "patch_id string, height int, width int, values array<double>").repartition(12)
+
+    def make():
+        with open(f"{tmp_path}/loads", "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda x: x * weights[:, :1, None, None].reshape(1, 3, 1, 1)
+
+    out = evaluation.predict_tiles(df, make, 2, 3, load=True)
+    assert out.count() == 60
+    pids = (tmp_path / "loads").read_text().split()
+    assert len(pids) == len(set(pids)) <= 12
+    again = evaluation.predict_tiles(df, make(), 2, 3)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fieldloom.operators import cleaning as C
@@ -186,3 +187,15 @@ def test_null_classes_and_gaps(spark):
     assert {(r.pixel_id, r.cdl_id) for r in C.majority_filter(df).collect()} == {(0, None), (1, None), (2, None), (3, 1), (4, 3)}
     assert {(r.r, r.c) for r in C.small_components(df, 2).collect()} == {(0, 2), (5, 5), (-3, -3)}
     assert C.majority_filter(df.limit(0)).collect() == []
+
+
+def test_resampling_reads_the_rows_under_the_target(spark, tmp_path):
+    spark.range(10_000).selectExpr("id AS pixel_id", "id div 100 AS r", "id % 100 AS c", "CAST(id % 7 AS INT) AS cdl_id").write.parquet(f"{tmp_path}/src")
+    src = spark.read.parquet(f"{tmp_path}/src")
+    dst = spark.range(25).selectExpr("id AS pixel_id", "id div 5 AS r", "id % 5 AS c")
+    out = C.resample_labels(src, dst, 0.5, 40, -1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(r,39)" in plan and "LessThanOrEqual(r,43)" in plan
+    want = {(i, j): ((40 + int((i + 0.5) / 2)) * 100 + x) % 7 if (x := int(np.floor((j + 0.5) / 2 - 1))) >= 0 else 0 for i in range(5) for j in range(5)}
+    assert {(r.r, r.c): r.cdl_id for r in out.collect()} == want
+    assert C.resample_labels(src, dst.limit(0), 0.5).collect() == []
