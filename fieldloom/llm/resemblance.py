@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +91,23 @@ def _with_sets(docs: DataFrame) -> DataFrame:
     ``print`` is the set's SimHash, ``odd`` its parities, ``n`` its size and ``low`` its least hashes.
     """
 
-    @F.pandas_udf("struct<fp long, print long, odd array<long>, n int, low array<long>, hashes array<long>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        ids, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (set_id, simhash.majority))
-        signed = [s.view(np.int64) for s in sets]
-        return pd.DataFrame({"fp": ids, "print": prints, "odd": [parities(s) for s in sets], "n": np.array([len(s) for s in sets], np.int32), "low": [s[:SKETCH] for s in signed], "hashes": signed})
-
-    return docs.select("_id", F.monotonically_increasing_id().alias("row"), of(F.col("_text")).alias("s")).select("row", "_id", "s.*")
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+
+    def of(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):  # few texts at a time, so that a worker stays small
+                b = whole.slice(i, 500)
+                sets = [shingle_set(t.as_py()) for t in b.column("_text")]
+                ids, prints = (pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64)) for f in (set_id, simhash.majority))
+                signed = [s.view(np.int64) for s in sets]
+                columns = [b.column("row"), b.column("_id"), ids, prints, lists([parities(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), lists([s[:SKETCH] for s in signed]), lists(signed)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "_id", "fp", "print", "odd", "n", "low", "hashes"])
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "_id", "_text")
+    return numbered.mapInArrow(of, f"row long, _id {kind}, fp long, print long, odd array<long>, n int, low array<long>, hashes array<long>")
 
 
 def _alike_in_size(n, m):
