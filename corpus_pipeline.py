@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import mixing, packing, pii, quality, resemblance
 from fieldloom.llm.queries import tokenizer_path
-from fieldloom.llm.tables import materialise, read
+from fieldloom.llm.tables import materialise, read, small_batches
 
 # The classifier draws on labels that SQL has no model for.
 ORACLE_SQL = None
@@ -14,17 +14,20 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the best grade is ``quality.MIN_TAIL`` or more."""
+    small_batches(spark)
     rated = quality.classify(docs, read(spark, sf_dir, "labels"))
     return rated.where(f"`{rated.columns[-1]}`").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group by word shingles of similarity 0.8 or more."""
+    small_batches(spark)
     return resemblance.deduplicate(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    small_batches(spark)
     return pii.redact_documents(docs)
 
 
@@ -35,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every sequence, with their token ids."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

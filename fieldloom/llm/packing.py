@@ -32,7 +32,7 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 1 << 21
 END = 1
-CACHE = 200_000
+CACHE = 100_000
 LONG = 50_000
 
 # White space as the vocabulary's pattern sees it, and letters and numbers up to U+02C1 (fixed values)
@@ -218,8 +218,8 @@ def pack(
         def flush():
             nonlocal first, group, held
             used, pieces = _pack_group(group, capacity, linear, quadratic)
-            for i in range(0, len(pieces), 4000):
-                cols = list(zip(*pieces[i : i + 4000], strict=True))
+            for i in range(0, len(pieces), 1000):
+                cols = list(zip(*pieces[i : i + 1000], strict=True))
                 cols[5] = [first + s for s in cols[5]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
             first, group, held = first + used, [], 0

@@ -32,7 +32,7 @@ N_FEATURES = 1 << 18
 MAX_FIT_ROWS = 20_000
 FIT_TASKS = 6
 MIN_TAIL = 0.7  # most rows are good, so a text is kept only where that is rather sure
-CACHE = 200_000
+CACHE = 50_000
 
 _SYMBOL = re.compile(r"[^\w\s]")
 _SHAPES = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})

@@ -29,6 +29,8 @@ no more classes. So near copies that are just not alike leave no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import simhash
 from fieldloom.llm.components import components
-from fieldloom.llm.tables import materialise
+from fieldloom.llm.tables import materialise, scratch
 
 SHINGLE = 5
 SIMILARITY = 80  # hundredths
@@ -133,16 +135,16 @@ class _Sets:
         own = self.heads.select("fp", "row", "odd", "n")
         for end in ("a", "b"):
             pairs = pairs.hint("merge").join(own.select(F.col("fp").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("row", "odd", "n"))), end)
-        pairs = materialise(pairs.where(_may_be_alike("a_", "b_")).select("a", "b", "a_row", "b_row"))
-        rows = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct()
-        rows = materialise(rows)
-        # the sets of a pair are a small part of all: few enough wanted rows go to the sets, and more of them meet by a shuffle
-        few = rows.count() <= MOST_SENT
-        whole = materialise(self.sets.select("row", "hashes").join(F.broadcast(rows) if few else rows.hint("merge"), "row", "left_semi"))
-        both = pairs.hint("merge").join(whole.select(F.col("row").alias("a_row"), F.col("hashes").alias("x")), "a_row")
-        both = both.hint("merge").join(whole.select(F.col("row").alias("b_row"), F.col("hashes").alias("y")), "b_row")
-        shared = F.size(F.array_intersect("x", "y"))
-        return materialise(both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), shared.alias("c")).where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * SIMILARITY).select("a", "b"))
+        with scratch(pairs.sparkSession) as write:
+            pairs = write(pairs.where(_may_be_alike("a_", "b_")).select("a", "b", "a_row", "b_row"))
+            rows = write(pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct())
+            # the sets of a pair are a small part of all: few enough wanted rows go to the sets, and more of them meet by a shuffle
+            few = rows.count() <= MOST_SENT
+            whole = write(self.sets.select("row", "hashes").join(F.broadcast(rows) if few else rows.hint("merge"), "row", "left_semi"))
+            both = pairs.hint("merge").join(whole.select(F.col("row").alias("a_row"), F.col("hashes").alias("x")), "a_row")
+            both = both.hint("merge").join(whole.select(F.col("row").alias("b_row"), F.col("hashes").alias("y")), "b_row")
+            shared = F.size(F.array_intersect("x", "y"))
+            return materialise(both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), shared.alias("c")).where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * SIMILARITY).select("a", "b"))
 
     def by_fingerprint(self) -> DataFrame:
         """``a, b``: pairs of sets whose SimHash fingerprints are equal or linked."""
@@ -236,12 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return simhash.placed(sets.select("_id", "fp"), groups, id_col)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, dense: int) -> tuple[DataFrame, DataFrame]:
-    sets = materialise(_with_sets(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, dense: int, write: Callable[[DataFrame], DataFrame] = materialise) -> tuple[DataFrame, DataFrame]:
+    sets = write(_with_sets(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))))
     return sets, simhash.grouped(sets.select("_id", "fp"), lambda _: links(sets, dense))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """As :func:`simhash.deduplicate`, of groups by Jaccard similarity."""
-    _, groups = _grouped(docs, id_col, text_col, dense)
+    with scratch(docs.sparkSession) as write:
+        _, groups = _grouped(docs, id_col, text_col, dense, write)
     return simhash.keep_heads(docs, groups, with_set_id, id_col, text_col)
