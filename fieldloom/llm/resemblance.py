@@ -17,7 +17,9 @@ and the others are verified on whole sets.
 A hash in the prefixes of more than ``dense`` sets would give pairs in the
 square of their number. A pair can lie within such hashes alone only if both
 sets have several of them. Each of those sets is first compared with one that
-shares most of its crowded hashes. Then the ``SKETCH`` least hashes of a set are put in another order, the rarest
+shares most of its crowded hashes, of those with the most links so far: near
+copies of a text are likest its middle, so that one brings them together, and
+pairs within their group are not listed later. Then the ``SKETCH`` least hashes of a set are put in another order, the rarest
 first, and the prefixes of that order are joined (alike sets share half of
 these sketches, but for a chance of 3e-9): a passage that many sets share
 comes last there, so it brings two sets together only if they hold little else.
@@ -185,18 +187,19 @@ def links(sets: DataFrame, dense: int = DENSE) -> DataFrame:
     full = materialise(crowded.select("key", "fp", "n").join(many, "fp").where(F.col("d") > F.least(F.expr("n * 8 div 100"), F.lit(MEET - 1))).select("key", "fp", "n"))
 
     def labelled(rows: DataFrame) -> DataFrame:
-        roots = components(edges)
-        return materialise(rows.join(roots, rows["fp"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "fp").alias("root")))
+        linked = edges.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
+        roots = components(edges).join(linked, F.col("node") == F.col("end"))
+        return materialise(rows.join(roots, rows["fp"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
 
     rare = materialise(_rare_first(own.heads, full.select("fp").distinct()))
     for salt, rows in enumerate((full, rare)):
         edges = materialise(edges.union(own.verified(_stars(labelled(rows), salt))))
-    return edges.union(own.verified(materialise(_apart(labelled(rare), own.heads)))).distinct()
+    return edges.union(own.verified(materialise(_apart(labelled(rare).drop("links"), own.heads)))).distinct()
 
 
 def _stars(rows: DataFrame, salt: int) -> DataFrame:
-    """``a, b``: each set with one of another group, of the hashed-first sets of its keys the one that it meets most often."""
-    heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(salt)).alias("h"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("k")).select("key", "k.*")
+    """``a, b``: each set with one of another group, of the most linked sets of its keys (by hash, of equals) the one that it meets most often."""
+    heads = rows.groupBy("key").agg(F.min(F.struct((-F.col("links")).alias("fewer"), F.xxhash64("fp", F.lit(salt)).alias("h"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("k")).select("key", "k.*")
     met = rows.hint("merge").join(heads, "key").where((F.col("root") != F.col("to")) & _alike_in_size(F.col("n"), F.col("m")))
     times = met.groupBy("fp", "b").agg(F.count("*").alias("c"), F.first("h").alias("h"))
     return times.groupBy(F.col("fp").alias("a")).agg(F.max_by("b", F.struct("c", "h")).alias("b"))
@@ -210,8 +213,8 @@ def _rare_first(heads: DataFrame, chosen: DataFrame) -> DataFrame:
     ``first`` holds the first ``FIRST`` of a set that are.
     """
     n = F.col("n")
-    own = materialise(heads.select("fp", "n", "low").hint("merge").join(chosen, "fp", "left_semi"))
-    rows = own.select(F.explode("low").alias("key"), "fp", "n", F.size("low").alias("own"))
+    own = heads.select("fp", "n", "low").hint("merge").join(chosen, "fp", "left_semi")
+    rows = materialise(own.select(F.explode("low").alias("key"), "fp", "n", F.size("low").alias("own")))
     often = materialise(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
     met = rows.hint("merge").join(often, "key").groupBy("fp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("k"))
     wanted = F.when(n <= SKETCH * SIMILARITY // 100, n - F.ceil(n * SIMILARITY / 100) + 1).otherwise(F.col("own") - SKETCH // 2 + 1)

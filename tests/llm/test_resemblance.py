@@ -62,6 +62,13 @@ def test_groups_are_those_of_all_pairs(spark, dense):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("salt", [0, 1])
+def test_stars_gather_a_group_around_its_most_linked_set(spark, salt):
+    sets = [(key, fp, 100, fp, 5 * (fp == 17)) for key in (1, 2) for fp in range(40)]
+    found = resemblance._stars(spark.createDataFrame(sets, "key long, fp long, n int, root long, links long"), salt).collect()
+    assert sorted(tuple(r) for r in found) == [(fp, 17) for fp in range(40) if fp != 17]
+
+
 def test_stage_removes_near_copies_that_simhash_does_not_see(spark):
     df = spark.createDataFrame(list(enumerate(near_copies())), "doc_id long, text string").repartition(5)
     kept = {r[0] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
