@@ -167,3 +167,20 @@ def test_models_are_loaded_once_for_each_worker(spark, tmp_path):
     assert len(pids) == len(set(pids)) <= 12
     again = evaluation.predict_tiles(df, make(), 2, 3)
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_forest_on_dates_makes_its_samples_once(spark, monkeypatch):
+    """What the forest's passes read is a table: no join, grouping or generator of observations is behind it."""
+    days, bands = ["20240105", "20240405", "20240706"], ["B2", "B4"]
+    obs = spark.createDataFrame([(p, d, b, float(100 * p + 10 * i + j) if p % 9 else None) for p in range(1500) for i, d in enumerate(days) for j, b in enumerate(bands)], "pixel_id long, date8 string, band string, value double")
+    labels = spark.createDataFrame([(p, (1, 3, 0)[p % 3]) for p in range(1500)], "pixel_id long, cdl_id int")
+    names = spark.createDataFrame([(f"{b}_{d}", d, 2 * i + j) for i, d in enumerate(days) for j, b in enumerate(bands)], "channel string, date8 string, channel_idx int")
+    seen = []
+    monkeypatch.setattr(forest, "rank_bands_forest", lambda samples, channels, domain, *rest: seen.extend((samples, channels, domain)))
+    direct.scoped_forest(obs, labels, names, spark.createDataFrame([("20240105",), ("20240706",), ("20240105",)], "date8 string"), "x", top=1, frac=1.0)
+    for df in seen:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and not any(x in plan for x in ("Join", "Aggregate", "Generate", "LocalRelation", "Window"))
+    assert {(r.channel, r.channel_idx) for r in seen[1].collect()} == {("B2_20240105", 0), ("B4_20240105", 1), ("B2_20240706", 2), ("B4_20240706", 3)}
+    want = {p: ((1, 3)[p % 3], [float(100 * p + k) if p % 9 else None for k in (0, 1, 20, 21)]) for p in range(1500) if p % 3 < 2}
+    assert {r.pixel_id: (r.class_label, r.features) for r in seen[0].collect()} == want

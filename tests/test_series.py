@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from fieldloom.operators import series as S
@@ -46,3 +48,28 @@ def test_reference_dates(spark):
     one = lambda *d: shift.reference_date(spark.createDataFrame([(x,) for x in d], "date8 string")).first()[0]
     assert one("20240101", "20240710", "20240720", "20240730", "20240801") == "20240720"
     assert one("20240701", "20240710") == "20240710" and one("20240101", "20240201", "20240301", "20240401") == "20240301"
+
+
+@pytest.mark.parametrize("mode, per_pass", [("null", 8), ("eps", 2), ("add_eps", 1)])
+def test_means_for_one_exchange_equal_those_of_the_joined_index(spark, mode, per_pass):
+    """Values that are missing, repeated or negative, pixels without a label or with several, a date with one band, one without crops, null pixels."""
+    rng = random.Random(per_pass)
+    days = ["20240105", "20240302", "20240405", "20240706", "20241001"]
+    rows = [(p, d, b, rng.choice((None, 0.0, -1.0, 1.0, rng.random(), 3 * rng.random()))) for p in (*range(60), None) for d in days for b in ("B2", "B4", "B8") for _ in range(rng.choice((0, 1, 1, 1, 2)))]
+    rows = [r for r in rows if (r[1] != days[1] or r[2] == "B4") and (r[1] != days[3] or (r[0] or 0) % 4 == 0)]
+    obs = spark.createDataFrame(rows, "pixel_id long, date8 string, band string, value double").repartition(5)
+    labels = spark.createDataFrame([(p, (24, 1, 3, 1)[p % 4] if p % 4 else 0) for p in (*range(50), *range(5, 9), 70)] + [(None, 1)], "pixel_id long, cdl_id int")
+    for floor in (0.0, 0.7):
+        want = {r.date8: r for r in S.mean_ndvi_by_date(S.ndvi(obs, mode), labels, (1, 3, 24), floor).collect()}
+        got = S.mean_ndvi_of(obs, labels, (1, 3, 24), [*days, "20251231"], floor, mode, per_pass=per_pass)
+        assert len(want) == 4 and {r.date8 for r in got.collect()} == set(want)
+        for r in got.collect():
+            assert (r.valid_frac, r.mean_ndvi) == pytest.approx((want[r.date8].valid_frac, want[r.date8].mean_ndvi), nan_ok=True)
+    assert S.mean_ndvi_of(obs, labels, (1,), []).collect() == []
+
+
+def test_means_move_pixels_once(spark):
+    from fieldloom.plans import registry
+
+    plan = registry.load()["d2_mean_ndvi_by_date"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pixel_id") == 1 and "Join" not in plan.replace("BroadcastNestedLoopJoin", "")
